@@ -319,9 +319,26 @@ def explode_parts(spark, sf_dir):
     return e.select("id", rings.ring_area(F.col("exterior")).alias("area"))
 
 
-@query("G11_non_maximum_suppression")
+@query("G3_merged_outlines", with_(B.cells_sql(), reach_sql("lab", "cls = 1", 1 << 20), body="""
+SELECT raster_id, comp AS label, count(*) * 100.0::DOUBLE AS area FROM lab GROUP BY 1, 2""", recursive=True))
+def merged_outlines(spark, sf_dir):
+    """Outlines of whole regions after the tile cuts are undone."""
+    runs = labelling.stitched(cut(fields(spark, sf_dir)), KEY, STRIDE)
+    shapes = outlines.field_polygons(outlines.rejoin_runs(runs, KEY), KEY, "label", (10.0, 0.0, 0.0, 0.0, 10.0, 0.0))
+    return shapes.select("raster_id", "label", rings.polygon_area(F.col("exterior"), F.col("interiors")).alias("area"))
+
+
+@query("G11_non_maximum_suppression", with_(B.BOXES_SQL, """
+r AS (SELECT *, id // 3 AS g, row_number() OVER (PARTITION BY id // 3 ORDER BY conf DESC, id) AS k FROM boxes),
+hit AS (SELECT a.g, a.k AS ka, b.k AS kb FROM r a JOIN r b ON a.g = b.g AND a.k < b.k
+  WHERE greatest(10 - abs(a.x0 - b.x0), 0) * 10 / (200 - greatest(10 - abs(a.x0 - b.x0), 0) * 10) > 0.3),
+f AS (SELECT r.*, EXISTS (SELECT 1 FROM hit h WHERE h.g = r.g AND ka = 1 AND kb = 2) AS h12,
+  EXISTS (SELECT 1 FROM hit h WHERE h.g = r.g AND ka = 1 AND kb = 3) AS h13, EXISTS (SELECT 1 FROM hit h WHERE h.g = r.g AND ka = 2 AND kb = 3) AS h23 FROM r)""", body="""
+SELECT id, conf FROM f WHERE k = 1 OR (k = 2 AND NOT h12) OR (k = 3 AND NOT h13 AND (h12 OR NOT h23))"""))
 def nms(spark, sf_dir):
-    return scoring.non_maximum_suppression(B.boxes(spark, sf_dir), 0.3).select("id", "patch_id", "conf")
+    """The boxes of a chain lie in one patch here."""
+    b = B.boxes(spark, sf_dir).withColumn("patch_id", B.div(F.col("id"), 3) % 16)
+    return scoring.non_maximum_suppression(b, 0.3).select("id", "conf")
 
 
 @query("U2_instance_flow", with_("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,30 +61,52 @@ def _twice_area(ring: list[tuple[int, int]]) -> int:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
 
 
-def field_polygons(runs: DataFrame, keys: list[str], affine: tuple[float, ...] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
+def field_polygons(runs: DataFrame, group: list[str], field: str = "comp",
+                   affine: tuple[float, ...] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
     """Runs of each field -> ``exterior`` and ``interiors`` in map coordinates.
 
-    One group is one field, whose outline has to end up in one row anyway.
+    ``group`` is the tile for fields cut at tiles, which keeps the partitioning of the labelling
+    and the group bounded by the tile; a field's outline has to end up in one row anyway.
     """
     a, b, c, d, e, f = affine
-    types = ", ".join(f"`{s.name}` {s.dataType.simpleString()}" for s in runs.select(*keys).schema.fields)
+    types = ", ".join(f"`{s.name}` {s.dataType.simpleString()}" for s in runs.select(*group, field).schema.fields)
 
     def to_map(ring):
         return [{"x": float(a * x + b * y + c), "y": float(d * x + e * y + f)} for x, y in ring]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        traced = _trace(*[pdf[n].to_numpy() for n in ("y", "x0", "x1")])
-        outer = [to_map(r) for r in traced if _twice_area(r) > 0]
-        holes = [to_map(r) for r in traced if _twice_area(r) < 0]
-        if len(outer) != 1:
-            raise ValueError(f"field {key} is not one connected region")
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "exterior": outer, "interiors": [holes]})
-
-    return runs.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(
+        pdf = pdf.sort_values(field, kind="stable")
+        names, first = np.unique(pdf[field].to_numpy(), return_index=True)
+        columns = [pdf[n].to_numpy() for n in ("y", "x0", "x1")]
+        exteriors, interiors = [], []
+        for low, high in zip(first, [*first[1:], len(pdf)]):
+            traced = _trace(*[col[low:high] for col in columns])
+            outer = [to_map(r) for r in traced if _twice_area(r) > 0]
+            if len(outer) != 1:
+                raise ValueError(f"a field of {key} is not one connected region")
+            exteriors += outer
+            interiors.append([to_map(r) for r in traced if _twice_area(r) < 0])
+        out = pd.DataFrame({k: [v] * len(names) for k, v in zip(group, key)})
+        out[field] = names
+        out["exterior"], out["interiors"] = exteriors, interiors
+        return out
+
+    return runs.select(*group, field, "y", "x0", "x1").groupBy(*group).applyInPandas(
         run, f"{types}, exterior {RING}, interiors array<{RING}>"
     )
 
 
+def rejoin_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs cut at tile edges -> maximal runs of each ``label``."""
+    row = Window.partitionBy(*keys, "label", "y").orderBy("x0")
+    opens = F.when(F.lag("x1").over(row) + 1 == F.col("x0"), 0).otherwise(1)
+    return (
+        runs.withColumn("_o", opens)
+        .withColumn("_p", F.sum("_o").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "label", "y", "_p").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_p")
+    )
+
+
 def _thin_line(pts: np.ndarray, tolerance: float) -> np.ndarray:
     """Farthest-point subdivision of one open or closed line; True where a vertex stays."""
     keep = np.zeros(len(pts), dtype=bool)

@@ -46,7 +46,7 @@ def field_outlines(cells: DataFrame, keys: list[str], stride: int = labelling.DE
     """Class raster -> polygons with rings, measured on the final rings."""
     mask = field_mask(cells, keys)
     runs = labelling.label_fields(mask, keys, stride)
-    shapes = outlines.field_polygons(runs, [*keys, "ty", "tx", "comp"], affine)
+    shapes = outlines.field_polygons(runs, [*keys, "ty", "tx"], affine=affine)
     if close_interiors:
         shapes = shapes.withColumn("interiors", rings.drop_interiors(F.col("interiors")))
     shapes = outlines.simplify(shapes, tolerance).withColumns({
