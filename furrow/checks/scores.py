@@ -100,14 +100,14 @@ def pooled(spark, sf_dir):
     return E.metrics_from_counts(E.chip_stats(B.cells(spark, sf_dir, SIDE), KEY).agg(*E.sum_counts()))
 
 
-@query("A6_validation_object_scores", with_(CHIPS, "cells0 AS (SELECT raster_id, count_if(cls = 1 AND s % 3 = 0) AS m, count_if(pred = 1 AND s % 5 = 7) AS q FROM cells GROUP BY 1)", body="""
-SELECT raster_id, 0.0::DOUBLE AS object_precision, 0.0::DOUBLE AS object_recall, 0.0::DOUBLE AS object_f1 FROM cells0"""))
+@query("A6_validation_object_scores", with_(*STATS_SQL, body="""
+SELECT raster_id, CASE WHEN o_tp + o_fp > 0 THEN round(o_tp / (o_tp + o_fp)::DOUBLE, 6) ELSE 0 END AS object_precision,
+  CASE WHEN o_tp + o_fn > 0 THEN round(o_tp / (o_tp + o_fn)::DOUBLE, 6) ELSE 0 END AS object_recall,
+  CASE WHEN o_tp > 0 THEN round(2.0::DOUBLE * o_tp / (2 * o_tp + o_fp + o_fn), 6) ELSE 0 END AS object_f1 FROM st""", recursive=True))
 def validation_scores(spark, sf_dir):
-    """Without any object the validation variant reports 0 instead of NaN."""
-    c = B.cells(spark, sf_dir, SIDE).groupBy("raster_id").agg(F.count(F.lit(1)).alias("n"))
-    zero = F.lit(0).cast("bigint")
-    none = c.select("raster_id", *[zero.alias(k) for k in E.COUNTS])
-    return E.metrics_from_counts(none, empty=0.0).select("raster_id", "object_precision", "object_recall", "object_f1")
+    """Per chip, with 0 instead of NaN where nothing was found."""
+    stats = E.chip_stats(B.cells(spark, sf_dir, SIDE), KEY)
+    return E.metrics_from_counts(stats, empty=0.0).select("raster_id", "object_precision", "object_recall", "object_f1")
 
 
 @query("A21_country_metrics", with_(*STATS_SQL, f"""

@@ -196,14 +196,13 @@ def bootstrap_by_blocks(
     share, total = sizes / max(sizes.sum(), 1), int(sizes.sum())
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["block"].iloc[0])
+        b, n = int(pdf["block"].iloc[0]), len(pdf)
         counts = pdf[COUNTS].to_numpy(float)
-        out = np.empty((n_bootstrap, len(COUNTS)))
-        for r in range(n_bootstrap):
-            here = np.random.default_rng([seed, r]).multinomial(total, share)[b]
-            times = np.random.default_rng([seed, r, b + 1]).multinomial(here, np.full(len(pdf), 1 / len(pdf)))
-            out[r] = times @ counts
-        frame = pd.DataFrame(out, columns=COUNTS)
+        here = np.random.default_rng([seed]).multinomial(total, share, size=n_bootstrap)[:, b]
+        rng = np.random.default_rng([seed, b + 1])
+        step = max(1, (1 << 22) // n)
+        parts = [rng.multinomial(here[r:r + step], np.full(n, 1 / n)) @ counts for r in range(0, n_bootstrap, step)]
+        frame = pd.DataFrame(np.concatenate(parts), columns=COUNTS)
         frame.insert(0, "rep", np.arange(n_bootstrap))
         return frame
 
