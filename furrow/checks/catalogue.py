@@ -194,7 +194,7 @@ def nodata(spark, sf_dir):
     w = S.season_windows(B.areas(spark, sf_dir))
     cand = S.candidate_scenes(w, B.scenes(spark, sf_dir))
     return cand.select("aoi_id", "win", "scene_id", S.nodata_percent(
-        F.col("footprint"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("nodata"))
+        F.col("outline"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("nodata"))
 
 
 BEST_SQL = """

@@ -79,14 +79,14 @@ def macro(spark, sf_dir):
 
 @query("J11_object_matches", with_(*MATCH_SQL, body="SELECT raster_id, t, p, round(iou, 6) AS iou FROM matched", recursive=True))
 def matches(spark, sf_dir):
-    return E.object_matches(B.cells(spark, sf_dir, SIDE), KEY)[2].select("raster_id", "t", "p", "iou")
+    return E.object_overlaps(B.cells(spark, sf_dir, SIDE), KEY).filter("match").select("raster_id", "t", "p", "iou")
 
 
 @query("E3_unmatched_predictions", with_(*MATCH_SQL, body="""
 SELECT raster_id, p FROM ps WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.raster_id = ps.raster_id AND m.p = ps.p)""", recursive=True))
 def unmatched(spark, sf_dir):
-    _, p, m = E.object_matches(B.cells(spark, sf_dir, SIDE), KEY)
-    return p.select("raster_id", "p").join(m.select("raster_id", "p"), ["raster_id", "p"], "left_anti")
+    met = E.object_overlaps(B.cells(spark, sf_dir, SIDE), KEY)
+    return met.filter(F.col("p_first") & ~F.col("p_matched")).select("raster_id", "p")
 
 
 @query("A4_chip_stats", with_(*STATS_SQL, body="SELECT * FROM st", recursive=True))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from furrow.constants import WGS84_A, WGS84_F
+from furrow.functions.rings import let
 
 E2 = WGS84_F * (2 - WGS84_F)
 ECC = math.sqrt(E2)
@@ -34,6 +35,12 @@ def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def equal_area_point(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """The same for use inside a lambda over ring points: the sine is computed once."""
+    y = let(F.sin(F.radians(lat)), _q) * F.lit(WGS84_A / (2 * K0))
+    return F.radians(lon) * F.lit(WGS84_A * K0), y
+
+
 def equal_area_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     """Metres on EPSG:6933 -> degrees, by the authalic-latitude series."""
     beta = F.asin(y * F.lit(2 * K0 / WGS84_A / _q_pole()))

@@ -102,45 +102,34 @@ def drop_interiors(interiors: Column) -> Column:
     return F.slice(interiors, 1, 0)
 
 
-def _clip_half_plane(ring: Column, axis: str, bound: Column, keep_below: bool) -> Column:
-    """One half-plane pass of a polygon clip; takes and gives an open vertex list."""
-    other = "y" if axis == "x" else "x"
-
-    def inside(p: Column) -> Column:
-        return p[axis] <= bound if keep_below else p[axis] >= bound
-
-    def crossing(p: Column, q: Column) -> Column:
-        t = (bound - p[axis]) / (q[axis] - p[axis])
-        o = p[other] + t * (q[other] - p[other])
-        return point(bound, o) if axis == "x" else point(o, bound)
-
-    def step(prev: Column, cur: Column) -> Column:
-        return F.when(
-            inside(cur),
-            F.when(inside(prev), F.array(cur)).otherwise(F.array(crossing(prev, cur), cur)),
-        ).otherwise(
-            F.when(inside(prev), F.array(crossing(prev, cur))).otherwise(F.slice(F.array(cur), 1, 0))
-        )
-
-    def rotated(r: Column) -> Column:
-        return F.concat(F.slice(r, F.size(r), 1), F.slice(r, 1, F.size(r) - 1))
-
-    return let(
-        ring,
-        lambda r: F.when(F.size(r) == 0, r).otherwise(
-            F.flatten(F.zip_with(rotated(r), r, step))
-        ),
-    )
-
-
 def clip_area(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Area of a closed ring inside an axis-aligned box."""
-    work = let(ring, lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))
-    for axis, bound, below in (("x", x0, False), ("x", x1, True), ("y", y0, False), ("y", y1, True)):
-        work = _clip_half_plane(work, axis, bound, below)
-    return let(
-        work,
-        lambda w: F.when(F.size(w) < 3, F.lit(0.0)).otherwise(
-            ring_area(F.concat(w, F.slice(w, 1, 1)))
-        ),
-    )
+    """Area of a closed simple ring inside an axis-aligned box.
+
+    Walking the ring, each side adds the area under it with x kept to [x0, x1] and y to
+    [y0, y1]; sides running back take the rest off again. One pass, no clipped ring is built.
+    """
+    def between(v: Column, low: Column, high: Column) -> Column:
+        return F.least(F.greatest(v, low), high)
+
+    def under(a: Column, b: Column) -> Column:
+        cut = F.struct(between(a["x"], x0, x1).alias("xa"), between(b["x"], x0, x1).alias("xb"))
+
+        def clipped(c: Column) -> Column:
+            slope = (b["y"] - a["y"]) / (b["x"] - a["x"])
+            ua = a["y"] - y0 + slope * (c["xa"] - a["x"])
+            ub = a["y"] - y0 + slope * (c["xb"] - a["x"])
+            span = F.struct(
+                F.least(ua, ub).alias("lo"), F.greatest(ua, ub).alias("hi"), (c["xb"] - c["xa"]).alias("dx"))
+            return F.when(c["xa"] == c["xb"], F.lit(0.0)).otherwise(let(span, strip))
+
+        return let(cut, clipped)
+
+    def strip(s: Column) -> Column:
+        height, zero = y1 - y0, F.lit(0.0)
+        low, high = between(s["lo"], zero, height), between(s["hi"], zero, height)
+        above = F.greatest(s["hi"] - F.greatest(s["lo"], height), zero)
+        mean = F.when(s["hi"] == s["lo"], low).otherwise(
+            ((low + high) / 2 * (high - low) + height * above) / (s["hi"] - s["lo"]))
+        return s["dx"] * mean
+
+    return F.abs(_fold(ring, under))

@@ -1,13 +1,13 @@
 """Evaluation: pixel and object metrics, bootstrap intervals, consensus.
 
-Everything rests on one row of counts per chip; pixels are read once.
+Everything rests on one row of counts per chip.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.constants import FIELD, UNKNOWN
@@ -64,33 +64,47 @@ def macro_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def object_matches(
+def object_overlaps(
     pixels: DataFrame, keys: list[str], iou_threshold: float = 0.5,
     stride: int = labelling.DEFAULT_STRIDE, label: str = "cls", pred: str = "pred",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Truth objects, predicted objects and their matches (IoU strictly above the threshold).
+) -> DataFrame:
+    """Truth and predicted objects of each chip with their overlaps, one row per pair that meets.
 
-    At 0.5 or more a truth object matches at most one prediction, so overlap counts of an
-    equi-join on cells decide everything. ``stride`` must cover the whole chip.
+    ``t, p`` name the objects (null on the side where an object meets nothing there), ``both``
+    counts shared cells, ``iou`` and ``match`` follow. ``t_first`` and ``p_first`` mark one row
+    per object, ``p_matched`` tells whether the prediction has a match. At a threshold of 0.5 or
+    more an object matches at most one other, so counts decide everything. Both masks are
+    labelled in one pass as two layers. ``stride`` must cover the whole chip.
     """
     if iou_threshold < 0.5:
         raise ValueError("a threshold below 0.5 would allow several matches per object")
-    truth = labelling.label_fields(pixels.filter(F.col(label) == FIELD), keys, stride)
-    guess = labelling.label_fields(pixels.filter(F.col(pred) == FIELD), keys, stride)
-    size = F.sum(F.col("x1") - F.col("x0") + 1)
-    t = truth.groupBy(*keys, F.col("comp").alias("t")).agg(size.alias("t_cells"))
-    p = guess.groupBy(*keys, F.col("comp").alias("p")).agg(size.alias("p_cells"))
-    shared = (
-        labelling.run_cells(truth).select(*keys, "y", "x", F.col("comp").alias("t"))
-        .join(labelling.run_cells(guess).select(*keys, "y", "x", F.col("comp").alias("p")), [*keys, "y", "x"])
+    layers = F.array_compact(F.array(
+        F.when(F.col(label) == FIELD, F.lit("t")), F.when(F.col(pred) == FIELD, F.lit("p"))
+    ))
+    masks = pixels.select(*keys, "y", "x", F.explode(layers).alias("layer"))
+    runs = labelling.label_fields(masks, [*keys, "layer"], stride)
+
+    def comp_of(layer: str) -> Column:
+        return F.max(F.when(F.col("layer") == layer, F.col("comp"))).alias(layer)
+
+    met = (
+        labelling.run_cells(runs).groupBy(*keys, "y", "x").agg(comp_of("t"), comp_of("p"))
         .groupBy(*keys, "t", "p").agg(F.count(F.lit(1)).alias("both"))
     )
-    matches = (
-        shared.join(t, [*keys, "t"]).join(p, [*keys, "p"])
-        .withColumn("iou", F.col("both") / (F.col("t_cells") + F.col("p_cells") - F.col("both")))
-        .filter(F.col("iou") > iou_threshold)
+    # rows without the object stay apart, so they never form one large group
+    by_t = Window.partitionBy(*keys, "t", F.when(F.col("t").isNull(), F.col("p")))
+    by_p = Window.partitionBy(*keys, "p", F.when(F.col("p").isNull(), F.col("t")))
+    return (
+        met.withColumn("t_cells", F.sum("both").over(by_t))
+        .withColumn("t_first", F.col("t").isNotNull() & (F.row_number().over(by_t.orderBy("p")) == 1))
+        .withColumn("p_cells", F.sum("both").over(by_p))
+        .withColumn("p_first", F.col("p").isNotNull() & (F.row_number().over(by_p.orderBy("t")) == 1))
+        .withColumn("iou", F.when(
+            F.col("t").isNotNull() & F.col("p").isNotNull(),
+            F.col("both") / (F.col("t_cells") + F.col("p_cells") - F.col("both"))))
+        .withColumn("match", F.coalesce(F.col("iou") > iou_threshold, F.lit(False)))
+        .withColumn("p_matched", F.max("match").over(by_p))
     )
-    return t, p, matches
 
 
 def chip_stats(
@@ -105,14 +119,10 @@ def chip_stats(
         F.count_if(known & ~is_l & is_p).alias("p_fp"),
         F.count_if(known & is_l & ~is_p).alias("p_fn"),
     )
-    t, p, m = object_matches(pixels, keys, iou_threshold, stride, label, pred)
-    zero = F.lit(0).cast("bigint")
-    obj = (
-        t.select(*keys, F.lit(1).alias("t"), zero.alias("p"), zero.alias("m"))
-        .unionByName(p.select(*keys, zero.alias("t"), F.lit(1).alias("p"), zero.alias("m")))
-        .unionByName(m.select(*keys, zero.alias("t"), zero.alias("p"), F.lit(1).alias("m")))
-        .groupBy(*keys).agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+    obj = object_overlaps(pixels, keys, iou_threshold, stride, label, pred).groupBy(*keys).agg(
+        F.count_if("t_first").alias("t"), F.count_if("p_first").alias("p"), F.count_if("match").alias("m")
     )
+    zero = F.lit(0).cast("bigint")
     return px.join(obj, keys, "left").select(
         *keys, "p_tp", "p_fp", "p_fn",
         F.coalesce("m", zero).alias("o_tp"),

@@ -8,7 +8,7 @@ traced from a grid. ``comp`` names a field inside its tile by its first cell in
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +45,22 @@ def field_runs(cells: DataFrame, keys: list[str], stride: int = DEFAULT_STRIDE)
     )
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(runs: pa.Table) -> pa.Table:
     """Join runs of neighbouring rows that overlap; report cells shared with the row above."""
-    pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
-    y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-    start, end = y * ROW_STEP + x0, y * ROW_STEP + x1
+    start = runs["y"].to_numpy().astype(np.int64) * ROW_STEP + runs["x0"].to_numpy()
+    order = np.argsort(start)
+    start = start[order]
+    end = start + (runs["x1"].to_numpy() - runs["x0"].to_numpy())[order]
+    # overlapping runs of the row above form one contiguous stretch of the sorted runs
     first = np.searchsorted(end, start - ROW_STEP, side="left")
     last = np.searchsorted(start, end - ROW_STEP, side="right")
     n_up = np.maximum(last - first, 0)
-    below = np.repeat(np.arange(len(pdf)), n_up)
+    below = np.repeat(np.arange(len(start)), n_up)
     above = np.repeat(first, n_up) + np.arange(len(below)) - np.repeat(np.cumsum(n_up) - n_up, n_up)
-    shared = np.minimum(x1[below], x1[above]) - np.maximum(x0[below], x0[above]) + 1
-    label = root_labels(len(pdf), below, above)
-    pdf["comp"] = start[label]
-    pdf["up"] = np.bincount(below, weights=shared, minlength=len(pdf)).astype(np.int64)
-    return pdf
+    shared = np.minimum(end[below] - ROW_STEP, end[above]) - np.maximum(start[below] - ROW_STEP, start[above]) + 1
+    comp = start[root_labels(len(start), below, above)]
+    up = np.bincount(below, weights=shared, minlength=len(start)).astype(np.int64)
+    return runs.take(pa.array(order)).append_column("comp", pa.array(comp)).append_column("up", pa.array(up))
 
 
 def label_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +68,7 @@ def label_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     tile = [*keys, "ty", "tx"]
     types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
     out = ", ".join(f"`{c}` {types[c]}" for c in runs.columns) + ", comp bigint, up bigint"
-    return runs.groupBy(*tile).applyInPandas(_label_tile, out)
+    return runs.groupBy(*tile).applyInArrow(_label_tile, out)
 
 
 def label_fields(cells: DataFrame, keys: list[str], stride: int = DEFAULT_STRIDE) -> DataFrame:

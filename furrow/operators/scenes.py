@@ -44,6 +44,7 @@ def candidate_scenes(
 ) -> DataFrame:
     """Area x scene join: boxes meet, date inside the window, cloud strictly below the limit.
 
+    Footprints are projected here, once per scene rather than once per pair (``outline``).
     The range join becomes an equi-join on (lon cell, lat cell, period). A pair is kept only in
     the cell that holds the lower-left corner of the overlap, so no pair appears twice. The
     period splits places that hold very many scenes; sort-merge skew splitting does the rest.
@@ -56,7 +57,7 @@ def candidate_scenes(
     s = (
         scenes.filter(F.col("cloud") < F.lit(cloud_max))
         .select(
-            "scene_id", "dt", "cloud", "tile", "footprint",
+            "scene_id", "dt", "cloud", "tile", projected(F.col("footprint")).alias("outline"),
             *[F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")],
         )
         .withColumn("per", period(F.col("dt")))
@@ -84,23 +85,26 @@ def candidate_scenes(
     )
 
 
-def nodata_percent(footprint: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Share of an area's box outside a footprint, in percent of equal-area square metres."""
+def projected(footprint: Column) -> Column:
+    """Footprint in equal-area metres."""
+    return rings.map_ring(footprint, projection.equal_area_point)
+
+
+def nodata_percent(outline: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Share of an area's box (degrees) outside a projected footprint, in percent."""
     ax0, ay0 = projection.equal_area(x0, y0)
     ax1, ay1 = projection.equal_area(x1, y1)
     box = F.struct(ax0.alias("x0"), ay0.alias("y0"), ax1.alias("x1"), ay1.alias("y1"))
 
     def share(b: Column) -> Column:
         whole = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-        covered = rings.clip_area(
-            rings.map_ring(footprint, projection.equal_area), b["x0"], b["y0"], b["x1"], b["y1"]
-        )
+        covered = rings.clip_area(outline, b["x0"], b["y0"], b["x1"], b["y1"])
         pct = (F.lit(1.0) - covered / whole) * 100
         return F.when(whole <= 0, F.raise_error(F.lit("area box has zero area")).cast("double")).otherwise(
             F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct))
         )
 
-    return F.when(footprint.isNull() | (F.size(footprint) < 4), F.lit(100.0)).otherwise(
+    return F.when(outline.isNull() | (F.size(outline) < 4), F.lit(100.0)).otherwise(
         rings.let(box, share)
     )
 
@@ -122,7 +126,7 @@ def best_scene(
     """
     today = F.current_date() if today is None else today
     cand = candidates.withColumn(
-        "nodata", nodata_percent(F.col("footprint"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        "nodata", nodata_percent(F.col("outline"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     )
     keep = F.lit(True) if nodata_max is None else F.col("nodata") <= F.lit(nodata_max)
     cand = cand.withColumn("kept", keep)

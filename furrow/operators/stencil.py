@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +59,22 @@ def tile_apply(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     side = stride + 2 * halo
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = key[-2] * stride - halo, key[-1] * stride - halo
-        rows, cols = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+    def run(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
+        ys, xs = tile["y"].to_numpy(), tile["x"].to_numpy()
+        rows, cols = ys - (key[-2].as_py() * stride - halo), xs - (key[-1].as_py() * stride - halo)
         grid = np.zeros((side, side), dtype=np.float64 if out_type == "double" else np.int64)
         present = np.zeros((side, side), dtype=bool)
-        grid[rows, cols] = pdf[value].to_numpy()
+        grid[rows, cols] = tile[value].to_numpy()
         present[rows, cols] = True
-        result = fn(grid, present)
+        result = fn(grid, present)[rows, cols]
         inner = (rows >= halo) & (rows < halo + stride) & (cols >= halo) & (cols < halo + stride)
-        out = pd.DataFrame({k: pdf[k].to_numpy()[inner] for k in keys})
-        out["y"], out["x"] = pdf["y"].to_numpy()[inner], pdf["x"].to_numpy()[inner]
-        out[value] = result[rows[inner], cols[inner]]
-        return out if keep_zero else out[out[value] != 0]
+        if not keep_zero:
+            inner &= result != 0
+        out = tile.select([*keys, "y", "x"]).filter(pa.array(inner))
+        return out.append_column(value, pa.array(result[inner], pa.float64() if out_type == "double" else pa.int32()))
 
     placed = with_margin(cells.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), value), stride, halo)
-    return placed.groupBy(*keys, "ty", "tx").applyInPandas(run, f"{fields}, y int, x int, `{value}` {out_type}")
+    return placed.groupBy(*keys, "ty", "tx").applyInArrow(run, f"{fields}, y int, x int, `{value}` {out_type}")
 
 
 def _cross(values: np.ndarray, present: np.ndarray, grow: bool, times: int) -> np.ndarray:

@@ -17,7 +17,7 @@ def one(spark, expr):
 
 def pct(spark, foot, box):
     ring = rings.box_ring(*map(F.lit, foot)) if foot else F.lit(None).cast("array<struct<x:double,y:double>>")
-    return one(spark, S.nodata_percent(ring, *[F.lit(float(v)) for v in box]))
+    return one(spark, S.nodata_percent(S.projected(ring), *[F.lit(float(v)) for v in box]))
 
 
 def test_nodata_percent(spark):
