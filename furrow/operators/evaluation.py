@@ -191,14 +191,16 @@ def bootstrap_by_draws(stats: DataFrame, key: str, n_bootstrap: int = 1000, conf
 
 def bootstrap_by_blocks(
     stats: DataFrame, key: str, n_bootstrap: int = 1000, confidence: float = 0.95, seed: int = 42,
-    blocks: int = 64,
+    blocks: int | None = None,
 ) -> DataFrame:
     """The same law without shuffling draws.
 
     A multinomial over chips is a multinomial over blocks of chips followed by one inside each
     block. Every block derives the block totals from the seed, so blocks need only each other's
-    sizes (``blocks`` numbers) and send one row per replicate.
+    sizes and send one row per replicate. By default a block has about 50,000 chips.
     """
+    if blocks is None:
+        blocks = stats.count() // 50_000 + 8
     placed = stats.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     sizes = np.zeros(blocks)
     for r in placed.groupBy("block").count().collect():  # at most `blocks` rows

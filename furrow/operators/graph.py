@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.skew import HOT_ROWS, attach_group
 from furrow.session import cut
 
 
@@ -39,12 +40,11 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": nodes[moved], "dst": nodes[label[moved]]})
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, dst`` (bigint) -> ``node, comp`` with comp the smallest node of the component.
 
-    Rounds of large-star and small-star. Each is a map-side combined minimum per node and an
-    equi-join back, so a hub never gathers its neighbours in one task; adaptive skew splitting
-    handles its rows in the join. Edges are first contracted batch by batch, which leaves only
+    Rounds of large-star and small-star. Each is a map-side combined minimum per node, given
+    back to the node's edges; a hub never gathers its neighbours in one task. Edges are first contracted batch by batch, which leaves only
     links between batches to the loop. Stops when every node points at one root, and raises
     rather than return a partial answer.
     """
@@ -53,7 +53,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(stars):
             break
-        stars = cut(_small_star(_large_star(stars)))
+        stars = cut(_small_star(_large_star(stars, hot_rows), hot_rows))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(
@@ -71,34 +71,31 @@ def _settled(edges: DataFrame) -> bool:
     return per_node.agg(F.count_if(loose)).first()[0] == 0
 
 
-def _star(links: DataFrame, keep: Column) -> DataFrame:
+def _star(links: DataFrame, keep: Column, hot_rows: int) -> DataFrame:
     """Link kept neighbours of ``u`` to the smallest node among ``u`` and its neighbours."""
-    low = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        links.join(low, "u").filter(keep)
-        .select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        attach_group(links, ["u"], hot_rows, low=F.min("v")).filter(keep)
+        .select(F.col("v").alias("src"), F.least("low", "u").alias("dst"))
         .filter(F.col("src") != F.col("dst"))
         .distinct()
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     links = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(
         edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))
     )
-    return _star(links, F.col("v") > F.col("u"))
+    return _star(links, F.col("v") > F.col("u"), hot_rows)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     down = edges.select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+    both = attach_group(down, ["u"], hot_rows, low=F.min("v"))
     return (
-        moved.filter(F.col("src") != F.col("dst"))
-        .unionByName(low.select(F.col("u").alias("src"), F.col("m").alias("dst")))
-        .distinct()
+        both.select(F.explode(F.array("u", "v")).alias("src"), F.col("low").alias("dst"))
+        .filter(F.col("src") != F.col("dst")).distinct()
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.graph import root_labels, with_components
+from furrow.operators.skew import attach_group
 from furrow.session import cut
 
 ROW_STEP = 1 << 31  # first-cell code = y * ROW_STEP + x
@@ -178,5 +179,4 @@ def merge_labels(fields: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFr
     dst = nodes.withColumnsRenamed({"comp": "b", "node": "dst"})
     edges = pairs.join(src, [*keys, "a"]).join(dst, [*keys, "b"]).select("src", "dst")
     grouped = with_components(nodes, edges, "node", "_group")
-    low = grouped.groupBy(*keys, "_group").agg(F.min("comp").alias("label"))
-    return grouped.join(low, [*keys, "_group"]).select(*keys, "comp", "label")
+    return attach_group(grouped, [*keys, "_group"], label=F.min("comp")).select(*keys, "comp", "label")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators import labelling, spatial
 from furrow.operators.graph import with_components
+from furrow.operators.skew import attach_group
 
 
 def merge_adjacent_fields(
@@ -66,8 +67,7 @@ def distinct_shapes(boxes: DataFrame) -> DataFrame:
     third of all rows costs one row there.
     """
     shape = ["x0", "y0", "x1", "y1"]
-    reps = boxes.groupBy(*shape).agg(F.min("id").alias("rep"))
-    return boxes.join(reps, shape)
+    return attach_group(boxes, shape, rep=F.min("id"))
 
 
 def box_components(boxes: DataFrame, accept, base: float = 16.0) -> DataFrame:

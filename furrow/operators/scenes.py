@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import projection, rings, text
+from furrow.operators.skew import bucket_join
 
 AREA_LIMIT_M2 = 1e10
 
@@ -47,7 +48,7 @@ def candidate_scenes(
     Footprints are projected here, once per scene rather than once per pair (``outline``).
     The range join becomes an equi-join on (lon cell, lat cell, period). A pair is kept only in
     the cell that holds the lower-left corner of the overlap, so no pair appears twice. The
-    period splits places that hold very many scenes; sort-merge skew splitting does the rest.
+    period splits places that hold very many scenes, and hot buckets are salted.
     """
     epoch = F.to_date(F.lit("1970-01-01"))
 
@@ -73,7 +74,7 @@ def candidate_scenes(
     )
     corner_x, corner_y = F.greatest("x0", "sx0"), F.greatest("y0", "sy0")
     return (
-        a.join(s, ["per", "cx", "cy"])
+        bucket_join(a, s, ["per", "cx", "cy"])
         .filter(
             (F.col("sx0") <= F.col("x1")) & (F.col("sx1") >= F.col("x0"))
             & (F.col("sy0") <= F.col("y1")) & (F.col("sy1") >= F.col("y0"))
@@ -245,7 +246,7 @@ def calendar_days(calendar: DataFrame, aois: DataFrame, rows: str = "first", cel
         .withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), cell)))
         .withColumn("cy", F.explode(_cells(F.col("y0"), F.col("y1"), cell)))
     )
-    inside = boxes.join(pts, ["cx", "cy"]).filter(
+    inside = bucket_join(pts, boxes, ["cx", "cy"]).filter(
         F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
     )
     theta = (F.col("doy") - 1.0) * (2 * F.pi() / 364.0)

@@ -63,8 +63,8 @@ def non_maximum_suppression(detections: DataFrame, iou_max: float = 0.3, patch:
     the boxes those overlap. Each round is three joins on the overlap edges still open, and no
     cap is set on rounds. Of exact copies only the best can survive, so copies go first.
     """
-    better = Window.partitionBy(patch, "x0", "y0", "x1", "y1").orderBy(F.desc("conf"), key)
-    boxes = detections.withColumn("_r", F.row_number().over(better)).filter(F.col("_r") == 1).drop("_r")
+    best = detections.groupBy(patch, "x0", "y0", "x1", "y1").agg(F.min(F.struct(-F.col("conf"), key)).alias("b"))
+    boxes = detections.join(best.select(F.col(f"b.{key}").alias(key)), key, "left_semi")
     info = boxes.select(F.col(key).alias("id"), F.col(patch).alias("patch"), "conf")
     pairs = box_pair_measures(intersecting_pairs(boxes.withColumnRenamed(key, "id"))).filter(F.col("iou") > iou_max)
     a_first = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a_id") < F.col("b_id")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.skew import bucket_join
+
 
 def intersecting_pairs(boxes: DataFrame, base: float = 16.0) -> DataFrame:
     """All pairs ``a < b`` of features whose boxes meet, each once.
@@ -13,7 +15,7 @@ def intersecting_pairs(boxes: DataFrame, base: float = 16.0) -> DataFrame:
     as wide per level), so each covers at most four cells there. Each feature is looked up from
     its own level upwards and meets only features native to that level, so small features never
     pair with each other in a large one's cells. A pair is kept in the cell holding the
-    lower-left corner of the overlap.
+    lower-left corner of the overlap. Hot cells are salted.
     """
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(base))
     sized = boxes.select("id", "x0", "y0", "x1", "y1").withColumn(
@@ -34,7 +36,7 @@ def intersecting_pairs(boxes: DataFrame, base: float = 16.0) -> DataFrame:
     a = native.select(*keep, *[F.col(c).alias("a_" + c) for c in ("id", "x0", "y0", "x1", "y1")])
     b = lifted.select(*keep, "native", *[F.col(c).alias("b_" + c) for c in ("id", "x0", "y0", "x1", "y1")])
     once = (F.col("native") < F.col("level")) | (F.col("a_id") < F.col("b_id"))
-    met = a.join(b, keep).filter(
+    met = bucket_join(a, b, keep).filter(
         once
         & (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1"))
         & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))

@@ -129,3 +129,27 @@ def test_dense_index(spark):
     df = spark.range(1000).withColumn("k", F.xxhash64("id"))
     got = graph.dense_index(df.repartition(7), [F.col("k")]).orderBy("k").collect()
     assert [r["idx"] for r in got] == list(range(1000))
+
+
+def test_hot_groups_take_the_broadcast_path(spark):
+    from furrow.operators import skew
+
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (3, 8)], "k int, v int")
+    got = skew.attach_group(rows, ["k"], 10, low=F.min("v"), n=F.count("v"))
+    assert {(r["k"], r["low"], r["n"]) for r in got.collect()} == {(1, 0, 50), (2, 7, 1), (3, 8, 1)}
+    assert got.count() == 52
+
+
+def test_hot_buckets_are_salted_without_losing_pairs(spark):
+    from furrow.operators import skew
+
+    left = spark.createDataFrame([(1, 100 + i) for i in range(9)] + [(2, 5), (4, 6)], "k int, a int")
+    right = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7), (3, 8)], "k int, b int")
+    got = [(r["k"], r["a"], r["b"]) for r in skew.bucket_join(left, right, ["k"], 10).collect()]
+    assert sorted(got) == sorted((r["k"], r["a"], r["b"]) for r in left.join(right, "k").collect())
+
+
+def test_components_with_hot_nodes(spark):
+    hub = [(1, 10 + i) for i in range(300)] + [(10 + i, 1000 + i) for i in range(0, 300, 3)]
+    got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(hub, "src long, dst long"), hot_rows=20).collect()}
+    assert got == brute(hub)
