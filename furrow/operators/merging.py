@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from furrow.operators import labelling, spatial
 from furrow.operators.graph import with_components
 from furrow.operators.skew import attach_group
+from furrow.session import cut
 
 
 def merge_adjacent_fields(
@@ -60,23 +61,138 @@ def merged_id(order: Column, ident: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(shown)), lambda t: t["s"]))
 
 
-def distinct_shapes(boxes: DataFrame) -> DataFrame:
-    """Copies of one box under their smallest id: ``rep`` added.
+EDGES = ("x0", "y0", "x1", "y1")
+BIN_STEPS = 16
 
-    Exact copies always merge, so only one of each enters the pair join; a box that holds a
-    third of all rows costs one row there.
+
+def shape_bins(boxes: DataFrame, steps: int = BIN_STEPS) -> DataFrame:
+    """Add ``bin``, the smallest id among boxes of nearly the same shape and place.
+
+    All four sides of the boxes of a bin agree to a fraction of their size, so copies and
+    near-copies, however many, enter the pair join as one row.
     """
-    shape = ["x0", "y0", "x1", "y1"]
-    return attach_group(boxes, shape, rep=F.min("id"))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    grain = F.pow(F.lit(2.0), F.ceil(F.log2(side))) / steps
+    keys = [f"_q{c}" for c in EDGES]
+    binned = boxes.withColumn("_g", grain)
+    binned = binned.withColumns({k: F.floor(F.col(c) / F.col("_g")) for k, c in zip(keys, EDGES)})
+    return attach_group(binned, ["_g", *keys], bin=F.min("id")).drop("_g", *keys)
+
+
+def _bin_extents(boxes: DataFrame) -> DataFrame:
+    """Outer extents of each bin as ``x0 .. y1`` and inner ones as ``i_x0 .. i_y1``."""
+    return boxes.groupBy(F.col("bin").alias("id")).agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.max("x0").alias("i_x0"), F.max("y0").alias("i_y0"), F.min("x1").alias("i_x1"), F.min("y1").alias("i_y1"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def _bounded_pairs(bins: DataFrame, base: float, accept: Column) -> DataFrame:
+    """Bin pairs that meet with ``sure`` (every pair of members merges) and ``maybe`` (some could).
+
+    Overlap is smallest between the inner extents and largest between the outer ones; areas the
+    other way round. ``accept`` must only grow with overlap, IoU, containment and shared length.
+    For bins of one box both bounds are the exact measures.
+    """
+    inner = bins.select("id", *[f"i_{c}" for c in EDGES], "n")
+    met = spatial.box_pair_measures(spatial.intersecting_pairs(bins, base))
+    for side in ("a", "b"):
+        met = met.join(inner.select(F.col("id").alias(f"{side}_id"), *[
+            F.col(f"i_{c}").alias(f"{side}_i_{c}") for c in EDGES], F.col("n").alias(f"{side}_n")), f"{side}_id")
+    own = inner.filter(F.col("n") > 1).join(bins.select("id", *EDGES), "id")
+    itself = own.select(*[F.col("id").alias(f"{s}_id") for s in "ab"], *[
+        F.col(f"{p}{c}").alias(f"{s}_{p}{c}") for s in "ab" for p in ("", "i_") for c in EDGES
+    ], *[F.col("n").alias(f"{s}_n") for s in "ab"])
+    every = met.unionByName(spatial.box_pair_measures(itself))
+    single = (F.col("a_n") == 1) & (F.col("b_n") == 1)
+
+    def overlap(prefix: str) -> Column:
+        def axis(v: str) -> Column:
+            low = F.greatest(f"a_{prefix}{v}0", f"b_{prefix}{v}0")
+            return F.greatest(F.least(f"a_{prefix}{v}1", f"b_{prefix}{v}1") - low, F.lit(0.0))
+
+        return axis("x") * axis("y")
+
+    def area(side: str, prefix: str) -> Column:
+        def axis(v: str) -> Column:
+            return F.greatest(F.col(f"{side}_{prefix}{v}1") - F.col(f"{side}_{prefix}{v}0"), F.lit(0.0))
+
+        return axis("x") * axis("y")
 
+    def bounds(inter: Column, areas: str, touch: float) -> dict[str, Column]:
+        a, b, floor = area("a", areas), area("b", areas), F.lit(1e-12)
+        made = {
+            "inter": inter, "iou": inter / F.greatest(a + b - inter, floor),
+            "containment": inter / F.greatest(F.least(a, b), floor),
+            "shared": F.lit(touch), "min_perimeter": F.lit(1.0),
+        }
+        return {k: F.when(single, F.col(k)).otherwise(v) for k, v in made.items()}
 
-def box_components(boxes: DataFrame, accept, base: float = 16.0) -> DataFrame:
-    """Add ``comp`` to boxes by an accepted-pair rule over the pair measures."""
-    boxes = distinct_shapes(boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))))
-    reps = boxes.filter(F.col("id") == F.col("rep"))
-    measured = spatial.box_pair_measures(spatial.intersecting_pairs(reps, base))
-    edges = measured.filter(accept).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    return with_components(boxes, edges, "rep")
+    exact = ["inter", "iou", "containment", "shared", "min_perimeter"]
+    kept = every.withColumns({f"_{k}": F.col(k) for k in exact})
+    low = kept.withColumns(bounds(overlap("i_"), "", 0.0)).withColumn("sure", accept)
+    high = low.withColumns({k: F.col(f"_{k}") for k in exact}).withColumns(bounds(overlap(""), "i_", 1.0)).withColumn("maybe", accept)
+    return high.select("a_id", "b_id", "sure", "maybe")
+
+
+def box_components(boxes: DataFrame, accept: Column, base: float = 16.0) -> DataFrame:
+    """Add ``comp`` to boxes by an accepted-pair rule over the pair measures.
+
+    Pairs are decided bin by bin where bounds allow. Members are only compared for undecided bin
+    pairs that sure pairs have not already put in one component, so piles of near-copies cost
+    their number of bins, not their number of pairs. The result is that of testing every pair.
+    """
+    solid = boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    binned = cut(shape_bins(solid))
+    pairs = cut(_bounded_pairs(_bin_extents(binned), base, accept))
+    sure = pairs.filter(F.col("sure") & (F.col("a_id") != F.col("b_id")))
+    open_self = pairs.filter((F.col("a_id") == F.col("b_id")) & ~F.col("sure"))
+    edges = sure.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+    grouped = with_components(binned.select("bin").distinct(), edges, "bin")
+    label = cut(grouped)
+    unsure = (
+        pairs.filter(F.col("maybe") & ~F.col("sure") & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id")
+        .join(label.select(F.col("bin").alias("a_id"), F.col("comp").alias("ca")), "a_id")
+        .join(label.select(F.col("bin").alias("b_id"), F.col("comp").alias("cb")), "b_id")
+        .filter(F.col("ca") != F.col("cb")).select("a_id", "b_id")
+        .unionByName(open_self.select("a_id", "b_id"))
+    )
+    if unsure.isEmpty():
+        return binned.join(label, "bin").drop("bin")
+    return _refine(binned, label, unsure, open_self, edges, accept)
+
+
+def _refine(binned: DataFrame, label: DataFrame, unsure: DataFrame, open_self: DataFrame, edges: DataFrame,
+            accept: Column) -> DataFrame:
+    """Settle undecided bin pairs by their members.
+
+    Graph nodes are boxes; a bin whose members all merge stands for them by its smallest id.
+    """
+    loose = open_self.select(F.col("a_id").alias("bin")).withColumn("_loose", F.lit(True))
+    node = F.when(F.col("_loose"), F.col("id")).otherwise(F.col("bin"))
+    members = cut(binned.join(loose, "bin", "left").withColumn("node", node).drop("_loose"))
+
+    def side(s: str) -> DataFrame:
+        return members.select(F.col("bin").alias(f"{s}_id"), F.col("id").alias(f"{s}_box"), F.col("node").alias(f"{s}_node"), *[
+            F.col(c).alias(f"{s}_{c}") for c in EDGES])
+
+    tested = spatial.box_pair_measures(
+        unsure.join(side("a"), "a_id").join(side("b"), "b_id")
+        .filter((F.col("a_id") != F.col("b_id")) | (F.col("a_box") < F.col("b_box")))
+    ).filter(accept)
+    found = tested.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
+    # a sure bin pair holds for every member, so a loose bin is tied to the other bin as a whole
+    nodes = members.select("bin", "node").distinct()
+    tied = (
+        edges.join(nodes.withColumnsRenamed({"bin": "src", "node": "s"}), "src")
+        .join(members.groupBy(F.col("bin").alias("dst")).agg(F.min("node").alias("d")), "dst").select("s", "d")
+        .unionByName(
+            edges.join(members.groupBy(F.col("bin").alias("src")).agg(F.min("node").alias("s")), "src")
+            .join(nodes.withColumnsRenamed({"bin": "dst", "node": "d"}), "dst").select("s", "d"))
+    )
+    both = found.unionByName(tied.select(F.col("s").alias("src"), F.col("d").alias("dst"))).filter(F.col("src") != F.col("dst"))
+    return with_components(members, both, "node").drop("bin", "node")
 
 
 def merge_adjacent_boxes(boxes: DataFrame, ratio: float, base: float = 16.0) -> DataFrame:

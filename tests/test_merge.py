@@ -153,3 +153,49 @@ def test_components_with_hot_nodes(spark):
     hub = [(1, 10 + i) for i in range(300)] + [(10 + i, 1000 + i) for i in range(0, 300, 3)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(hub, "src long, dst long"), hot_rows=20).collect()}
     assert got == brute(hub)
+
+
+def brute_groups(b, rule):
+    edges = [(i + 1, j + 1) for i in range(len(b)) for j in range(i + 1, len(b)) if rule(b[i], b[j])]
+    label = brute(edges)
+    groups = {}
+    for i in range(1, len(b) + 1):
+        groups.setdefault(label.get(i, i), []).append(i)
+    return {",".join(map(str, g)) for g in groups.values()}
+
+
+def overlap(p, q):
+    return max(0, min(p[2], q[2]) - max(p[0], q[0])) * max(0, min(p[3], q[3]) - max(p[1], q[1]))
+
+
+def piles(seed):
+    """Near-copies in piles, some far apart, some barely overlapping."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for cx, cy, spread, n in ((0, 0, 0.4, 60), (9, 0, 0.4, 40), (300, 0, 6.0, 60), (600, 5, 2.0, 30)):
+        x, y = cx + rng.normal(0, spread, n), cy + rng.normal(0, spread, n)
+        rows += [(a, b, a + 10, b + 10) for a, b in zip(np.round(x, 2), np.round(y, 2))]
+    return [tuple(map(float, r)) for r in rows]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("iou, contain", [(0.2, 0.8), (0.6, 0.95), (0.9, 0.99)])
+def test_piles_of_near_copies(spark, seed, iou, contain):
+    b = piles(seed)
+
+    def rule(p, q):
+        i = overlap(p, q)
+        return i / (200 - i) >= iou or i / 100 >= contain
+
+    accept = spatial.merges_duplicates(F.col("iou"), F.col("containment"), iou, contain)
+    got = merging.box_components(boxes(spark, b), accept)
+    ids = {r["ids"] for r in got.groupBy("comp").agg(merging.merged_id(F.col("id"), F.col("id")).alias("ids")).collect()}
+    assert ids == brute_groups(b, rule)
+
+
+def test_piles_that_overlap(spark):
+    b = piles(3)
+    accept = spatial.merges_adjacent(F.col("inter"), F.col("shared"), F.col("min_perimeter"), 0.3)
+    got = merging.box_components(boxes(spark, b), accept)
+    ids = {r["ids"] for r in got.groupBy("comp").agg(merging.merged_id(F.col("id"), F.col("id")).alias("ids")).collect()}
+    assert ids == brute_groups(b, lambda p, q: overlap(p, q) > 0)
