@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from furrow.checks import catalog
+from furrow.checks import contract
 
 HEADLINE = [
     "W2_scene_selection",
@@ -39,7 +39,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    queries = catalog.queries()
+    queries = contract.queries()
     # load classes and start Python workers on the smallest tables before the clock
     for name in HEADLINE:
         queries[name](spark, "/root/testdata/sf0.001").count()

@@ -8,7 +8,6 @@ from furrow.checks import bindings as B
 from furrow.checks.registry import query, with_
 from furrow.functions.raster_math import gaussian_kernel
 from furrow.operators import evaluation, losses as L
-from furrow.operators import stencil
 
 N = 3
 BATCH = "raster_id"

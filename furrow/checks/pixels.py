@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from furrow.checks import bindings as B
 from furrow.checks.registry import query, with_
 from furrow.functions import raster_math as M
-from furrow.functions.text import hash_unit
 from furrow.operators import evaluation, patches, sampling, scoring, stencil
 from furrow.plans import flows
 from furrow.session import scratch_path
 from furrow.sinks import writers
 from furrow.sources import rasters
 
-V, Q = B.VECTORS_SQL, "q[%d]"
+V = B.VECTORS_SQL
 # DuckDB form of the hashed draw
 UNIT = "(('0x' || substr(md5(concat_ws('|', {keys}, {seed})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 

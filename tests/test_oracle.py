@@ -2,10 +2,10 @@
 
 import pytest
 
-from furrow.checks import catalog
+from furrow.checks import contract
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
