@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.skew import HOT_ROWS, attach_group
@@ -40,22 +40,17 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": nodes[moved], "dst": nodes[label[moved]]})
 
 
-def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, dst`` (bigint) -> ``node, comp`` with comp the smallest node of the component.
 
     Rounds of large-star and small-star. Each is a map-side combined minimum per node, given
     back to the node's edges; a hub never gathers its neighbours in one task. Edges are first contracted batch by batch, which leaves only
-    links between batches to the loop. Stops when every node points at one root, and raises
-    rather than return a partial answer.
+    links between batches to the loop, which ends when every node points at one root.
     """
     both = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
     stars = cut(both.mapInPandas(_contract, "src bigint, dst bigint").distinct())
-    for _ in range(max_rounds):
-        if _settled(stars):
-            break
+    while not _settled(stars):
         stars = cut(_small_star(_large_star(stars, hot_rows), hot_rows))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(
         stars.select(F.col("dst").alias("node"), F.col("dst").alias("comp")).distinct()
     )
@@ -116,20 +111,8 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFr
     placed = cut(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_mid", 33))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("s")).select(
-        F.explode(
-            F.transform(
-                "s",
-                lambda cur: F.struct(
-                    cur["_part"].alias("_part"),
-                    F.aggregate(
-                        F.filter("s", lambda o: o["_part"] < cur["_part"]),
-                        F.lit(0).cast("bigint"), lambda acc, o: acc + o["_n"],
-                    ).alias("_off"),
-                ),
-            )
-        ).alias("o")
-    ).select("o.*")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
