@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import language_id, near_dedup, pii
+import public_tokenizers
+
+from furrow.llm import bpe, language_id, near_dedup, pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,8 +30,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to byte-level BPE ids and decoded again."""
+    return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
+    "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
 }
