@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, near_dedup, pii
+from furrow.llm import bpe, language_id, mixing, near_dedup, pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,7 +34,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to their target weights takes of every document."""
+    return mixing.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix": op3_mix,
     "op5_pii": op5_pii,
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
