@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, mixing, near_dedup, pii
+from furrow.llm import bpe, language_id, mixing, near_dedup, page_text, pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,9 +39,15 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_read(spark, sf_dir, "documents"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op5_pii": op5_pii,
+    "op6_page_text": op6_page_text,
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
