@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, mixing, near_dedup, page_text, pii
+from furrow.llm import bpe, language_id, mixing, near_dedup, page_text, pii, syncmers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,10 +44,16 @@ def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op5_pii": op5_pii,
     "op6_page_text": op6_page_text,
+    "op7_syncmers": op7_syncmers,
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
