@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, mixing, near_dedup, page_text, pii, syncmers
+from furrow.llm import bpe, language_id, mixing, near_dedup, neighbours, page_text, pii, syncmers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,9 +49,15 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.report(_read(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op5_pii": op5_pii,
+    "op4_neighbours": op4_neighbours,
     "op6_page_text": op6_page_text,
     "op7_syncmers": op7_syncmers,
     "op8_bpe": op8_bpe,
