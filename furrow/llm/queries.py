@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, mixing, near_dedup, neighbours, page_text, pii, syncmers
+from furrow.llm import bpe, language_id, mixing, near_dedup, neighbours, page_text, pii, repeats, syncmers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,7 +54,13 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its bytes in strings of 200 bytes that occur more than once."""
+    return repeats.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeats": op2_repeats,
     "op3_mix": op3_mix,
     "op5_pii": op5_pii,
     "op4_neighbours": op4_neighbours,

@@ -33,7 +33,7 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_ODD, _INVERSE)):
             steps = np.full(n, base, np.uint64)
@@ -68,7 +68,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | breaks[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
-    power, inverse = _power_tables(len(data))
+    power, inverse = power_tables(len(data))
     sums = np.cumsum(_CODE[data] * power[:len(data)])
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     return mix((sums[ends] - before) * inverse[starts]), np.searchsorted(starts, offsets)
