@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, mixing, near_dedup, neighbours, page_text, pii, repeats, syncmers
+from furrow.llm import bpe, language_id, licences, mixing, near_dedup, neighbours, page_text, pii, repeats, syncmers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,7 +21,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents at a similarity of 0.85."""
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+    found = near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,13 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_read(spark, sf_dir, "documents"))
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence templates found in every document."""
+    return licences.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
     "op2_repeats": op2_repeats,
     "op3_mix": op3_mix,
     "op5_pii": op5_pii,
@@ -70,4 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_licences": licences.sql(),
+    "op10_minhash": near_dedup.sql(percent=85),
+}
