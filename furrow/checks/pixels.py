@@ -55,30 +55,43 @@ def fill_nan(spark, sf_dir):
     return c.select("vec_id", "i", F.when(filled > 1e30, filled / M.FLOAT_MAX).otherwise(filled).alias("v"))
 
 
-SOFTMAX_SQL = """
-sm AS (SELECT vec_id, exp(v[1] - m) AS e1, exp(v[2] - m) AS e2, exp(v[3] - m) AS e3
-       FROM (SELECT *, greatest(v[1], v[2], v[3]) AS m FROM vectors))"""
+# The 64 values of a vector as 16 pixels with 4 class scores each.
+PIXELS_SQL = """
+pixels AS (SELECT vec_id, pix, v[4 * pix + 1:4 * pix + 4] AS s, q[4 * pix + 1:4 * pix + 4] AS t FROM (SELECT *, unnest(range(16)) AS pix FROM vectors))"""
+SOFTMAX_SQL = PIXELS_SQL + """,
+sm AS (SELECT vec_id, pix, list_transform(s, lambda x: exp(x - m) / z) AS p
+       FROM (SELECT *, list_sum(list_transform(s, lambda x: exp(x - m))) AS z FROM (SELECT *, list_max(s) AS m FROM pixels)))"""
+
+
+def class_pixels(spark, sf_dir):
+    """``vec_id, pix`` with scores ``s`` and quantised scores ``t``."""
+    cut = [F.slice(c, 4 * F.col("pix") + 1, F.lit(4)).alias(n) for c, n in (("v", "s"), ("q", "t"))]
+    pix = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pix")
+    return B.vectors(spark, sf_dir).select("vec_id", "v", "q", pix).select("vec_id", "pix", *cut)
+
+
+def by_class(scores, name):
+    return [F.get(scores, F.lit(k)).alias(f"{name}{k}") for k in range(4)]
 
 
 @query("M6_softmax", with_(V, SOFTMAX_SQL, body="""
-SELECT vec_id, round(e1 / (e1 + e2 + e3), 6) AS p0, round(e2 / (e1 + e2 + e3), 6) AS p1, round(e3 / (e1 + e2 + e3), 6) AS p2 FROM sm"""))
+SELECT vec_id, pix, round(p[1], 6) AS p0, round(p[2], 6) AS p1, round(p[3], 6) AS p2, round(p[4], 6) AS p3 FROM sm"""))
 def softmax(spark, sf_dir):
-    p = B.vectors(spark, sf_dir).select("vec_id", M.softmax(F.slice("v", 1, 3)).alias("p"))
-    return p.select("vec_id", *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(3)])
+    p = class_pixels(spark, sf_dir).select("vec_id", "pix", M.softmax(F.col("s")).alias("p"))
+    return p.select("vec_id", "pix", *by_class("p", "p"))
 
 
 @query("M7_K3_score_bytes", with_(V, SOFTMAX_SQL, body="""
-SELECT vec_id, floor(e1 / (e1 + e2 + e3) * 255)::BIGINT AS s0, floor(e2 / (e1 + e2 + e3) * 255)::BIGINT AS s1,
-       floor(e3 / (e1 + e2 + e3) * 255)::BIGINT AS s2 FROM sm"""))
+SELECT vec_id, pix, floor(p[1] * 255)::BIGINT AS s0, floor(p[2] * 255)::BIGINT AS s1, floor(p[3] * 255)::BIGINT AS s2, floor(p[4] * 255)::BIGINT AS s3 FROM sm"""))
 def score_bytes(spark, sf_dir):
-    s = B.vectors(spark, sf_dir).select("vec_id", scoring.scores_to_bytes(F.slice("v", 1, 3)).alias("s"))
-    return s.select("vec_id", *[F.get("s", F.lit(k)).alias(f"s{k}") for k in range(3)])
+    s = class_pixels(spark, sf_dir).select("vec_id", "pix", scoring.scores_to_bytes(F.col("s")).alias("b"))
+    return s.select("vec_id", "pix", *by_class("b", "s"))
 
 
-@query("M8_argmax", with_(V, body="""
-SELECT vec_id, CASE WHEN q[1] >= q[2] AND q[1] >= q[3] THEN 0 WHEN q[2] >= q[3] THEN 1 ELSE 2 END::BIGINT AS cls FROM vectors"""))
+@query("M8_argmax", with_(V, PIXELS_SQL, body="""
+SELECT vec_id, pix, (list_position(t, list_max(t)) - 1)::BIGINT AS cls FROM pixels"""))
 def argmax(spark, sf_dir):
-    return B.vectors(spark, sf_dir).select("vec_id", M.argmax(F.slice("q", 1, 3)).alias("cls"))
+    return class_pixels(spark, sf_dir).select("vec_id", "pix", M.argmax(F.col("t")).alias("cls"))
 
 
 @query("M9_two_date_median", with_(V, body="""
@@ -168,12 +181,12 @@ def label_masks(spark, sf_dir):
 
 
 @query("P12_score_masks", with_(V, SOFTMAX_SQL, body="""
-SELECT vec_id, CASE WHEN floor(e2 / (e1 + e2 + e3) * 255) >= 0.35 * 255 THEN 1 ELSE 0 END::BIGINT AS field,
-  CASE WHEN floor(e3 / (e1 + e2 + e3) * 255) >= 0.35 * 255 THEN 1 ELSE 0 END::BIGINT AS boundary FROM sm"""))
+SELECT vec_id, pix, CASE WHEN floor(p[2] * 255) >= 0.35 * 255 THEN 1 ELSE 0 END::BIGINT AS field,
+  CASE WHEN floor(p[3] * 255) >= 0.35 * 255 THEN 1 ELSE 0 END::BIGINT AS boundary FROM sm"""))
 def score_masks(spark, sf_dir):
-    f, b = scoring.masks_from_scores(F.col("s"), 0.35)
-    s = B.vectors(spark, sf_dir).select("vec_id", scoring.scores_to_bytes(F.slice("v", 1, 3)).alias("s"))
-    return s.select("vec_id", f.alias("field"), b.alias("boundary"))
+    f, b = scoring.masks_from_scores(F.col("b"), 0.35)
+    s = class_pixels(spark, sf_dir).select("vec_id", "pix", scoring.scores_to_bytes(F.col("s")).alias("b"))
+    return s.select("vec_id", "pix", f.alias("field"), b.alias("boundary"))
 
 
 LC_SQL = """
@@ -272,6 +285,16 @@ def band_scan(spark, sf_dir):
     return rasters.unpack_tiles(tiles, 8).select("vec_id", "band", "x", "v")
 
 
+@query("K3_sparse_tiles", with_(B.cells_sql(), body="""
+SELECT raster_id, y, x, cls::BIGINT AS v FROM cells WHERE (y * 7 + x * 3 + raster_id) % 5 < 2 AND y >= 3 AND x >= 2"""))
+def sparse_tiles(spark, sf_dir):
+    """Offset tiles with holes come back where they were."""
+    path = scratch_path(spark, "sparse")
+    c = B.cells(spark, sf_dir).filter("(y * 7 + x * 3 + raster_id) % 5 < 2 AND y >= 3 AND x >= 2")
+    writers.write_tiles(rasters.pack_tiles(c, ["raster_id"], "cls", 8), path)
+    return rasters.unpack_tiles(spark.read.parquet(path), 8).select("raster_id", "y", "x", "v")
+
+
 @query("S6_window_scan", with_(B.cells_sql(), body="""
 SELECT raster_id, y, x, cls::BIGINT AS cls FROM cells
 WHERE 10.0 * (x + 0.5) BETWEEN raster_id % 7 * 25.0 AND raster_id % 7 * 25.0 + 300.0

@@ -94,6 +94,12 @@ def chip_stats(spark, sf_dir):
     return E.chip_stats(B.cells(spark, sf_dir, SIDE), KEY)
 
 
+@query("A4_J11_chips_wider_than_a_tile", with_(*STATS_SQL, body="SELECT * FROM st", recursive=True))
+def chip_stats_over_tiles(spark, sf_dir):
+    """Tiles far smaller than a chip: objects that cross their edges stay whole."""
+    return E.chip_stats(B.cells(spark, sf_dir, SIDE), KEY, stride=5)
+
+
 @query("A5_E2_pooled_metrics", with_(*STATS_SQL, f"pooled AS (SELECT {SUMS_SQL} FROM st)", body=f"SELECT *, {METRIC_SQL} FROM pooled", recursive=True))
 def pooled(spark, sf_dir):
     """Metrics of all chips pooled: sums of counts stand for concatenated pixels."""

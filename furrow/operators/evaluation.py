@@ -14,6 +14,7 @@ from furrow.constants import FIELD, UNKNOWN
 from furrow.functions.text import hash_unit
 from furrow.operators import labelling
 from furrow.operators.graph import dense_index
+from furrow.session import cut
 
 COUNTS = ["p_tp", "p_fp", "p_fn", "o_tp", "o_fp", "o_fn"]
 METRICS = ["pixel_iou", "pixel_precision", "pixel_recall", "object_precision", "object_recall", "object_f1"]
@@ -74,7 +75,7 @@ def object_overlaps(
     counts shared cells, ``iou`` and ``match`` follow. ``t_first`` and ``p_first`` mark one row
     per object, ``p_matched`` tells whether the prediction has a match. At a threshold of 0.5 or
     more an object matches at most one other, so counts decide everything. Both masks are
-    labelled in one pass as two layers. ``stride`` must cover the whole chip.
+    labelled in one pass as two layers. An object that crosses tiles of a chip is one object.
     """
     if iou_threshold < 0.5:
         raise ValueError("a threshold below 0.5 would allow several matches per object")
@@ -83,6 +84,11 @@ def object_overlaps(
     ))
     masks = pixels.select(*keys, "y", "x", F.explode(layers).alias("layer"))
     runs = labelling.label_fields(masks, [*keys, "layer"], stride)
+    at_edge = (F.col("x") % stride == stride - 1) | (F.col("y") % stride == stride - 1)
+    if not pixels.filter(at_edge).isEmpty():
+        # objects can only meet another tile where there are cells on a tile's last row or column
+        runs = cut(runs)
+        runs = labelling.stitched(runs, [*keys, "layer"], stride).drop("comp").withColumnRenamed("label", "comp")
 
     def comp_of(layer: str) -> Column:
         return F.max(F.when(F.col("layer") == layer, F.col("comp"))).alias(layer)
@@ -190,29 +196,27 @@ def bootstrap_by_draws(stats: DataFrame, key: str, n_bootstrap: int = 1000, conf
 
 
 def bootstrap_by_blocks(
-    stats: DataFrame, key: str, n_bootstrap: int = 1000, confidence: float = 0.95, seed: int = 42,
-    blocks: int | None = None,
+    stats: DataFrame, key: str, n_bootstrap: int = 1000, confidence: float = 0.95, seed: int = 42, blocks: int = 256,
 ) -> DataFrame:
     """The same law without shuffling draws.
 
     A multinomial over chips is a multinomial over blocks of chips followed by one inside each
-    block. Every block derives the block totals from the seed, so blocks need only each other's
-    sizes and send one row per replicate. By default a block has about 50,000 chips.
+    block. Chips go to ``blocks`` blocks by a hash of their key and are taken in order of key, so
+    the result depends on the rows and the seed alone. The totals per block and replicate are drawn
+    once (``blocks`` x ``n_bootstrap`` numbers); each block sends one row per replicate.
     """
-    if blocks is None:
-        blocks = stats.count() // 50_000 + 8
-    placed = stats.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    placed = stats.select(key, *COUNTS, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     sizes = np.zeros(blocks)
     for r in placed.groupBy("block").count().collect():  # at most `blocks` rows
         sizes[r["block"]] = r["count"]
-    share, total = sizes / max(sizes.sum(), 1), int(sizes.sum())
+    totals = np.random.default_rng([seed]).multinomial(int(sizes.sum()), sizes / max(sizes.sum(), 1), size=n_bootstrap)
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         b, n = int(pdf["block"].iloc[0]), len(pdf)
-        counts = pdf[COUNTS].to_numpy(float)
-        here = np.random.default_rng([seed]).multinomial(total, share, size=n_bootstrap)[:, b]
+        counts = pdf.sort_values([key, *COUNTS])[COUNTS].to_numpy(float)
         rng = np.random.default_rng([seed, b + 1])
         step = max(1, (1 << 22) // n)
+        here = totals[:, b]
         parts = [rng.multinomial(here[r:r + step], np.full(n, 1 / n)) @ counts for r in range(0, n_bootstrap, step)]
         frame = pd.DataFrame(np.concatenate(parts), columns=COUNTS)
         frame.insert(0, "rep", np.arange(n_bootstrap))

@@ -30,25 +30,43 @@ def root_labels(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return label
 
 
+# Edges that are contracted together in one task.
+BATCH = 1 << 18
+
+
+def _stars(pairs: np.ndarray) -> pd.DataFrame:
+    """Stars on the components of these edges alone."""
+    nodes, flat = np.unique(pairs.ravel(), return_inverse=True)
+    ends = flat.reshape(-1, 2)
+    label = root_labels(len(nodes), ends[:, 0], ends[:, 1])
+    moved = label != np.arange(len(nodes))
+    return pd.DataFrame({"src": nodes[moved], "dst": nodes[label[moved]]})
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replace each batch's edges by stars on the batch's own components."""
+    """Replace each ``BATCH`` edges or so by stars on their own components."""
+    held, rows = [], 0
     for pdf in batches:
-        nodes, flat = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        ends = flat.reshape(-1, 2)
-        label = root_labels(len(nodes), ends[:, 0], ends[:, 1])
-        moved = label != np.arange(len(nodes))
-        yield pd.DataFrame({"src": nodes[moved], "dst": nodes[label[moved]]})
+        held.append(pdf[["src", "dst"]].to_numpy())
+        rows += len(pdf)
+        if rows >= BATCH:
+            yield _stars(np.concatenate(held))
+            held, rows = [], 0
+    if held:
+        yield _stars(np.concatenate(held))
 
 
 def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, dst`` (bigint) -> ``node, comp`` with comp the smallest node of the component.
 
     Rounds of large-star and small-star. Each is a map-side combined minimum per node, given
-    back to the node's edges; a hub never gathers its neighbours in one task. Edges are first contracted batch by batch, which leaves only
-    links between batches to the loop, which ends when every node points at one root.
+    back to the node's edges; a hub never gathers its neighbours in one task. Edges are first contracted
+    batch by batch, which leaves only links between batches to the loop, which ends when every node
+    points at one root.
     """
-    both = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
-    stars = cut(both.mapInPandas(_contract, "src bigint, dst bigint").distinct())
+    both = cut(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")))
+    batches = both.count() // BATCH + 1
+    stars = cut(both.coalesce(batches).mapInPandas(_contract, "src bigint, dst bigint").distinct())
     while not _settled(stars):
         stars = cut(_small_star(_large_star(stars, hot_rows), hot_rows))
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(

@@ -64,13 +64,13 @@ def non_maximum_suppression(detections: DataFrame, iou_max: float = 0.3, patch:
     """
     best = detections.groupBy(patch, "x0", "y0", "x1", "y1").agg(F.min(F.struct(-F.col("conf"), key)).alias("b"))
     boxes = detections.join(best.select(F.col(f"b.{key}").alias(key)), key, "left_semi")
-    info = boxes.select(F.col(key).alias("id"), F.col(patch).alias("patch"), "conf")
-    pairs = box_pair_measures(intersecting_pairs(boxes.withColumnRenamed(key, "id"))).filter(F.col("iou") > iou_max)
+    info = boxes.select(F.col(key).alias("id"), "conf")
+    met = intersecting_pairs(boxes.withColumnRenamed(key, "id"), keys=[patch])
+    pairs = box_pair_measures(met).filter(F.col("iou") > iou_max)
     a_first = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a_id") < F.col("b_id")))
     edges = cut(
-        pairs.join(info.withColumnsRenamed({"id": "a_id", "patch": "pa", "conf": "ca"}), "a_id")
-        .join(info.withColumnsRenamed({"id": "b_id", "patch": "pb", "conf": "cb"}), "b_id")
-        .filter(F.col("pa") == F.col("pb"))
+        pairs.join(info.withColumnsRenamed({"id": "a_id", "conf": "ca"}), "a_id")
+        .join(info.withColumnsRenamed({"id": "b_id", "conf": "cb"}), "b_id")
         .select(F.when(a_first, F.col("a_id")).otherwise(F.col("b_id")).alias("hi"),
                 F.when(a_first, F.col("b_id")).otherwise(F.col("a_id")).alias("lo"))
     )

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from furrow.operators.skew import bucket_join
 
 
-def intersecting_pairs(boxes: DataFrame, base: float = 16.0) -> DataFrame:
+def intersecting_pairs(boxes: DataFrame, base: float = 16.0, keys: list[str] | None = None) -> DataFrame:
     """All pairs ``a < b`` of features whose boxes meet, each once.
 
     ``boxes``: ``id, x0, y0, x1, y1``. Features go to a grid level of their own size (cells twice
     as wide per level), so each covers at most four cells there. Each feature is looked up from
     its own level upwards and meets only features native to that level, so small features never
     pair with each other in a large one's cells. A pair is kept in the cell holding the
-    lower-left corner of the overlap. Hot cells are salted.
+    lower-left corner of the overlap. Hot cells are salted. Only features with equal ``keys`` meet.
     """
+    keys = keys or []
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(base))
-    sized = boxes.select("id", "x0", "y0", "x1", "y1").withColumn(
+    sized = boxes.select(*keys, "id", "x0", "y0", "x1", "y1").withColumn(
         "native", F.ceil(F.log2(extent / base)).cast("int")
     )
     top = sized.select(F.max("native").alias("top")).scalar()
@@ -32,7 +33,7 @@ def intersecting_pairs(boxes: DataFrame, base: float = 16.0) -> DataFrame:
 
     native = placed(sized.withColumn("level", F.col("native")))
     lifted = placed(sized.withColumn("level", F.explode(F.sequence(F.col("native"), top))))
-    keep = ["level", "cx", "cy"]
+    keep = [*keys, "level", "cx", "cy"]
     a = native.select(*keep, *[F.col(c).alias("a_" + c) for c in ("id", "x0", "y0", "x1", "y1")])
     b = lifted.select(*keep, "native", *[F.col(c).alias("b_" + c) for c in ("id", "x0", "y0", "x1", "y1")])
     once = (F.col("native") < F.col("level")) | (F.col("a_id") < F.col("b_id"))

@@ -46,22 +46,35 @@ def normalise_items(items: DataFrame) -> DataFrame:
 
 
 def pack_tiles(cells: DataFrame, keys: list[str], value: str, side: int = TILE_SIDE) -> DataFrame:
-    """Cells -> one row per tile with row-major ``values``; a tile has at most side^2 cells."""
+    """Cells -> one row per tile: its first cell ``y0, x0``, its size and row-major ``values``.
+
+    Cells that are absent inside a tile are null. A tile has at most side^2 cells.
+    """
     spot = F.struct(F.col("y"), F.col("x"), F.col(value).alias("v"))
     tile = cells.withColumns({"tile_y": F.floor(F.col("y") / side), "tile_x": F.floor(F.col("x") / side)})
-    return tile.groupBy(*keys, "tile_y", "tile_x").agg(
+    packed = tile.groupBy(*keys, "tile_y", "tile_x").agg(
+        F.min("y").cast("int").alias("y0"), F.min("x").cast("int").alias("x0"),
         (F.max("y") - F.min("y") + 1).cast("int").alias("h"),
         (F.max("x") - F.min("x") + 1).cast("int").alias("w"),
-        F.transform(F.array_sort(F.collect_list(spot)), lambda s: s["v"]).alias("values"),
+        F.array_sort(F.collect_list(spot)).alias("_spots"),
     )
+    at = F.transform("_spots", lambda s: ((s["y"] - F.col("y0")) * F.col("w") + s["x"] - F.col("x0")).cast("int"))
+    packed = packed.withColumn("_at", at)
+    absent = F.get(F.col("_spots"), F.lit(-1))["v"]  # null of the value's type
+    gaps = F.transform("_spots", lambda s, i: F.concat(
+        F.array_repeat(absent, F.col("_at")[i] - F.when(i > 0, F.col("_at")[F.greatest(i - 1, F.lit(0))]).otherwise(-1) - 1), F.array(s["v"])
+    ))
+    rest = F.array_repeat(absent, F.col("h") * F.col("w") - 1 - F.element_at("_at", -1))
+    return packed.withColumn("values", F.concat(F.flatten(gaps), rest)).drop("_spots", "_at")
 
 
 def unpack_tiles(tiles: DataFrame, side: int = TILE_SIDE, name: str = "v") -> DataFrame:
-    out = tiles.select("*", F.posexplode("values").alias("_i", name))
+    """Tiles -> one row per cell that is not null, where it was before packing."""
+    out = tiles.select("*", F.posexplode("values").alias("_i", name)).filter(F.col(name).isNotNull())
     return out.withColumns({
-        "y": (F.col("tile_y") * side + F.floor(F.col("_i") / F.col("w"))).cast("int"),
-        "x": (F.col("tile_x") * side + F.col("_i") % F.col("w")).cast("int"),
-    }).drop("_i", "values", "h", "w", "tile_y", "tile_x")
+        "y": (F.col("y0") + F.floor(F.col("_i") / F.col("w"))).cast("int"),
+        "x": (F.col("x0") + F.col("_i") % F.col("w")).cast("int"),
+    }).drop("_i", "values", "h", "w", "y0", "x0", "tile_y", "tile_x")
 
 
 def scan_bands(tiles: DataFrame, bands: list[int]) -> DataFrame:

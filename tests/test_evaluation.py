@@ -47,6 +47,39 @@ def test_bootstraps_agree(spark):
         assert b[m]["upper"] == pytest.approx(a[m]["upper"], abs=0.01)
 
 
+def test_block_bootstrap_depends_on_rows_and_seed_alone(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(int, rng.integers(0, 60, 6))) for i in range(60)]
+    stats = spark.createDataFrame(rows, "chip long, " + ", ".join(f"{c} long" for c in E.COUNTS))
+    results = [sorted(map(tuple, E.bootstrap_by_blocks(stats.repartition(n), "chip", 50).collect())) for n in (1, 3, 7)]
+    assert results[0] == results[1] == results[2]
+
+
+def test_objects_that_cross_tiles_are_one(spark):
+    grid = np.zeros((12, 30), int)
+    grid[2:9, 1:28] = 1
+    s = E.chip_stats(pixels(spark, grid, grid), KEY, stride=4).first()
+    assert (s["o_tp"], s["o_fp"], s["o_fn"]) == (1, 0, 0)
+
+
+def test_sparse_tiles_keep_their_places(spark):
+    from furrow.sources import rasters
+
+    cells = [(1, y, x, 10 * y + x) for y, x in [(2, 3), (2, 5), (3, 3), (3, 4), (3, 5), (9, 17), (11, 16)]]
+    packed = rasters.pack_tiles(spark.createDataFrame(cells, "r int, y int, x int, v int"), ["r"], "v", 8)
+    got = sorted((r["r"], r["y"], r["x"], r["v"]) for r in rasters.unpack_tiles(packed, 8).collect())
+    assert got == sorted(cells)
+
+
+def test_suppression_pairs_stay_inside_patches(spark):
+    from furrow.operators import spatial
+
+    rows = [(p * 10 + i, p, float(i), 0.0, float(i) + 5, 5.0) for p in range(6) for i in range(4)]
+    boxes = spark.createDataFrame(rows, "id long, patch long, x0 double, y0 double, x1 double, y1 double")
+    pairs = spatial.intersecting_pairs(boxes, keys=["patch"]).collect()
+    assert len(pairs) == 6 * 6 and all(r["a_id"] // 10 == r["b_id"] // 10 for r in pairs)
+
+
 def test_masked_loss_without_labels_is_zero(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 0.0], 3)], "b int, logits array<double>, cls int")
     sums = L.overlap_sums(L.scored(df, 3), "b", 3, mode="flatten")

@@ -149,6 +149,15 @@ def test_hot_buckets_are_salted_without_losing_pairs(spark):
     assert sorted(got) == sorted((r["k"], r["a"], r["b"]) for r in left.join(right, "k").collect())
 
 
+def test_buckets_with_a_hot_left_side(spark):
+    from furrow.operators import skew
+
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 5)], "k int, a int")
+    right = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 7), (3, 8)], "k int, b int")
+    got = [(r["k"], r["a"], r["b"]) for r in skew.bucket_join(left, right, ["k"], 10).collect()]
+    assert sorted(got) == sorted((r["k"], r["a"], r["b"]) for r in left.join(right, "k").collect())
+
+
 def test_components_with_hot_nodes(spark):
     hub = [(1, 10 + i) for i in range(300)] + [(10 + i, 1000 + i) for i in range(0, 300, 3)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(hub, "src long, dst long"), hot_rows=20).collect()}
