@@ -133,7 +133,7 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: counts per base kind, the digest of the base spans, and all spans."""
+    """One row per document: counts per base kind, the digest of the base spans, all spans and their scores x 1000."""
     base = [k.name for k in KINDS if k.base]
 
     def of_kind(name: str) -> Column:
@@ -144,7 +144,7 @@ def report(docs: DataFrame) -> DataFrame:
         *[F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in base],
         F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
-        F.transform("spans", lambda s: F.round(s["score"], 3)).alias("scores"),
+        F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 1000).cast("int").cast("string")), ",").alias("scores"),
     )
 
 
@@ -169,3 +169,49 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         replaced["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new")).otherwise(F.col("_row.n_chars")).cast("bigint")
     return found.select(*[replaced.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
+def sql() -> str:
+    """The same for DuckDB over the table ``documents``; a national id is a whole run of digits and hyphens."""
+    finds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]", "iban": KINDS[4].pattern, "national_id": r"[0-9-]+",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    plain = "replace(m, ' ', '')"
+    luhn_sum = (
+        f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN (len({digits}) - i) % 2 = 0 THEN {digits}[i]::INT "
+        f"WHEN {digits}[i]::INT > 4 THEN 2 * {digits}[i]::INT - 9 ELSE 2 * {digits}[i]::INT END))"
+    )
+    moved = f"string_split({plain}[5:] || {plain}[1:4], '')"
+    remainder = (
+        f"list_reduce(list_prepend(0, list_transform({moved}, lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ord(c) - 48 ELSE ord(c) - 55 END)), "
+        "lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97)"
+    )
+    valid = {
+        "email": "true", "ip": f"regexp_full_match(m, '0*{_IP_PART}(?:\\.0*{_IP_PART}){{3}}')".replace("\\\\", "\\"),
+        "card": f"len({digits}) BETWEEN 14 AND 19 AND {luhn_sum} % 10 = 0", "phone": f"len({digits}) BETWEEN 10 AND 15",
+        "iban": f"len({plain}) BETWEEN 15 AND 34 AND {remainder} = 1", "national_id": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')",
+    }
+    parts = []
+    for rank, kind in enumerate(KINDS):
+        score = f"least(1.0, {kind.prior} + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT})), '{kind.context}') THEN 0.3 ELSE 0.0 END + {0.3 if kind.check else 0.0})"
+        keep = valid[kind.name] if kind.base else f"{valid[kind.name]} AND {score} >= {ACCEPT}"
+        parts.append(f"""
+SELECT r, e - len(m) AS s, {rank} AS rank, e, '{kind.name}' AS kind, {str(kind.base).lower()} AS base, round({score} * 1000)::INT AS score FROM (
+  SELECT r, f[i] AS m, g[i] AS gap, list_sum(list_transform(range(1, i + 1), lambda j: len(f[j]) + len(g[j])))::BIGINT AS e FROM (
+    SELECT r, f, g, unnest(range(1, len(f) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(text, '{finds[kind.name]}') AS f, string_split_regex(text, '{finds[kind.name]}') AS g FROM docs
+    )
+  )
+) WHERE {keep}""")
+    counts = ", ".join(f"count(kind) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)
+    one = "kind || ':' || s || ':' || e"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)})
+SELECT any_value(doc_id) AS doc_id, {counts},
+  sha256(coalesce(string_agg({one}, ',' ORDER BY s, rank) FILTER (WHERE base), '')) AS base_sha256,
+  coalesce(string_agg({one}, ',' ORDER BY s, rank), '') AS spans, coalesce(string_agg(score::VARCHAR, ',' ORDER BY s, rank), '') AS scores
+FROM docs LEFT JOIN spans USING (r) GROUP BY r
+""".strip()

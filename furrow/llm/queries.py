@@ -79,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_licences": licences.sql(),
+    "op5_pii": pii.sql(),
     "op10_minhash": near_dedup.sql(percent=85),
 }

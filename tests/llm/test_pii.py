@@ -2,7 +2,9 @@ import hashlib
 import re
 
 import helpers
+import oracle
 from furrow.llm import pii
+from furrow.llm.queries import QUERIES, SQL
 from pyspark.sql import functions as F
 
 PATTERNS = {
@@ -33,6 +35,10 @@ def brute(text):
     return sorted(found)
 
 
+def test_query_matches_sql(spark):
+    oracle.compare(spark, oracle.connect(helpers.SF), helpers.SF, "op5_pii", QUERIES["op5_pii"], SQL["op5_pii"])
+
+
 def test_against_regular_expressions(spark):
     docs = helpers.documents(spark).select("doc_id", "text").unionByName(helpers.awkward(spark).select("doc_id", "text"))
     docs = docs.unionByName(spark.createDataFrame(HARD, "doc_id long, text string"))
