@@ -199,7 +199,7 @@ shape AS (SELECT comp, count(*) * {u} * {u} * 1.0::DOUBLE AS area, sum(s) * {u}
 names AS (SELECT comp, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, count(*) AS parts FROM grp GROUP BY 1)"""
 UNSNAPPED = "snapped AS (SELECT * FROM boxes)"
 SNAPPED = "snapped AS (SELECT id, floor(x0 / 10 + 0.5) * 10 AS x0, floor(y0 / 10 + 0.5) * 10 AS y0, floor(x1 / 10 + 0.5) * 10 AS x1, floor(y1 / 10 + 0.5) * 10 AS y1 FROM boxes)"
-UNION_BODY = "SELECT comp, ids, parts, coalesce(area, 0) AS area, coalesce(perimeter, 0) AS perimeter FROM names LEFT JOIN shape USING (comp)"
+UNION_BODY = "SELECT comp, ids, parts, area, perimeter FROM names JOIN shape USING (comp)"
 
 
 @query("G5_J9_T9_E5_merge_boxes", with_(B.BOXES_SQL, PAIRS_SQL, box_walk("inter > 0 OR shared > 0"), UNSNAPPED, UNION_SQL.format(u=1), body=UNION_BODY, recursive=True))

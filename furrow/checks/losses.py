@@ -118,7 +118,7 @@ def with_ce(mode, expr, weights, w1=0.5, w2=0.5):
     """Query of a loss combined with cross-entropy."""
     def run(spark, sf_dir):
         df = scored(spark, sf_dir)
-        both = L.overlap_sums(df, BATCH, N, mode=mode).join(L.cross_entropy_sums(df, BATCH, N, weights), BATCH)
+        both = L.overlap_sums(df, BATCH, N, mode=mode, ce_weights=weights).filter("n_valid > 0")
         return both.select(BATCH, L.combined(F.col("ce"), expr(), w1, w2).alias("loss"))
 
     return run
@@ -159,5 +159,4 @@ query("L13_tversky_focal_ce", out(f"0.5 * ({WTF}) + 0.5 * wce", "loss", SKIP, CE
 def local_tversky(spark, sf_dir):
     """Weights from the label frequencies of the batch itself."""
     df = scored(spark, sf_dir)
-    both = L.overlap_sums(df, BATCH, N).join(evaluation.class_weights(df, BATCH, N), BATCH)
-    return both.select(BATCH, L.tversky_focal(N, F.col("class_weights")).alias("loss"))
+    return L.overlap_sums(df, BATCH, N).select(BATCH, L.tversky_focal(N, L.local_weights(N)).alias("loss"))

@@ -290,8 +290,8 @@ SELECT raster_id, y, x, cls::BIGINT AS v FROM cells WHERE (y * 7 + x * 3 + raste
 def sparse_tiles(spark, sf_dir):
     """Offset tiles with holes come back where they were."""
     path = scratch_path(spark, "sparse")
-    c = B.cells(spark, sf_dir).filter("(y * 7 + x * 3 + raster_id) % 5 < 2 AND y >= 3 AND x >= 2")
-    writers.write_tiles(rasters.pack_tiles(c, ["raster_id"], "cls", 8), path)
+    c = B.cells(spark, sf_dir).filter("(y * 7 + x * 3 + raster_id) % 5 < 2 AND y >= 3 AND x >= 2").withColumn("band", F.lit(0))
+    writers.write_tiles(rasters.pack_tiles(c, ["raster_id", "band"], "cls", 8), path)
     return rasters.unpack_tiles(spark.read.parquet(path), 8).select("raster_id", "y", "x", "v")
 
 

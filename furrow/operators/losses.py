@@ -34,26 +34,33 @@ def _weight(label: Column, weights: list[float] | None, n_classes: int) -> Colum
     return w
 
 
-def cross_entropy_sums(df: DataFrame, batch: str, n_classes: int, weights: list[float] | None = None,
-                       label: str = "cls", ignore: int | None = UNKNOWN) -> DataFrame:
-    """``ce``: weighted mean of -log p of the true class; ignored labels left out."""
+def _cross_entropy(label: str, n_classes: int, weights: list[float] | None, valid: Column) -> Column:
+    """Weighted mean of -log p of the true class over the valid pixels."""
     y = F.col(label)
     true_p = F.lit(None).cast("double")
     for k in range(n_classes):
         true_p = F.when(y == k, F.col(f"p{k}")).otherwise(true_p)
-    valid = df if ignore is None else df.filter(y != ignore)
-    w = _weight(y, weights, n_classes)
-    return valid.groupBy(batch).agg((F.sum(-F.log(true_p) * w) / F.sum(w)).alias("ce"))
+    w = F.when(valid, _weight(y, weights, n_classes))
+    return F.sum(-F.log(true_p) * w) / F.sum(w)
+
+
+def cross_entropy_sums(df: DataFrame, batch: str, n_classes: int, weights: list[float] | None = None,
+                       label: str = "cls", ignore: int | None = UNKNOWN) -> DataFrame:
+    """``ce`` alone; batches without a valid pixel are left out."""
+    valid = df if ignore is None else df.filter(F.col(label) != ignore)
+    return valid.groupBy(batch).agg(_cross_entropy(label, n_classes, weights, F.lit(True)).alias("ce"))
 
 
 def overlap_sums(df: DataFrame, batch: str, n_classes: int, label: str = "cls",
-                 ignore: int | None = UNKNOWN, mode: str = "skip") -> DataFrame:
-    """Per class sums of p, t, p*t, p*p over a batch.
+                 ignore: int | None = UNKNOWN, mode: str = "skip", ce_weights: list[float] | None = None) -> DataFrame:
+    """Per class sums of p, t, p*t, p*p over a batch, and ``ce``, all in one aggregation.
 
     What happens to an ignored pixel: ``skip`` leaves it out, ``flatten`` counts it as class 0
     with equal probabilities (logits and label zeroed), ``keep`` counts it with no true class.
+    ``ce`` is the cross-entropy, weighted by class, of the pixels that are not ignored.
     """
     valid = F.lit(True) if ignore is None else F.col(label) != ignore
+    ce = _cross_entropy(label, n_classes, ce_weights, valid)
     if mode == "skip":
         df = df.filter(valid)
     elif mode == "flatten":
@@ -61,7 +68,7 @@ def overlap_sums(df: DataFrame, batch: str, n_classes: int, label: str = "cls",
             **{f"p{k}": F.when(valid, F.col(f"p{k}")).otherwise(1.0 / n_classes) for k in range(n_classes)},
             **{f"t{k}": F.when(valid, F.col(f"t{k}")).otherwise(1.0 if k == 0 else 0.0) for k in range(n_classes)},
         })
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("n_valid")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("n_valid"), ce.alias("ce")]
     for k in range(n_classes):
         p, t = F.col(f"p{k}"), F.col(f"t{k}")
         aggs += [F.sum(p).alias(f"sp{k}"), F.sum(t).alias(f"st{k}"),
@@ -178,6 +185,13 @@ def tversky_focal(n_classes: int, weights: list[float] | Column | None = None, *
     return sum(parts[1:], parts[0])
 
 
+def local_weights(n_classes: int) -> Column:
+    """Inverse label frequencies of the batch from its own sums, normalised; absent classes get 1e-5."""
+    inverse = [F.when(F.col(f"st{k}") > 0, F.col("n_valid") / F.col(f"st{k}")) for k in range(n_classes)]
+    total = sum((F.coalesce(i, F.lit(0.0)) for i in inverse[1:]), F.coalesce(inverse[0], F.lit(0.0)))
+    return F.array(*[F.coalesce(i / total, F.lit(1e-5)) for i in inverse])
+
+
 def binary_tversky_focal(target: int = 1, **kwargs) -> Column:
     """Loss of one class against the rest."""
     return tversky_focal_terms(target + 1, **kwargs)[target]

@@ -213,7 +213,7 @@ def merge_duplicate_boxes(
 def dissolve_boxes(boxes: DataFrame, snap: float | None) -> DataFrame:
     """Union of the boxes of each ``comp``: exact area and perimeter.
 
-    Without a snap grid the plane is cut at the distinct edges of the component itself, so the
+    Components without area, also those that the grid takes it from, fall away. Without a snap grid the plane is cut at the distinct edges of the component itself, so the
     measure is exact for any coordinates. Horizontal strips keep the work near the number of
     edges rather than the area.
     """
@@ -228,9 +228,7 @@ def dissolve_boxes(boxes: DataFrame, snap: float | None) -> DataFrame:
         .select("comp", "x0", "y0", "x1", "y1").distinct()
     )
     merged = _strip_intervals(solid)
-    return ids.join(_strip_measures(merged), "comp", "left").withColumns(
-        {"area": F.coalesce("area", F.lit(0.0)), "perimeter": F.coalesce("perimeter", F.lit(0.0))}
-    )
+    return ids.join(_strip_measures(merged), "comp")
 
 
 def _strip_intervals(solid: DataFrame, band_height: float = 1024.0) -> DataFrame:

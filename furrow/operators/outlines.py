@@ -130,19 +130,59 @@ def _thin_line(pts: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(polygons: DataFrame, tolerance: float, column: str = "exterior") -> DataFrame:
-    """Vertex reduction of one ring column; rings that would collapse stay as they are."""
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
-    def reduced(ring: pd.Series) -> pd.Series:
+_RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+
+
+def _thinned(rings: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
+    """All rings of a polygon with fewer vertices; a ring that would collapse stays as it is.
+
+    The tolerance is halved until no ring crosses itself or another one; at last all stay.
+    """
+    while tolerance > 1e-9:
         out = []
-        for points in ring:
-            pts = np.array([(p["x"], p["y"]) for p in points], dtype=float)
+        for pts in rings:
             keep = _thin_line(pts, tolerance)
-            chosen = pts[keep] if keep.sum() >= 4 else pts
-            out.append([{"x": x, "y": y} for x, y in chosen.tolist()])
-        return pd.Series(out)
+            out.append(pts[keep] if keep.sum() >= 4 else pts)
+        if all(len(a) == len(b) for a, b in zip(out, rings, strict=True)):
+            break
+        alone = all(_ring_is_simple(r[:, 0], r[:, 1]) for r in out)
+        if alone and not any(_rings_cross(out[i], out[j]) for i in range(len(out)) for j in range(i)):
+            return out
+        tolerance /= 2
+    return rings
+
+
+def _rings_cross(a: np.ndarray, b: np.ndarray) -> bool:
+    """True if a side of one ring properly crosses a side of the other."""
+    p, q, r, s = a[:-1, None], a[1:, None], b[None, :-1], b[None, 1:]
+
+    def turn(u, v, w):
+        return np.sign((v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0]))
+
+    return bool(((turn(p, q, r) * turn(p, q, s) < 0) & (turn(r, s, p) * turn(r, s, q) < 0)).any())
+
+
+def simplify(polygons: DataFrame, tolerance: float, column: str = "exterior", holes: str = "interiors") -> DataFrame:
+    """Vertex reduction of the outer ring and, where the column exists, of the holes."""
+    if tolerance <= 0:
+        return polygons
+
+    def array(ring) -> np.ndarray:
+        return np.array([(p["x"], p["y"]) for p in ring], dtype=float)
+
+    def points(ring: np.ndarray) -> list[dict]:
+        return [{"x": x, "y": y} for x, y in ring.tolist()]
+
+    @F.pandas_udf(T.StructType([T.StructField("outer", _RING), T.StructField("inner", T.ArrayType(_RING))]))
+    def reduced(outer: pd.Series, inner: pd.Series) -> pd.DataFrame:
+        made = [_thinned([array(o), *map(array, [] if i is None else i)], tolerance) for o, i in zip(outer, inner, strict=True)]
+        return pd.DataFrame({"outer": [points(m[0]) for m in made], "inner": [[points(r) for r in m[1:]] for m in made]})
 
-    return polygons if tolerance <= 0 else polygons.withColumn(column, reduced(F.col(column)))
+    inner = F.col(holes) if holes in polygons.columns else F.array().cast(T.ArrayType(_RING))
+    done = polygons.withColumn("_rings", reduced(F.col(column), inner)).withColumn(column, F.col("_rings.outer"))
+    if holes in polygons.columns:
+        done = done.withColumn(holes, F.col("_rings.inner"))
+    return done.drop("_rings")
 
 
 def _ring_is_simple(xs: np.ndarray, ys: np.ndarray) -> bool:
