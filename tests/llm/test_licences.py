@@ -14,7 +14,7 @@ def test_known_passages(spark):
     whole = next(t for t in mit if t.startswith("Permission"))
     rows = [(1, "Hello\nReleased under the MIT licence!!\nbye"), (2, whole.upper().replace(" ", "\n")), (3, "Released under no terms at all"), (4, None)]
     got = {r["doc_id"]: r for r in licences.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert (got[1]["license"], got[1]["score"], got[1]["n_passages"]) == ("MIT", 1.0, 1)
+    assert (got[1]["license"], got[1]["score"], got[1]["n_passages"]) == ("MIT", 1.0, 2)  # the line, and the short text around it
     assert got[2]["license"] == "MIT" and got[3]["license"] is None and got[4]["score"] == 0.0
 
 
