@@ -81,7 +81,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``slot, source, nth``: the source of each slot and its rank among that source's slots.
+    """``slot, _source, _null, nth``: the source of each slot and its rank among that source's slots.
 
     The points give a source its share of the slots but for one or two. Ranks that its target does not
     need fall away, and ranks that are still missing get slots of their own behind the last point.
