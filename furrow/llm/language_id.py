@@ -204,19 +204,19 @@ def _held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``share`` (of the bytes whose own label is the prediction).
-
-    Columns of these names are replaced. One pass, nothing is shuffled.
+def predict(docs: DataFrame, model: dict | None, text: str = "text", passed: list[str] | None = None) -> DataFrame:
+    """The ``passed`` columns (all by default) with ``lang_pred``, ``score`` and ``share`` (of the bytes
+    whose own label is the prediction). Columns of these names are replaced. Nothing is shuffled.
     """
     held = pickle.dumps(model)
     added = ["lang_pred", "score", "share"]
+    kept = [c for c in (docs.columns if passed is None else passed) if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(held)
         for batch in batches:
-            rest = batch.select([n for n in batch.schema.names if n not in ("_text", "_some")])
-            for lo, hi, data, offsets in text_slices(batch.column("_text"), LANES * STRETCH):
+            rest = batch.select(kept)
+            for lo, hi, data, offsets in text_slices(batch.column(text), LANES * STRETCH):
                 some = np.asarray(batch.column("_some").slice(lo, hi - lo).to_numpy(zero_copy_only=False), bool)
                 names, scores, shares = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo)
                 if net is not None and some.any():
@@ -230,23 +230,23 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                     [*own.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(shares)], names=[*own.schema.names, *added]
                 )
 
-    kept = docs.drop(*added)
     schema = T.StructType([
-        *kept.schema.fields, T.StructField("lang_pred", T.StringType()),
+        *docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()), T.StructField("share", T.DoubleType()),
     ])
-    return kept.withColumns({
-        "_some": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), "_text": F.col("text").cast("string"),
-    }).mapInArrow(run, schema)
+    asked = docs.select(*dict.fromkeys([*kept, text]))
+    return asked.withColumn("_some", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from ``docs`` and predict each row: ``doc_id, held_out, lang_pred, score, share``."""
-    asked = docs.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "text")
-    return predict(asked, fit(docs)).drop("text")
+    asked = docs.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return predict(asked, fit(docs), passed=["doc_id", "held_out"])
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Rows whose language is known with a score of at least ``least``, with all columns."""
-    found = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), fit(docs))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    # under names of their own, so that none clashes with what is added
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = predict(named, fit(docs), text=f"c{docs.columns.index('text')}")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*named.columns).toDF(*docs.columns)
