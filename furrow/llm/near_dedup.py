@@ -3,9 +3,10 @@
 Rows with one shingle set form a node. Bands of minima propose pairs, packed low bits of the minima
 estimate their similarity with the chance agreements taken off, and full shingle sets confirm it.
 
-No group is expanded into all its pairs: each node of a band bucket is first compared with the bucket's
-smallest and largest node; only nodes that this leaves in different components meet each other, inside
-a join that keeps the pairs whose estimate is high enough. So every proposed link between different components is
+No group is expanded into all its pairs. Sets that cannot link with any set of their bucket leave it first, by
+exact bounds on what they share. Each node is then compared with its buckets' leader, the node with the least
+of its own, and with a leader of another component; only nodes that this leaves in different components meet each
+other, inside a join that keeps the pairs whose bounds and estimate are high enough. So every proposed link between different components is
 tested, and components are those of the whole link graph.
 
 Defined results: null or empty texts, and texts without words, have an empty set and no links; a null
@@ -135,6 +136,43 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return cut(whole.mapInArrow(_confirm(percent), "src bigint, dst bigint"))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in text_slices(batch.column("text")):
+            sets, bounds = shingles(*word_hashes(data, offsets), WORDS)
+            ids = batch.column("set_id").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.diff(bounds))), pa.array(sets.view(np.int64))], names=["set_id", "shingle"])
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """``set_id, n_own``: how many shingles of a node no other node of these has."""
+    seen = texts.mapInArrow(_shingle_rows, "set_id bigint, shingle bigint").groupBy("shingle").agg(
+        F.min("set_id").alias("set_id"), F.max("set_id").alias("last")
+    )
+    return seen.filter("set_id = last").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_own"))
+
+
+def _able(members: DataFrame, percent: int) -> DataFrame:
+    """Members that could link with some other set of their bucket: exact, by what they share at most.
+
+    A set shares at most its ``n_common`` shingles, and a partner has at least as many as the smallest
+    set of the bucket. Buckets left with one member fall away.
+    """
+    names = members.columns
+    smallest = members.groupBy("band").agg(F.min("n_shingles").alias("n_least"))
+    union = F.col("n_shingles") + F.greatest("n_least", "n_common") - F.col("n_common")
+    able = members.join(smallest, "band").filter(100 * F.col("n_common") >= percent * union)
+    several = able.groupBy("band").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("band")
+    return able.join(several, "band").select(*names)
+
+
+def _possible(percent: int) -> Column:
+    """False for pairs a_, b_ that cannot link: exact, by sizes and by the shingles only one of them has."""
+    most = F.least("a_n_common", "b_n_common")
+    apart = F.greatest(F.col("a_n_own"), F.col("a_n_shingles") - most) + F.greatest(F.col("b_n_own"), F.col("b_n_shingles") - most)
+    return 100 * most >= percent * (most + apart)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row, for links from ``percent`` % of similarity."""
     low = [f"low{i}" for i in range(LANES)]
@@ -145,26 +183,50 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = linkable.join(first, ["set_id", "doc_id", "text_hash"])
 
     placed = nodes.select("set_id", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most")
-    members = cut(placed.join(buckets, "band"))
-    wanted = members.select("set_id").distinct()
-    met = nodes.join(wanted, "set_id").select("set_id", "doc_id", "text_hash", *low)
-    texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(
+    shared = placed.groupBy("band").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).filter("a < b").select("band")
+    placed = cut(placed.join(shared, "band"))
+    met = nodes.join(placed.select("set_id").distinct(), "set_id").select("set_id", "doc_id", "text_hash", "n_shingles", *low)
+    texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).join(
         met.select("set_id", "doc_id", "text_hash"), ["doc_id", "text_hash"]
     ).select("set_id", "text"))
-
-    to_leaders = members.select(F.col("set_id").alias("src"), F.explode(F.array("least", "most")).alias("dst")).filter("src <> dst")
-    to_leaders = to_leaders.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    links = _links(_attach(to_leaders, met, low).filter(estimate("a_", "b_") >= least).select("src", "dst"), texts, percent)
+    met = met.drop("doc_id", "text_hash").join(_own_shingles(texts), "set_id", "left")
+    met = cut(met.withColumn("n_own", F.coalesce("n_own", F.lit(0))).withColumn("n_common", F.col("n_shingles") - F.col("n_own")))
+    members = cut(_able(placed.join(met.select("set_id", "n_shingles", "n_own", "n_common"), "set_id"), percent))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        likely = _attach(ordered, met, low).filter(estimate("a_", "b_") >= least)
+        return _links(likely.select("src", "dst"), texts, percent)
+
+    def mixed(joined: DataFrame) -> DataFrame:
+        """Members of the buckets whose nodes are not all in one component, with their component."""
+        labelled = members.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+        ends = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+        return _able(labelled.join(ends, "band"), percent)
+
+    # The leader of a bucket is the node with the least share of shingles that no other node has: of
+    # copies of one text, the text itself or what is nearest to it.
+    first_of = F.min(F.struct((F.col("n_own") / F.col("n_shingles")).alias("share"), "set_id")).alias("leader")
+    leaders = members.groupBy("band").agg(first_of)
+    to_one = members.join(leaders, "band").groupBy(F.col("set_id").alias("src")).agg(F.min("leader").alias("leader"))
+    links = confirmed(to_one.select("src", F.col("leader.set_id").alias("dst")).filter("src <> dst"))
+
+    left = cut(mixed(components(links)))
+    leaders = left.groupBy("band").agg(F.min(F.struct((F.col("n_own") / F.col("n_shingles")).alias("share"), "set_id", "comp")).alias("leader"))
+    to_other = left.join(leaders, "band").filter("comp <> leader.comp").groupBy(F.col("set_id").alias("src")).agg(F.min("leader").alias("leader"))
+    links = links.unionByName(confirmed(to_other.select("src", F.col("leader.set_id").alias("dst"))))
     joined = components(links)
 
-    labelled = members.select("band", "set_id").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("band")
-    left = cut(labelled.join(mixed, "band").join(met.select("set_id", *low), "set_id"))
-    a = left.select("band", *[F.col(c).alias(f"a_{c}") for c in ["set_id", "comp", *low]])
-    b = left.select("band", *[F.col(c).alias(f"b_{c}") for c in ["set_id", "comp", *low]])
-    across = a.join(b, (a["band"] == b["band"]) & (F.col("a_comp") < F.col("b_comp")) & (estimate("a_", "b_") >= least))
-    more = _links(across.select(F.col("a_set_id").alias("src"), F.col("b_set_id").alias("dst")).distinct(), texts, percent)
+    rest = cut(mixed(joined))
+    own_bands = rest.groupBy("set_id").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    rest = rest.join(met.select("set_id", *low).join(own_bands, "set_id"), "set_id")
+    columns = ["set_id", "comp", "n_shingles", "n_own", "n_common", *low, "bands"]
+    a = rest.select("band", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = rest.select(F.col("band").alias("b_band"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    # a pair counts in the first band that both have
+    once = F.array_intersect("a_bands", "b_bands")[0] == F.col("band")
+    across = a.join(b, (F.col("band") == F.col("b_band")) & (F.col("a_comp") < F.col("b_comp")) & _possible(percent) & (estimate("a_", "b_") >= least) & once)
+    more = _links(across.select(F.col("a_set_id").alias("src"), F.col("b_set_id").alias("dst")), texts, percent)
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
@@ -189,3 +251,28 @@ def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
         return kept.select(*docs.columns)
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text_hash"])
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def sql(percent: int) -> str:
+    """The same for DuckDB over the table ``documents``, by comparing all sets that share a shingle."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words
+),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+),
+reached(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+components AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components ON x = doc_id
+""".strip()
