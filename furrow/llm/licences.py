@@ -12,6 +12,8 @@ other columns pass through ``scan`` unless they are called ``found``, which is r
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,13 @@ def bigrams_of(words: Column) -> Column:
 
 
 def _templates(templates: list[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(name).alias("name"), bigrams_of(words_of(F.lit(text))).alias("bigrams")) for name, text in templates])
+    """The templates as one constant, normalised here so that no row does it again."""
+    rows = []
+    for name, text in templates:
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).replace("licence", "license").split()
+        pairs = [" ".join(p) for p in zip(words, words[1:])] if len(words) > 1 else words
+        rows.append(F.struct(F.lit(name).alias("name"), F.array(*[F.lit(p) for p in dict.fromkeys(pairs)]).alias("bigrams")))
+    return F.array(*rows)
 
 
 def _best(passage: Column, known: Column, least: float) -> Column:
