@@ -1,9 +1,12 @@
 """Licence scan: passages compared with licence templates by the Dice coefficient of their word bigrams.
 
-A passage is a line of a text, or the whole text. It is normalised to lower-case words of a-z and 0-9, with one
-spelling of "license". The Dice coefficient of two sets is twice their intersection over the sum of
-their sizes, so it is at most twice the smaller over the sum: templates too small or too large for a passage
-are left out before anything is compared. All of it is done row by row with array functions.
+A passage is a line of a text, the whole text, or a window: a run of neighbouring words anywhere in the text, over
+line ends and beside other words on a line. It is normalised to lower-case words of a-z and 0-9, with one spelling of
+"license". The Dice coefficient of two sets is twice their intersection over the sum of their sizes. Lines and the whole
+text are compared with ``TEMPLATES``, windows also with the full licence texts of ``licence_texts``. A window has at most
+``(2 - LEAST) / LEAST`` times the pairs of its template, repeats counted in both; of windows that overlap, the one that shares most pairs
+counts; a window inside a line that was found, or of the licence that the whole text was found to be, is no second passage.
+All of it is done row by row, in Python; a text without one of the templates' rare pairs is left at once, exactly.
 
 Defined results: a null or empty text, and a passage without words, matches nothing; a passage of one word has
 that word as its only bigram; ties go to the template first by name; repeated rows give repeated results;
@@ -12,12 +15,19 @@ other columns pass through ``scan`` unless they are called ``found``, which is r
 
 from __future__ import annotations
 
+import math
+import os
 import re
+from bisect import bisect, bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from furrow.llm.arrays import let
+from pyspark.sql import types as T
 
 LEAST = 0.8
 
@@ -42,52 +52,188 @@ TEMPLATES = [
 ]
 
 
-def words_of(passage: Column) -> Column:
+# Whole licence texts, by the names of their files; they are compared with windows only.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+
+Pair = tuple[str, ...]
+
+
+def words_of(passage: str) -> list[str]:
     """Normalised words of a passage."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " "), "licence", "license")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return re.sub("[^a-z0-9]+", " ", passage.lower()).replace("licence", "license").split()
+
+
+def pairs_of(words: list[str]) -> list[Pair]:
+    """Pairs of neighbouring words; one word stands for itself."""
+    return list(zip(words, words[1:])) if len(words) > 1 else [tuple(words)] if words else []
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Name and text of the licences that are here in full."""
+    found = []
+    for name in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, name), encoding="utf-8") as text:
+            found.append((name.removesuffix(".txt"), text.read()))
+    return found
+
+
+@dataclass
+class Known:
+    """Templates ready for comparison; the first ``n_short`` are those of lines and whole texts."""
+    names: list[str]
+    sizes: list[int]
+    longest: list[int]
+    needs: list[int]
+    n_short: int
+    where: dict[Pair, list[tuple[int, int]]]
+    seeds: frozenset[Pair]
+    single: bool
+    least: float
+
+
+def compiled(short: list[tuple[str, str]], full: list[tuple[str, str]], least: float) -> Known:
+    """The templates by their pairs.
+
+    A passage that is alike enough has at least ``least / (2 - least)`` of the pairs of a template, so it has one of
+    any set of pairs that is larger than what may be missing: the template's seeds, of its rarest words.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must lie above 0 and be at most 1")
+    parts = [(name, words_of(text)) for name, text in [*short, *full]]
+    often = Counter(w for _, words in parts for w in words)
+    known = Known([], [], [], [], len(short), {}, frozenset(), False, least)
+    seeds: set[Pair] = set()
+    for t, (name, words) in enumerate(parts):
+        own = list(dict.fromkeys(pairs_of(words)))
+        need = max(1, math.ceil(len(own) * least / (2 - least) - 1e-9))
+        known.names.append(name)
+        known.sizes.append(len(own))
+        known.longest.append(int(len(pairs_of(words)) * (2 - least) / least + 1e-9))
+        known.needs.append(need)
+        for i, pair in enumerate(own):
+            known.where.setdefault(pair, []).append((t, i))
+        seeds.update(sorted(own, key=lambda p: math.prod(often[w] for w in p))[:len(own) - need + 1])
+    known.seeds = frozenset(seeds)
+    known.single = any(len(s) == 1 for s in seeds)
+    return known
+
+
+def _best(pairs: list[Pair], known: Known) -> tuple[float, str] | None:
+    """The most alike short template of a passage, as ``(-score, name)``."""
+    own = set(pairs)
+    shared = Counter(t for p in own for t, _ in known.where.get(p, ()) if t < known.n_short)
+    scores = [(-2.0 * x / (len(own) + known.sizes[t]), known.names[t]) for t, x in shared.items()]
+    return min((s for s in scores if -s[0] >= known.least), default=None)
+
+
+def _before(ids: np.ndarray) -> np.ndarray:
+    """The place before each at which the same number stands, -1 for none."""
+    order = np.argsort(ids, kind="stable")
+    out = np.full(len(ids), -1)
+    same = ids[order[1:]] == ids[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _windows_of(at: np.ndarray, ids: np.ndarray, before: np.ndarray, size: int, longest: int, need: int, least: float) -> list[tuple[float, int, int, int]]:
+    """The best windows of one template, apart from each other: ``(score, first, last, shared)`` in places of pairs.
+
+    A window of a best score begins and ends at pairs of the template.
+    """
+    known_before, ends = _before(ids), np.searchsorted(at, at + longest)
+    found = []
+    for i in np.flatnonzero(ends - np.arange(len(at)) >= need):
+        shared = np.cumsum(known_before[i:ends[i]] < i)
+        if shared[-1] < need:
+            continue
+        places = at[i:ends[i]] - at[i]
+        own = np.cumsum(before[at[i]:at[i] + places[-1] + 1] < at[i])[places]
+        score = 2.0 * shared / (own + size)
+        j = int(np.argmax(score))
+        if score[j] >= least:
+            found.append((float(score[j]), int(at[i]), int(at[i + j]), int(shared[j])))
+    return _apart(sorted(found, key=lambda w: (-w[0], w[1])))
+
 
+def _apart(windows: list[tuple]) -> list[tuple]:
+    """Windows, first come, that do not overlap one before them; places 1 and 2 are first and last."""
+    firsts, lasts, kept = [], [], []
+    for w in windows:
+        k = bisect(lasts, w[1] - 1)
+        if k == len(firsts) or firsts[k] > w[2]:
+            firsts.insert(k, w[1])
+            lasts.insert(k, w[2])
+            kept.append(w)
+    return kept
 
-def bigrams_of(words: Column) -> Column:
-    """Distinct pairs of neighbouring words."""
-    pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat_ws(" ", w, words[i + 1]))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
+def _windows(pairs: list[Pair], known: Known) -> list[tuple[float, int, int, int, str]]:
+    """Windows of a text that are alike a template; of those that overlap, the one that shares most pairs."""
+    places: dict[int, tuple[list[int], list[int]]] = {}
+    for p, pair in enumerate(pairs):
+        for t, i in known.where.get(pair, ()):
+            at, ids = places.setdefault(t, ([], []))
+            at.append(p)
+            ids.append(i)
+    number: dict[Pair, int] = {}
+    before = None
+    found = []
+    for t, (at, ids) in places.items():
+        if len(set(ids)) < known.needs[t]:
+            continue
+        if before is None:
+            before = _before(np.array([number.setdefault(p, len(number)) for p in pairs]))
+        for w in _windows_of(np.array(at), np.array(ids), before, known.sizes[t], known.longest[t], known.needs[t], known.least):
+            found.append((*w, known.names[t]))
+    return _apart(sorted(found, key=lambda w: (-w[3], -w[0], w[4], w[1])))
 
-def _templates(templates: list[tuple[str, str]]) -> Column:
-    """The templates as one constant, normalised here so that no row does it again."""
-    rows = []
-    for name, text in templates:
-        words = re.sub("[^a-z0-9]+", " ", text.lower()).replace("licence", "license").split()
-        pairs = [" ".join(p) for p in zip(words, words[1:])] if len(words) > 1 else words
-        rows.append(F.struct(F.lit(name).alias("name"), F.array(*[F.lit(p) for p in dict.fromkeys(pairs)]).alias("bigrams")))
-    return F.array(*rows)
 
+def found_in(text: str, known: Known) -> list[tuple[float, str]]:
+    """``(score, name)`` of the whole text, its lines, and windows that are no part of those, best first."""
+    words = words_of(text)
+    if len(words) > 1 and known.seeds.isdisjoint(zip(words, words[1:])) and not known.single:
+        return []
+    pairs = pairs_of(words)
+    whole = _best(pairs, known)
+    found, covered, start = [whole] if whole else [], [], 0
+    if "\n" in text:
+        for line in text.split("\n"):
+            own = words_of(line)
+            best = _best(pairs_of(own), known)
+            if best:
+                found.append(best)
+                covered.append((start, start + len(own) - 2))
+            start += len(own)
+    elif whole:
+        covered.append((0, len(words)))
+    lasts = [last for _, last in covered]
+    for score, first, last, _, name in _windows(pairs, known) if len(words) > 1 else []:
+        k = bisect_left(lasts, last)
+        inside = k < len(covered) and covered[k][0] <= first
+        if not inside and not (whole and whole[1] == name):
+            found.append((-score, name))
+    return [(-less, name) for less, name in sorted(found)]
 
-def _best(passage: Column, known: Column, least: float) -> Column:
-    """The most alike template of a passage: ``(score, name)``, null where none is alike enough."""
-    def compared(own: Column) -> Column:
-        n = F.size(own)
-        fitting = F.filter(known, lambda t: 2 * F.least(n, F.size(t["bigrams"])) >= least * (n + F.size(t["bigrams"])))
-        scores = F.transform(fitting, lambda t: F.struct(
-            (-2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (n + F.size(t["bigrams"]))).alias("less"), t["name"].alias("name")
-        ))
-        return F.array_min(F.filter(scores, lambda s: -s["less"] >= least))
 
-    return let(words_of(passage), lambda w: F.when(F.size(w) > 0, let(bigrams_of(w), compared)))
+def scan(
+    docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, full: list[tuple[str, str]] | None = None
+) -> DataFrame:
+    """Add ``found``: the best template of each line, of the whole text if it has several, and of windows, best first."""
+    known = compiled(templates, full_texts() if full is None else full, least)
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("name", pa.string())]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = [[{"score": s, "name": n} for s, n in found_in(t or "", known)] for t in part.column("_text_").to_pylist()]
+                rest = part.drop_columns(["_text_"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, kind)], names=[*rest.schema.names, "found"])
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Add ``found``: the best template of each line, and of the whole text if it has several, best first."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    passages = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(lines)
-    # the templates are a column, so that they are normalised once
-    known = docs.withColumn("_known", _templates(templates))
-    best = F.filter(F.transform(passages, lambda p: _best(p, F.col("_known"), least)), lambda b: b.isNotNull())
-    return known.withColumn("found", F.transform(
-        F.sort_array(best), lambda b: F.struct((-b["less"]).alias("score"), b["name"].alias("name"))
-    )).drop("_known")
+    kept = docs.drop("found")
+    item = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("found", T.ArrayType(item))])
+    return kept.withColumn("_text_", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -100,7 +246,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same for DuckDB over the table ``documents``."""
+    """Lines and whole texts for DuckDB over the table ``documents``; it has no windows."""
     rows = ",\n".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES)
     words = "list_filter(string_split(replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), 'licence', 'license'), ' '), lambda x: x <> '')"
     pairs = "list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)"
