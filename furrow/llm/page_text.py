@@ -5,7 +5,8 @@ link density, those of its neighbours, whether it is a heading, and where it sta
 yes-no questions, grown here on the small table ``LABELLED``, tells text from the rest.
 
 Defined results: a null or empty page, and one without main text, has an empty text; a page that ends
-inside a tag, comment, script or style ends there; unclosed elements end with the element around them;
+inside a tag, comment, script, style, textarea or title ends there; unclosed elements end with the element around
+them, an unclosed head at the first tag or word that cannot stand in it, svg and select at the next flow element;
 repeated rows give repeated results; other columns pass through ``extract`` unless they are called ``text`` or
 ``n_chars``, which are replaced.
 """
@@ -26,14 +27,26 @@ from pyspark.sql import types as T
 # Where a block stands: in an element for other things than text, outside the page's article, on a page
 # without one, in the article.
 PLACES = OTHER, OUTSIDE, PLAIN, ARTICLE = range(4)
+SKIPPED = -1  # what is inside is not read
 
 # Elements by their role in a page.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr object "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd "
+    "mstyle mpadded mphantom menclose mmultiscripts mprescripts mfenced".split()
+)
+# RAW ones are read to their end tag, the others are elements among the open ones.
+UNREAD = frozenset("script style noscript template svg annotation annotation-xml iframe head title textarea select button canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+NO_SLASH = RAW | {"noscript", "iframe", "template"}
+WITHIN = frozenset("button annotation annotation-xml".split())  # these cut no block
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
+# These cannot stand in a drawing or a list of choices.
+FLOW = frozenset(
+    "address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav "
+    "ol p pre section table ul".split()
 )
-UNREAD = frozenset("script style noscript template svg math iframe object head title textarea select button canvas audio video".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
 NOT_TEXT = frozenset("nav footer aside form menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -115,45 +128,79 @@ def blocks_of(page: str) -> list[Block]:
         texts.clear()
         text = " ".join(html.unescape(raw).split())
         if text:
-            inside = around[-1] if around else ("", PLAIN, False)
+            inside = next((a for a in reversed(around) if a[1] != SKIPPED), ("", PLAIN, False))
             words = text.count(" ") + 1
             found.append(Block(text, words, min(1.0, len(html.unescape(linked).split()) / words), inside[2], inside[1]))
 
+    def skipping() -> bool:
+        return bool(around) and around[-1][1] == SKIPPED
+
+    def read_on(names: frozenset[str]) -> None:
+        """Ends the outermost unread element if it is one of ``names``, with all inside it."""
+        first = len(around)
+        while first and around[first - 1][1] == SKIPPED:
+            first -= 1
+        if first < len(around) and around[first][0] in names:
+            del around[first:]
+
+    def add(text: str) -> None:
+        if around and around[-1][0] == "head" and text.strip():
+            around.pop()
+        if not skipping():
+            texts.append((text, links > 0))
+
     at = 0
     while at < len(page):
         tag = _TOKEN.search(page, at)
         if not tag:
-            texts.append((page[at:], links > 0))
+            add(page[at:])
             break
         if tag.start() > at:
-            texts.append((page[at:tag.start()], links > 0))
+            add(page[at:tag.start()])
         at = tag.end()
         name = (tag[2] or "").lower()
         if not name:
             continue
         if tag[1]:
             if name == "a":
-                links = max(0, links - 1)
+                links = max(0, links - (not skipping()))
             elif name in INLINE:
                 continue
             else:
+                i = next((i for i in range(len(around) - 1, -1, -1) if around[i][0] == name), -1)
+                unread = around[i][1] == SKIPPED if i >= 0 else skipping()
+                if not unread or i >= 0 and name not in WITHIN and not (i and around[i - 1][1] == SKIPPED):
+                    close_block()
+                    links = 0
+                if i >= 0:
+                    del around[i:]
+            continue
+        if name in RAW:
+            if not skipping():
                 close_block()
-                links = 0
-                for i in range(len(around) - 1, -1, -1):
-                    if around[i][0] == name:
-                        del around[i:]
-                        break
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
+            at = _TAG_END.search(page, end.end()).end() if end else len(page)
+            continue
+        if skipping():
+            if around[-1][0] == "head" and name not in IN_HEAD:
+                around.pop()
+            elif name == "body":
+                read_on(frozenset(["head"]))
+            elif name in FLOW:
+                read_on(frozenset(["svg", "select"]))
+        if skipping():
+            if name not in VOID and name not in INLINE and not tag[3].endswith("/"):
+                around.append((name, SKIPPED, False))
             continue
         if name == "br":
             texts.append((" ", False))
             continue
         if name in UNREAD:
-            if tag[3].endswith("/") and name not in RAW:
+            if tag[3].endswith("/") and name not in NO_SLASH:
                 continue
-            if name not in INLINE and name != "button":
+            if name not in WITHIN:
                 close_block()
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = _TAG_END.search(page, end.end()).end() if end else len(page)
+            around.append((name, SKIPPED, False))
             continue
         signs = _tells(tag[3]) if tag[3] else set()
         if name in INLINE:
