@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Where a block stands: in an element for other things than text, outside the page's article, on a page
-# without one, in the article.
-PLACES = OTHER, OUTSIDE, PLAIN, ARTICLE = range(4)
+# without one, in the article, in a part of one of the last two whose name may mean other things.
+PLACES = OTHER, OUTSIDE, PLAIN, ARTICLE, DOUBT = range(5)
 SKIPPED = -1  # what is inside is not read
 
 # Elements by their role in a page.
@@ -57,6 +57,16 @@ SIGNS = frozenset(
     "breadcrumb breadcrumbs toolbar pagination pager footer masthead topbar comment comments commentlist respond reply replies "
     "disqus discussion social share sharing related recommended recommendations search tags toc complementary contentinfo".split()
 )
+# Of these, words that an article's own parts have too.
+MAYBE = frozenset(
+    "notice alert banner promotion side menu respond reply replies discussion social related recommended recommendations search tags toc "
+    "sharing subscription signup login".split()
+)
+COMMENTS = frozenset(["comment", "comments", "commentlist"])
+# A name with one of these tells of what an element has or lacks, not of what it is.
+ABOUT = frozenset("has no with without not".split())
+# Elements that may be wrapped around a whole page.
+WRAPPERS = frozenset("form fieldset dialog header".split())
 # Not the words "header" and "banner" of an article's own head.
 PAGE_ONLY = frozenset(["header", "site-header", "page-header"])
 
@@ -86,13 +96,24 @@ LABELLED = [
     (6, 1.0, 6, 1.0, 7, 1.0, 0, ARTICLE, 0), (3, 1.0, 2, 1.0, 5, 1.0, 0, ARTICLE, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, PLAIN, 0), (2, 1.0, 2, 1.0, 1, 1.0, 0, PLAIN, 0), (1, 1.0, 1, 1.0, 7, 0.0, 0, PLAIN, 0),
     (4, 1.0, 80, 0.0, 5, 1.0, 0, PLAIN, 0), (9, 0.8, 3, 1.0, 30, 0.0, 0, PLAIN, 0), (6, 0.0, 1, 1.0, 2, 1.0, 0, PLAIN, 0),
-    (5, 0.0, 2, 1.0, 0, 0.0, 0, PLAIN, 0), (8, 0.2, 4, 1.0, 1, 1.0, 0, PLAIN, 0), (7, 0.0, 90, 0.0, 0, 0.0, 0, PLAIN, 0),
+    (5, 0.0, 2, 1.0, 0, 0.0, 0, PLAIN, 0), (8, 0.2, 4, 1.0, 1, 1.0, 0, PLAIN, 0), (7, 0.0, 90, 0.0, 0, 0.0, 0, PLAIN, 1),
     (11, 0.6, 60, 0.0, 0, 0.0, 0, PLAIN, 0), (3, 0.0, 2, 1.0, 1, 1.0, 1, PLAIN, 0), (20, 0.7, 5, 1.0, 4, 1.0, 0, PLAIN, 0),
     (7, 0.0, 1, 1.0, 55, 0.0, 1, PLAIN, 1), (4, 0.0, 0, 0.0, 34, 0.0, 1, PLAIN, 1), (3, 0.0, 40, 0.0, 62, 0.0, 1, PLAIN, 1),
     (25, 0.0, 1, 1.0, 40, 0.0, 0, PLAIN, 1), (55, 0.0, 7, 0.0, 70, 0.0, 0, PLAIN, 1), (130, 0.05, 60, 0.0, 22, 0.0, 0, PLAIN, 1),
     (40, 0.1, 75, 0.0, 7, 0.0, 0, PLAIN, 1), (5, 0.0, 45, 0.0, 38, 0.0, 0, PLAIN, 1), (2, 0.0, 66, 0.0, 24, 0.0, 0, PLAIN, 1),
     (10, 0.0, 35, 0.0, 28, 0.0, 0, PLAIN, 1), (22, 0.2, 18, 0.0, 50, 0.0, 0, PLAIN, 1), (300, 0.0, 1, 1.0, 2, 1.0, 0, PLAIN, 1),
     (33, 0.0, 0, 0.0, 0, 0.0, 0, PLAIN, 1), (48, 0.0, 20, 0.0, 3, 1.0, 0, PLAIN, 1),
+    (4, 0.0, 60, 0.0, 0, 0.0, 0, PLAIN, 1), (9, 0.0, 30, 0.0, 12, 0.0, 0, PLAIN, 1), (3, 0.0, 12, 0.0, 40, 0.0, 0, PLAIN, 1),
+    (12, 0.0, 5, 0.0, 9, 0.0, 0, PLAIN, 1), (2, 0.0, 25, 0.0, 0, 0.0, 0, PLAIN, 1), (1, 0.0, 70, 0.0, 33, 0.0, 0, PLAIN, 1),
+    (6, 0.0, 8, 0.0, 0, 0.0, 0, PLAIN, 1), (5, 0.0, 3, 0.0, 4, 0.0, 0, PLAIN, 1),
+    (25, 0.0, 40, 0.0, 30, 0.0, 0, DOUBT, 1), (60, 0.05, 4, 0.0, 0, 0.0, 0, DOUBT, 1), (12, 0.0, 30, 0.0, 20, 0.0, 0, DOUBT, 1),
+    (8, 0.0, 25, 0.0, 0, 0.0, 0, DOUBT, 1), (7, 0.0, 2, 0.0, 45, 0.0, 0, DOUBT, 1), (3, 0.0, 20, 0.0, 30, 0.0, 1, DOUBT, 1),
+    (1, 0.0, 40, 0.0, 25, 0.0, 1, DOUBT, 1), (14, 0.3, 18, 0.0, 50, 0.0, 0, DOUBT, 1), (5, 0.0, 33, 0.0, 12, 0.0, 0, DOUBT, 1),
+    (4, 0.0, 15, 0.0, 0, 0.0, 0, DOUBT, 1), (2, 0.0, 9, 0.0, 11, 0.0, 0, DOUBT, 1), (16, 0.0, 1, 0.0, 8, 0.0, 0, DOUBT, 1),
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, DOUBT, 0), (5, 1.0, 6, 1.0, 4, 1.0, 0, DOUBT, 0), (1, 1.0, 40, 0.0, 1, 1.0, 0, DOUBT, 0),
+    (9, 0.8, 3, 1.0, 30, 0.0, 0, DOUBT, 0), (7, 1.0, 2, 0.0, 8, 1.0, 0, DOUBT, 0), (14, 0.9, 60, 0.0, 11, 1.0, 0, DOUBT, 0),
+    (2, 0.0, 40, 0.0, 5, 1.0, 1, DOUBT, 0), (1, 0.0, 55, 0.0, 1, 1.0, 0, DOUBT, 0), (3, 0.0, 30, 0.0, 6, 1.0, 1, DOUBT, 0),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0, DOUBT, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, DOUBT, 0), (1, 0.0, 1, 1.0, 0, 0.0, 0, DOUBT, 0),
 ]
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -107,20 +128,101 @@ class Block:
     words: int
     link: float
     heading: bool
-    place: int
+    place: int  # while the page is read, the number of its element
+
+
+@dataclass
+class Element:
+    name: str
+    parent: int
+    signs: set[str]
+    words: float = 0.0
+    heads: bool = False  # a first or second heading, or an article, is inside
 
 
 def _tells(attributes: str) -> set[str]:
-    return {w for found in _SIGN.findall(attributes) for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(found)).lower())}
+    """Words of an element's names, without names of what it has or lacks."""
+    told: set[str] = set()
+    for found in _SIGN.findall(attributes):
+        for name in "".join(found).split():
+            words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+            if ABOUT.isdisjoint(words):
+                told.update(words)
+    return told
+
+
+def _holds_text(e: Element) -> bool:
+    return e.name in ("article", "main") or "main" in e.signs and "content" in e.signs
+
+
+def _mark(e: Element) -> int | None:
+    """``OTHER`` or ``DOUBT`` by an element's own name and signs."""
+    if e.signs & COMMENTS:
+        return OTHER
+    if e.name in NOT_TEXT:
+        return OTHER
+    if e.name in HEADINGS or e.name in ("body", "html", "article", "main"):
+        return None
+    if e.signs & SIGNS:
+        return OTHER if e.signs & (SIGNS - MAYBE) else DOUBT
+    return None
+
+
+def _places(elements: list[Element], blocks: list[Block]) -> list[int]:
+    """The place of what stands in each element, judged on the whole page; the first element is the page itself.
+
+    A mark does not count on an element that is wrapped around the text: one that holds more than half of the words of
+    the article or page around it together with a heading or an article (a form also without), or one around the
+    only articles of the page.
+    """
+    for b in blocks:
+        elements[b.place].words += b.words * (1 - b.link)
+    for e in reversed(elements[1:]):
+        elements[e.parent].words += e.words
+        elements[e.parent].heads |= e.heads or e.name in ("h1", "h2") or _holds_text(e)
+    marks: list[int | None] = [None]
+    scope, clear, commented = [0], [True], [False]  # article or page around, no mark around, in comments
+    for i, e in enumerate(elements[1:], 1):
+        around = elements[e.parent]
+        mark = _mark(e)
+        header = e.name == "header" or bool(e.signs & PAGE_ONLY)
+        soft = e.name not in NOT_TEXT or e.name in WRAPPERS
+        scope.append(e.parent if _holds_text(around) else scope[e.parent])
+        commented.append(commented[e.parent] or bool(e.signs & COMMENTS))
+        wraps = e.heads or e.name in ("form", "fieldset")
+        if (mark is not None or header) and soft and not commented[i] and wraps and e.words > elements[scope[i]].words / 2:
+            mark, header = None, False
+        marks.append(OTHER if header and scope[i] == 0 and not _holds_text(around) and mark is None else mark)
+        clear.append(clear[e.parent] and marks[i] is None)
+    if not any(_holds_text(e) and clear[i] for i, e in enumerate(elements)):
+        for i, e in enumerate(elements):
+            if _holds_text(e) and not commented[i]:
+                j = e.parent
+                while j and not clear[j]:
+                    if marks[j] is not None and (elements[j].name not in NOT_TEXT or elements[j].name in WRAPPERS):
+                        marks[j] = None
+                    j = elements[j].parent
+    places = [PLAIN]
+    for i, e in enumerate(elements[1:], 1):
+        outer = places[e.parent]
+        place = outer if outer == OTHER or marks[i] is None else marks[i]
+        places.append(ARTICLE if place != OTHER and _holds_text(e) else place)
+    if ARTICLE in places:
+        inside = [False]
+        for i, e in enumerate(elements[1:], 1):
+            inside.append(inside[e.parent] or places[i] == ARTICLE)
+        places = [OUTSIDE if p in (PLAIN, DOUBT) and not inside[i] else p for i, p in enumerate(places)]
+    return places
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in its order."""
     found: list[Block] = []
     texts: list[tuple[str, bool]] = []
-    # open elements: name, place of what is inside, heading
+    # open elements: name, number in ``elements``, heading
     around: list[tuple[str, int, bool]] = []
-    links, article_seen = 0, False
+    elements = [Element("", 0, set())]
+    links = 0
 
     def close_block() -> None:
         raw = "".join(t for t, _ in texts)
@@ -128,7 +230,7 @@ def blocks_of(page: str) -> list[Block]:
         texts.clear()
         text = " ".join(html.unescape(raw).split())
         if text:
-            inside = next((a for a in reversed(around) if a[1] != SKIPPED), ("", PLAIN, False))
+            inside = next((a for a in reversed(around) if a[1] != SKIPPED), ("", 0, False))
             words = text.count(" ") + 1
             found.append(Block(text, words, min(1.0, len(html.unescape(linked).split()) / words), inside[2], inside[1]))
 
@@ -210,24 +312,15 @@ def blocks_of(page: str) -> list[Block]:
         links = 0
         if name in VOID:
             continue
-        outer = around[-1][1] if around else PLAIN
         if name == "p" or name in HEADINGS:  # these end with the next of their kind
             while around and (around[-1][0] == "p" or around[-1][0] in HEADINGS):
                 around.pop()
-            outer = around[-1][1] if around else PLAIN
-        place = outer
-        if outer != OTHER:
-            inside = outer == ARTICLE
-            if name in NOT_TEXT or signs & SIGNS or (not inside and (name == "header" or signs & PAGE_ONLY)):
-                place = OTHER if name not in ("body", "html", "article", "main") or signs & {"comment", "comments"} else outer
-            if place != OTHER and (name in ("article", "main") or "main" in signs and "content" in signs):
-                place, article_seen = ARTICLE, True
-        around.append((name, place, name in HEADINGS or (bool(around) and around[-1][2] and name not in HEADINGS)))
+        elements.append(Element(name, around[-1][1] if around else 0, signs))
+        around.append((name, len(elements) - 1, name in HEADINGS or (bool(around) and around[-1][2])))
     close_block()
-    if article_seen:
-        for b in found:
-            if b.place == PLAIN:
-                b.place = OUTSIDE
+    places = _places(elements, found)
+    for b in found:
+        b.place = places[b.place]
     return found
 
 

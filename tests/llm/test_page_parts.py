@@ -26,3 +26,31 @@ def test_closed_element_is_not_read(name):
 def test_math_and_object_are_text():
     page = "<article><p>The sum <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> is <object data=x>a figure</object> here.</p></article>"
     assert page_text.main_text(page, TREE) == "The sum a+b is a figure here."
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><article>{0}</article></div>", "<div class='sidebar-layout'><article>{0}</article></div>",
+    "<form action=x><input type=hidden><article>{0}</article></form>", "<form><div>{0}</div></form>",
+    "<main><div class='sidebar page'><article>{0}</article></div></main>", "<div class='search'><h1>A title</h1>{0}</div>",
+])
+def test_wrapped_page_is_read(page):
+    assert WORDS in page_text.main_text(page.format(f"<p>{WORDS}</p><p>{WORDS}</p>"), TREE)
+
+
+def test_parts_of_an_article_with_doubtful_names():
+    page = (f"<article><h1>The title</h1><p>{WORDS}</p><h2 id='related-work'>Related work</h2><p>{WORDS}</p><h3 id='search-tags'>Search tags</h3>"
+            f"<p>{WORDS}</p><section id='discussion'><h2>Discussion</h2><p>{WORDS}</p></section><div class='notice'><p>{WORDS}</p></div></article>")
+    assert page_text.main_text(page, TREE).split("\n") == [
+        "The title", WORDS, "Related work", WORDS, "Search tags", WORDS, "Discussion", WORDS, WORDS]
+
+
+def test_other_things_stay_out():
+    links = "<ul>" + "<li><a href=x>Another post</a></li>" * 4 + "</ul>"
+    page = (f"<div class='sidebar'><article>{WORDS}</article></div><article><p>{WORDS} One.</p><div class='related'><h3>Related</h3>{links}</div>"
+            f"<div class='newsletter'><p>{WORDS}</p></div></article><section class='comments'><article><p>{WORDS}</p></article></section>")
+    assert page_text.main_text(page, TREE) == f"{WORDS} One."
+
+
+def test_short_paragraphs_of_a_plain_page():
+    page = "<h1>A title of it</h1>" + "".join(f"<p>{x}</p>" for x in [f"{WORDS} {WORDS} {WORDS}", "That was all.", WORDS * 5, "It ends here with only seven words."])
+    assert page_text.main_text(page, TREE).split("\n")[2:] == ["That was all.", WORDS * 5, "It ends here with only seven words."]
