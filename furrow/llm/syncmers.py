@@ -3,14 +3,16 @@
 A syncmer is a stretch of ``K`` characters whose smallest inner stretch of ``S`` characters (by hash) lies
 at its start or its end. Whether a stretch is one depends on its own characters alone, so an edit changes
 no syncmer outside it and the same passage has the same syncmers at the same distances everywhere. A
-fingerprint is the ``KEPT`` smallest syncmer hashes; the likeness of two is the share that both hold of
-the smallest hashes of their union, an estimate of the Jaccard likeness of their syncmer sets.
+fingerprint is all syncmers of a text with their positions, left to right, each as one number: the position
+in the upper 32 bits, 32 bits of the hash in the lower. A link is two neighbouring syncmers and the distance
+between them, so texts that share a link match there at one offset, wherever the passage lies in each. The
+likeness of two texts is the Jaccard likeness of their sets of links, without an estimate.
 
 Documents meet their successor in buckets of neighbouring ids; the bucket bounds are at most ``BUCKETS``
 quantiles. Only the last row of a bucket takes its successor from a table of the buckets' first rows.
 
-Defined results: null counts as the empty text; a text shorter than ``K`` has one anchor, its own hash; an
-empty text has none and an empty fingerprint; two empty fingerprints are alike (1.0), an empty and another
+Defined results: null counts as the empty text; a text shorter than ``K`` has one anchor, its own hash; a
+text of one anchor has that as its only link; an empty text has none and an empty fingerprint; two empty fingerprints are alike (1.0), an empty and another
 one are not (0.0); rows of one doc_id follow each other by text hash, a null doc_id comes first; a table of
 one row follows itself. Characters beyond U+FFFF count as two positions in anchors only.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from furrow.llm.arrays import let
 
 K, S = 12, 8
-KEPT = 64
+LOW = (1 << 32) - 1
 BUCKETS, PER_BUCKET = 4096, 2048
 
 
@@ -49,22 +51,24 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     ))
 
 
-def sketch(text: Column, kept: int = KEPT) -> Column:
-    """The smallest distinct syncmer hashes of a text, ascending, as numbers of 32 bits."""
-    hashes = F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, kept)
+def fingerprint(text: Column) -> Column:
+    """All anchors of a text, each as position and 32 bits of its hash in one number."""
+    return F.transform(anchors(text), lambda a: F.shiftleft(a["position"].cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(a["hash"], 32)))
 
 
-def written(found: Column) -> Column:
-    """A sketch as hexadecimal digits, eight a hash."""
-    return F.array_join(F.transform(found, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+def links(found: Column) -> Column:
+    """Distinct hashes of neighbouring anchors with their distance."""
+    pairs = F.transform(F.slice(found, 2, F.size(found) - 1), lambda x, i: F.xxhash64(
+        found[i].bitwiseAND(LOW), x - F.shiftleft(F.shiftright(found[i], 32), 32)
+    ))
+    return F.array_distinct(F.when(F.size(found) > 1, pairs).otherwise(F.transform(found, lambda x: F.xxhash64(x))))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Share of the smallest hashes of both that both hold."""
-    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, kept), lambda low: F.when(
-        F.size(low) == 0, 1.0
-    ).otherwise(F.size(F.array_intersect(low, F.array_intersect(a, b))) / F.size(low)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the links of either that both have."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(
+        F.size(a) + F.size(b) == 0, 1.0
+    ).otherwise(both / (F.size(a) + F.size(b) - both)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -104,12 +108,14 @@ def report(docs: DataFrame) -> DataFrame:
     made = with_next(docs).withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
     made = made.select(
         "doc_id", "bucket", "text_hash", "last", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"),
-        F.when(F.col("last"), sketch(F.col("next_text"))).alias("beyond"),
+        fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"),
+        F.when(F.col("last"), fingerprint(F.col("next_text"))).alias("beyond"),
     )
+    made = made.withColumns({"links": links(F.col("own")), "beyond": F.when(F.col("last"), links(F.col("beyond")))})
+    made = made.withColumn("near_edited", likeness(F.col("links"), links(F.col("changed"))))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text_hash")
-    ahead = made.withColumn("ahead", F.when(F.col("last"), F.col("beyond")).otherwise(F.lead("own").over(order)))
+    ahead = made.withColumn("ahead", F.when(F.col("last"), F.col("beyond")).otherwise(F.lead("links").over(order)))
     return ahead.select(
-        "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("ahead")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("changed").alias("edited_fingerprint"),
+        "near_edited", likeness(F.col("links"), F.col("ahead")).alias("near_next"),
     )
