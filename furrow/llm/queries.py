@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import bpe, language_id, licences, mixing, near_dedup, neighbours, page_text, pii, repeats, syncmers
+from furrow.llm import (
+    audit, bpe, language_id, licences, mixing, near_dedup, neighbours, packing, page_text, pii, repeats, runs, syncmers,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +67,21 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, per source."""
+    return audit.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most 2048 tokens."""
+    return packing.report(_read(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them made periodic."""
+    return runs.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licences": op1_licences,
     "op2_repeats": op2_repeats,
@@ -76,9 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_packing": op12_packing,
+    "op13_runs": op13_runs,
 }
 SQL: dict[str, str] = {
     "op1_licences": licences.sql(),
     "op5_pii": pii.sql(),
     "op10_minhash": near_dedup.sql(percent=85),
+    "op11_filter_audit": audit.sql(),
 }
