@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ UNKNOWN = "und"
 HIDDEN = 8
 CHUNK, CHUNKS, PER_LANGUAGE = 64, 6, 300
 BATCH, STEPS, RATE, SEED = 96, 600, 0.02, 7
-STRETCH, LANES = 256, 2048
+STRETCH, LANES = 256, 512
 PAD = 256  # a symbol whose update gate is shut, so that the state stays zero
 
 
@@ -204,20 +204,23 @@ def _held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text", passed: list[str] | None = None) -> DataFrame:
-    """The ``passed`` columns (all by default) with ``lang_pred``, ``score`` and ``share`` (of the bytes
-    whose own label is the prediction). Columns of these names are replaced. Nothing is shuffled.
+_FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("share", T.DoubleType())])
+
+
+def predicted(text: Column, model: dict | None) -> Column:
+    """``lang_pred, score, share`` (of the bytes whose own label is the prediction) of a text column.
+
+    Only the text goes to Python; what else a row holds stays where it is.
     """
     held = pickle.dumps(model)
-    added = ["lang_pred", "score", "share"]
-    kept = [c for c in (docs.columns if passed is None else passed) if c not in added]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(_FOUND)
+    def label(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         net = pickle.loads(held)
-        for batch in batches:
-            rest = batch.select(kept)
-            for lo, hi, data, offsets in text_slices(batch.column(text), LANES * STRETCH):
-                some = np.asarray(batch.column("_some").slice(lo, hi - lo).to_numpy(zero_copy_only=False), bool)
+        for texts, lettered in batches:
+            found = []
+            for lo, hi, data, offsets in text_slices(texts, LANES * STRETCH):
+                some = np.asarray(lettered.slice(lo, hi - lo).to_numpy(zero_copy_only=False), bool)
                 names, scores, shares = [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo)
                 if net is not None and some.any():
                     p, votes = label_positions(net, folded(data), offsets)
@@ -225,28 +228,29 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text", passed: lis
                     rows = np.arange(hi - lo)
                     names = [net["names"][b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
                     scores, shares = np.where(some, np.clip(p[rows, best], 0, 1), 0.0), np.where(some, votes[rows, best], 0.0)
-                own = rest.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(shares)], names=[*own.schema.names, *added]
-                )
+                found.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(shares)], _FOUND.fieldNames()))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("share", pa.float64())]))
+            del texts, lettered, found
+            pa.default_memory_pool().release_unused()
+
+    # not to be evaluated again by what reads the column
+    return label.asNondeterministic()(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
 
-    schema = T.StructType([
-        *docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()), T.StructField("share", T.DoubleType()),
-    ])
-    asked = docs.select(*dict.fromkeys([*kept, text]))
-    return asked.withColumn("_some", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
+    """All columns with ``lang_pred``, ``score`` and ``share``; columns of these names are replaced."""
+    kept = [c for c in docs.columns if c not in _FOUND.fieldNames()]
+    found = docs.select(F.struct(*kept).alias("row"), predicted(F.col(text).cast("string"), model).alias("found"))
+    return found.select("row.*", "found.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from ``docs`` and predict each row: ``doc_id, held_out, lang_pred, score, share``."""
-    asked = docs.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return predict(asked, fit(docs), passed=["doc_id", "held_out"])
+    asked = docs.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "text")
+    return predict(asked, fit(docs)).drop("text")
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Rows whose language is known with a score of at least ``least``, with all columns."""
-    # under names of their own, so that none clashes with what is added
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    found = predict(named, fit(docs), text=f"c{docs.columns.index('text')}")
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*named.columns).toDF(*docs.columns)
+    found = docs.select(F.struct(*docs.columns).alias("row"), predicted(F.col("text").cast("string"), fit(docs)).alias("found"))
+    return found.filter((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")

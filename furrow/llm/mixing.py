@@ -174,16 +174,23 @@ def report(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """Each document as often as the mix goes through it, to the nearest whole time, with all columns."""
+    """Each document as often as the mix goes through it, to the nearest whole time, with all columns.
+
+    A source's words run through whole documents, so only the document at its end is rounded and its total is
+    the nearest that whole documents give. A source with a target whose documents would all be rounded
+    away keeps the one that the mix takes most of.
+    """
     where, _, mixed = mix(docs, seed)
-    taken = mixed.groupBy("row").agg(F.sum("words").alias("taken"))
-    times = where.join(taken, "row").select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("source").alias("_of"),
-        F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"),
-    ).filter("_times > 0").groupBy("_doc_id", "_text_hash", "_of").agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum("_times").alias("_times"))
-    same = F.col("_key").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")) & F.col("_from").eqNullSafe(F.col("_of"))
-    hashed = docs.withColumns({"_key": F.col("doc_id").cast("bigint"), "_hash": F.xxhash64("text"), "_from": F.col("source").cast("string")})
+    taken = where.select("row", "doc_id", "text_hash", "source", "size").join(mixed.groupBy("row").agg(F.sum("words").alias("taken")), "row")
+    taken = cut(taken.withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")))
+    most = F.max(F.struct("taken", (-F.col("row")).alias("first")))
+    lost = taken.groupBy("source").agg(F.sum("times").alias("all"), most.alias("most")).filter("all = 0").select((-F.col("most.first")).alias("row"), F.lit(1).alias("one"))
+    times = taken.join(lost, "row", "left").withColumn("times", F.coalesce("one", "times")).filter("times > 0").groupBy("doc_id", "text_hash", "source").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("times").alias("times"))
     # rows that repeat each other share their number of times
-    copies = F.greatest(F.lit(1), F.round(F.col("_times") / F.col("_rows")).cast("int"))
-    return hashed.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    copies = times.withColumn("copies", F.greatest(F.lit(1), F.round(F.col("times") / F.col("rows")).cast("int"))).select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("of"), "copies")
+    packed = docs.select(
+        F.col("doc_id").cast("bigint").alias("key"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("from"), F.struct(*docs.columns).alias("row"))
+    same = F.col("key").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & F.col("from").eqNullSafe(F.col("of"))
+    return packed.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -173,8 +173,8 @@ def _possible(percent: int) -> Column:
     return 100 * most >= percent * (most + apart)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row, for links from ``percent`` % of similarity."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, text_hash, group, component`` of each row: the node and the smallest id of its group."""
     low = [f"low{i}" for i in range(LANES)]
     least = percent / 100 - MARGIN
     signed = cut(signatures(docs))
@@ -233,24 +233,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     firsts = first.select(F.col("set_id").alias("node"), F.col("doc_id").alias("first_doc"))
     named = firsts.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("first_doc").alias("component"))
-    named = named.join(smallest, "comp").select(F.col("node").alias("set_id"), "component")
+    named = named.join(smallest, "comp").select(F.col("node").alias("set_id"), F.col("comp").alias("group"), "component")
     return signed.select("doc_id", "n_shingles", "text_hash", "set_id").join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component")))
-        .otherwise(F.col("doc_id")).alias("component_id"),
-        "text_hash",
-    ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+        "doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"), "component")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row, for links from ``percent`` % of similarity."""
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
+    return _grouped(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates, with all columns. Rows without a doc_id all stay."""
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    dropped = near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    kept = hashed.join(dropped, ["doc_id", "_text_hash"], "left_anti")
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """One row of each group of near-duplicates, with all columns: the smallest doc_id, then the smallest text hash.
+
+    Here rows without a doc_id are members of groups too, after all others; of rows that repeat a doc_id and
+    its text one stays. Rows without words all stay.
+    """
+    text_hash = F.xxhash64("text")
+    last = F.lit(1 << 62) + text_hash.bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), last).alias("doc_id"), text_hash.alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    found = cut(_grouped(rows.select("doc_id", F.col("row.text").alias("text")), percent).filter(F.col("group").isNotNull()))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    others = found.join(first, "group").filter(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash").distinct()
+    kept = rows.join(others, ["doc_id", "text_hash"], "left_anti")
+    repeated = cut(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_hash"))
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select("row.*")
+    once = kept.join(repeated, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.join(repeated, ["doc_id", "text_hash"], "left_anti").unionByName(once).select("row.*")
 
 
 def sql(percent: int) -> str:

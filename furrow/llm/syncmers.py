@@ -102,20 +102,45 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
+def edited_fingerprint(own: Column, following: Column) -> Column:
+    """Fingerprint of ``edited`` (``kept`` characters of a text, then ``taken`` of the next one) without hashing it.
+
+    A syncmer depends on its own characters alone, so those of the kept part are the text's own, those of the
+    taken part the next text's, moved; only the stretches over the seam are new.
+    """
+    def until(found: Column, last: Column) -> Column:
+        return F.filter(found, lambda x: F.shiftright(x, 32) <= last)
+
+    def moved(found: Column, by: Column) -> Column:
+        return F.transform(found, lambda x: x + F.shiftleft(by.cast("bigint"), 32))
+
+    seam = F.when(F.length("seam") >= K, moved(fingerprint(F.col("seam")), F.greatest(F.lit(0), F.col("kept") - (K - 1)))).otherwise(F.slice(own, 1, 0))
+    parts = F.concat(until(own, F.col("kept") - K), seam, moved(until(following, F.col("taken") - K), F.col("kept")))
+    # such characters count twice in positions, and a short text has its own rule
+    return F.when(F.col("wide") | (F.length("edited") < K), fingerprint(F.col("edited"))).otherwise(parts)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness."""
-    n, half = F.length("text"), (F.length("text") / 2).cast("int")
-    made = with_next(docs).withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
+    half = (F.length("text") / 2).cast("int")
+    wide = F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]") | F.col("next_text").rlike(r"[\x{10000}-\x{10FFFF}]")
+    made = with_next(docs).withColumns({"kept": F.length("text") - half, "taken": F.least(half, F.length("next_text")), "wide": wide})
+    made = made.withColumns({
+        "edited": F.concat(F.left("text", F.col("kept")), F.left("next_text", half)),
+        "seam": F.concat(F.right(F.left("text", F.col("kept")), F.lit(K - 1)), F.left("next_text", F.least(F.col("taken"), F.lit(K - 1)))),
+    })
+    whole = F.col("wide") | (F.length("edited") < K)
     made = made.select(
-        "doc_id", "bucket", "text_hash", "last", n.cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"),
-        F.when(F.col("last"), fingerprint(F.col("next_text"))).alias("beyond"),
+        "doc_id", "bucket", "text_hash", "last", "kept", "taken", "wide", "seam", F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.when(whole, F.col("edited")).otherwise(F.repeat(F.lit("x"), F.lit(K))).alias("edited"),
+        fingerprint(F.col("text")).alias("own"), F.when(F.col("last"), fingerprint(F.col("next_text"))).alias("beyond"),
     )
-    made = made.withColumns({"links": links(F.col("own")), "beyond": F.when(F.col("last"), links(F.col("beyond")))})
-    made = made.withColumn("near_edited", likeness(F.col("links"), links(F.col("changed"))))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text_hash")
-    ahead = made.withColumn("ahead", F.when(F.col("last"), F.col("beyond")).otherwise(F.lead("links").over(order)))
+    ahead = made.withColumn("following", F.when(F.col("last"), F.col("beyond")).otherwise(F.lead("own").over(order)))
+    ahead = ahead.withColumn("changed", edited_fingerprint(F.col("own"), F.col("following"))).withColumn("links", links(F.col("own")))
+    ahead = ahead.withColumn("beyond_links", F.when(F.col("last"), links(F.col("following")))).withColumn(
+        "next_links", F.when(F.col("last"), F.col("beyond_links")).otherwise(F.lead("links").over(order)))
     return ahead.select(
         "doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("changed").alias("edited_fingerprint"),
-        "near_edited", likeness(F.col("links"), F.col("ahead")).alias("near_next"),
+        likeness(F.col("links"), links(F.col("changed"))).alias("near_edited"), likeness(F.col("links"), F.col("next_links")).alias("near_next"),
     )

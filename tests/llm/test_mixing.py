@@ -63,3 +63,11 @@ def test_small_tables(spark):
     assert helpers.rows_of(mixing.report(one)) == [(1, 0, 0, 0.0, 0)]
     kept = mixing.mixed_documents(helpers.awkward(spark))
     assert kept.columns == helpers.awkward(spark).columns and kept.filter("trim(text) = ''").count() == 0
+
+
+def test_a_source_of_one_long_document_stays(spark):
+    rows = [(i, "word " * 100, "big") for i in range(50)] + [(99, "other " * 3000, "long"), (100, "x " * 40, "small")]
+    docs = spark.createDataFrame([(*r, "kept", 5) for r in rows], "doc_id long, text string, source string, _key string, row int")
+    got = mixing.mixed_documents(docs).collect()
+    assert {r["source"] for r in got} == {"big", "long", "small"}
+    assert got[0].__fields__ == docs.columns and {(r["_key"], r["row"]) for r in got} == {("kept", 5)}

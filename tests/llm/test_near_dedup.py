@@ -102,4 +102,18 @@ def test_one_of_each_group_stays(spark, rows):
     assert kept.columns == docs.columns
     if rows:
         ids = [r["doc_id"] for r in kept.collect()]
+        # 9003 once, with the row of the same words; "a b" has no words in common with any
         assert ids.count(9003) == 1 and ids.count(9004) == 2 and ids.count(None) == 2
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w59", "other")
+    rows = [(None, text), (None, near), (None, text), (7, text), (7, near), (7, text), (8, near), (None, "only here and nowhere else at all"), (None, None), (9, ""), (9, "")]
+    kept = near_dedup.keep_first(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _text_hash int")).collect()
+    assert kept[0].__fields__ == ["doc_id", "text", "_text_hash"] and all(r["_text_hash"] == 1 for r in kept)
+    alike = [r for r in kept if r["text"] in (text, near)]
+    assert len(alike) == 1 and alike[0]["doc_id"] == 7
+    assert sorted(str(r["text"]) for r in kept if r not in alike) == sorted(["None", "", "", "only here and nowhere else at all"])
+    only_null = near_dedup.keep_first(spark.createDataFrame([(None, text), (None, near)], "doc_id long, text string")).collect()
+    assert len(only_null) == 1

@@ -41,3 +41,13 @@ def test_likeness_against_sets_of_links(spark):
         for other, near in ((r["edited_fingerprint"], r["near_edited"]), (got[(n + 1) % len(got)]["fingerprint"], r["near_next"])):
             x, y = links_of(r["fingerprint"]), links_of(other)
             assert abs(near - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
+
+
+def test_edited_fingerprint_is_that_of_the_edited_text(spark):
+    texts = [prose(DRAW.randint(1, 12))[:DRAW.randint(0, 60)] for _ in range(150)] + ["", "a", "\U0001F600" * 9 + prose(9), prose(5) + "\U0001F601", "é" * 30]
+    DRAW.shuffle(texts)
+    got = sorted(syncmers.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])
+    halves = [len(t) // 2 for t in texts]
+    edited = [t[:len(t) - h] + texts[(i + 1) % len(texts)][:h] for i, (t, h) in enumerate(zip(texts, halves))]
+    made = spark.createDataFrame(list(enumerate(edited)), "i int, t string").select("i", syncmers.fingerprint(F.col("t")).alias("f")).collect()
+    assert [r["edited_fingerprint"] for r in got] == [r["f"] for r in sorted(made, key=lambda r: r["i"])]
