@@ -213,6 +213,79 @@ def merge_duplicates(spark, sf_dir):
     return merging.merge_duplicate_boxes(B.boxes(spark, sf_dir))
 
 
+# Patterns of the four cells around each lattice point: one or three cells make a corner, two across make two.
+QUADS_SQL = """
+quads AS (SELECT {keys}, vy, vx, sum(bit) AS q FROM (
+    SELECT {keys}, {y} + dy AS vy, {x} + dx AS vx, 1 << (2 * dy + dx) AS bit FROM {cells}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dy, dx)) GROUP BY ALL),
+corners AS (SELECT {keys},
+    count(*) FILTER (q IN (1, 2, 4, 8)) AS q1, count(*) FILTER (q IN (7, 11, 13, 14)) AS q3, count(*) FILTER (q IN (6, 9)) AS qd FROM quads GROUP BY ALL)"""
+# Parts less holes, from the corner patterns.
+EULER = "((q1 - q3 + 2 * qd) // 4)"
+
+
+def _summary(polygons, keys):
+    """Parts, holes, corners and measures taken from the coordinates of the rings."""
+    own = polygons.withColumns({
+        "holes": F.size("interiors"),
+        "corners": F.size("exterior") - 1 + F.aggregate("interiors", F.lit(0), lambda acc, r: acc + F.size(r) - 1),
+        "area": rings.polygon_area(F.col("exterior"), F.col("interiors")),
+        "perimeter": rings.polygon_length(F.col("exterior"), F.col("interiors")),
+    })
+    return own.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("parts"), *[F.sum(c).cast("bigint").alias(c) for c in ("holes", "corners")],
+        *[F.sum(c).alias(c) for c in ("area", "perimeter")])
+
+
+def _merged_rings(ratio):
+    def run(spark, sf_dir):
+        runs = cut(fields(spark, sf_dir))
+        kept = cut(labelling.running_id(labelling.size_filter(stats(runs), 500), KEY))
+        return _summary(merging.merged_field_polygons(runs, kept, KEY, STRIDE, ratio), ["raster_id", "label", "ids"])
+
+    return run
+
+
+for _name, _ratio in (("G5_A15_merged_rings", 0.0), ("G5_merged_rings_ratio", 0.15)):
+    query(_name, with_(
+        *LAB, STATS_SQL, CONTACT_SQL, merged_sql(_ratio),
+        "mc AS (SELECT l.raster_id, p.label, l.y, l.x FROM lab l JOIN lbl p USING (raster_id, comp))",
+        QUADS_SQL.format(keys="raster_id, label", y="y", x="x", cells="mc"), body=f"""
+SELECT raster_id, label, ids, 1::BIGINT AS parts, (1 - {EULER})::BIGINT AS holes, (q1 + q3 + 2 * qd)::BIGINT AS corners, area, perimeter
+FROM merged JOIN corners USING (raster_id, label)""", recursive=True))(_merged_rings(_ratio))
+
+
+# Parts of a union: cells of one component joined over their sides.
+PARTS_SQL = """
+steps AS (SELECT a.comp, a.cx, a.cy, b.cx AS nx, b.cy AS ny FROM ucells a JOIN ucells b ON b.comp = a.comp AND abs(b.cx - a.cx) + abs(b.cy - a.cy) = 1),
+reach AS (SELECT comp, cx, cy, cy * 1000000 + cx AS root FROM ucells
+  UNION SELECT s.comp, s.nx, s.ny, r.root FROM reach r JOIN steps s USING (comp, cx, cy)),
+pieces AS (SELECT comp, count(DISTINCT root) AS parts FROM (SELECT comp, cx, cy, min(root) AS root FROM reach GROUP BY 1, 2, 3) GROUP BY 1)"""
+RINGS_BODY = f"""
+SELECT comp, ids, p.parts, (p.parts - {EULER})::BIGINT AS holes, (q1 + q3 + 2 * qd)::BIGINT AS corners, area, perimeter
+FROM names JOIN shape USING (comp) JOIN corners USING (comp) JOIN pieces p USING (comp)"""
+
+
+def _box_rings_sql(cond: str, snapped: str, unit: int) -> str:
+    return with_(B.BOXES_SQL, PAIRS_SQL, box_walk(cond), snapped, UNION_SQL.format(u=unit), QUADS_SQL.format(keys="comp", y="cy", x="cx", cells="ucells"),
+                 PARTS_SQL, body=RINGS_BODY, recursive=True)
+
+
+@query("G5_E5_box_union_rings", _box_rings_sql("inter > 0 OR shared > 0", UNSNAPPED, 1))
+def box_union_rings(spark, sf_dir):
+    """Rings of the unions of boxes that overlap or touch along a side."""
+    accept = spatial.merges_adjacent(F.col("inter"), F.col("shared"), F.col("min_perimeter"), 0.0)
+    grouped = merging.box_components(B.boxes(spark, sf_dir), accept)
+    return _summary(merging.dissolved_polygons(grouped, None, tile=256.0), ["comp", "ids"])
+
+
+@query("G6_A16_duplicate_rings", _box_rings_sql("inter / (200 - inter) >= 0.2 OR inter / 100 >= 0.8", SNAPPED, 10))
+def duplicate_rings(spark, sf_dir):
+    """Rings of merged detections on the snap grid, part by part."""
+    accept = spatial.merges_duplicates(F.col("iou"), F.col("containment"))
+    grouped = merging.box_components(B.boxes(spark, sf_dir), accept)
+    return _summary(merging.dissolved_polygons(grouped, 10.0), ["comp", "ids"])
+
+
 @query("P11_W5_size_filter", with_(B.BOXES_SQL, body="""
 SELECT id, row_number() OVER (ORDER BY id) AS new_id FROM (SELECT *, (x1 - x0) * (1 + patch_id) * 10 AS area FROM boxes) WHERE area > 500 AND area < 1500"""))
 def size_filter(spark, sf_dir):

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.operators import labelling, spatial
+from furrow.operators import boundary, labelling, spatial
 from furrow.operators.graph import with_components
 from furrow.operators.skew import attach_group
 from furrow.session import cut
 
 
-def merge_adjacent_fields(
+def adjacent_labels(
     runs: DataFrame, stats: DataFrame, keys: list[str], stride: int, ratio: float,
     pixel_w: float = 10.0, pixel_h: float = 10.0,
-) -> DataFrame:
-    """Merge fields of neighbouring tiles whose shared boundary is long enough.
+) -> tuple[DataFrame, DataFrame]:
+    """Contacts of kept fields of neighbouring tiles, and the merged label of each field.
 
-    ``stats`` holds the kept fields with ``id, perimeter`` and cell counts; fields dropped before
-    do not take part. Inside a tile two fields never share a side, so only tile edges are
-    compared. Gives one row per merged field: ids in order, exact area and perimeter.
+    Inside a tile two fields never share a side, so only tile edges are compared.
     """
     contacts = labelling.tile_contacts(
         runs.join(stats.select(*keys, "ty", "tx", "comp"), [*keys, "ty", "tx", "comp"], "left_semi"),
@@ -33,7 +33,19 @@ def merge_adjacent_fields(
     accepted = pairs.filter(
         spatial.merges_adjacent(F.lit(0.0), F.col("shared"), F.least("pa", "pb"), ratio)
     )
-    labels = labelling.merge_labels(stats, accepted, keys)
+    return contacts, labelling.merge_labels(stats, accepted, keys)
+
+
+def merge_adjacent_fields(
+    runs: DataFrame, stats: DataFrame, keys: list[str], stride: int, ratio: float,
+    pixel_w: float = 10.0, pixel_h: float = 10.0,
+) -> DataFrame:
+    """Merge fields of neighbouring tiles whose shared boundary is long enough.
+
+    ``stats`` holds the kept fields with ``id, perimeter`` and cell counts; fields dropped before
+    do not take part. Gives one row per merged field: ids in order, exact area and perimeter.
+    """
+    contacts, labels = adjacent_labels(runs, stats, keys, stride, ratio, pixel_w, pixel_h)
     inner = (
         contacts.join(labels.withColumnsRenamed({"comp": "a", "label": "la"}), [*keys, "a"])
         .join(labels.withColumnsRenamed({"comp": "b", "label": "lb"}), [*keys, "b"])
@@ -55,6 +67,24 @@ def merge_adjacent_fields(
     )
 
 
+def merged_field_polygons(
+    runs: DataFrame, stats: DataFrame, keys: list[str], stride: int, ratio: float,
+    affine: tuple[float, ...] = (10.0, 0.0, 0.0, 0.0, -10.0, 0.0),
+) -> DataFrame:
+    """Merged fields as polygons: ``keys, label, ids, fields, exterior, interiors, area, perimeter``.
+
+    The rings are those of the union, so common sides of merged fields are gone from them.
+    """
+    a, b, _, d, e, _ = affine
+    _, labels = adjacent_labels(runs, stats, keys, stride, ratio, math.hypot(a, d), math.hypot(b, e))
+    labels = cut(labels)
+    shapes = boundary.outlines_of(
+        boundary.run_boxes(runs.join(labels, [*keys, "comp"]), keys, "label"), keys, "label", stride, affine)
+    members = stats.join(labels, [*keys, "comp"]).groupBy(*keys, "label").agg(
+        merged_id(F.col("id"), F.col("id")).alias("ids"), F.count(F.lit(1)).alias("fields"))
+    return shapes.join(members, [*keys, "label"]).drop("ring")
+
+
 def merged_id(order: Column, ident: Column) -> Column:
     """Aggregate: ids joined by commas in input order, blanks left out."""
     shown = F.when(ident.cast("string") != "", F.struct(order.alias("o"), ident.cast("string").alias("s")))
@@ -210,25 +240,41 @@ def merge_duplicate_boxes(
     return dissolve_boxes(box_components(boxes, accept, base), snap=grid)
 
 
-def dissolve_boxes(boxes: DataFrame, snap: float | None) -> DataFrame:
-    """Union of the boxes of each ``comp``: exact area and perimeter.
-
-    Components without area, also those that the grid takes it from, fall away. Without a snap grid the plane is cut at the distinct edges of the component itself, so the
-    measure is exact for any coordinates. Horizontal strips keep the work near the number of
-    edges rather than the area.
-    """
+def _solid(boxes: DataFrame, snap: float | None) -> tuple[DataFrame, DataFrame]:
+    """Ids and number of the boxes of each ``comp``, and its distinct boxes with area on the snap grid."""
     if snap is not None:
         for c in ("x0", "y0", "x1", "y1"):
             boxes = boxes.withColumn(c, F.floor(F.col(c) / snap + 0.5) * snap)
     ids = boxes.groupBy("comp").agg(
         merged_id(F.col("id"), F.col("id")).alias("ids"), F.count(F.lit(1)).alias("parts")
     )
-    solid = (
+    return ids, (
         boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
         .select("comp", "x0", "y0", "x1", "y1").distinct()
     )
-    merged = _strip_intervals(solid)
-    return ids.join(_strip_measures(merged), "comp")
+
+
+def dissolve_boxes(boxes: DataFrame, snap: float | None) -> DataFrame:
+    """Union of the boxes of each ``comp``: exact area and perimeter.
+
+    Components without area, also those that the grid takes it from, fall away. Without a snap grid the plane is cut at the distinct edges of the component itself, so the
+    measure is exact for any coordinates. Horizontal strips keep the work near the number of
+    edges rather than the area.
+    """
+    ids, solid = _solid(boxes, snap)
+    return ids.join(_strip_measures(_strip_intervals(solid)), "comp")
+
+
+def dissolved_polygons(boxes: DataFrame, snap: float | None, tile: float = 4096.0) -> DataFrame:
+    """Union of the boxes of each ``comp`` as polygons, one row per part.
+
+    ``comp, ids, boxes, exterior, interiors, area, perimeter``; rings run in the plane of the boxes and
+    ``tile`` is the side of the squares whose sides are linked in one task.
+    """
+    ids, solid = _solid(boxes, snap)
+    strips = _strip_intervals(solid).select("comp", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    shapes = boundary.outlines_of(strips, [], "comp", tile)
+    return shapes.join(ids.withColumnRenamed("parts", "boxes"), "comp").drop("ring")
 
 
 def _strip_intervals(solid: DataFrame, band_height: float = 1024.0) -> DataFrame:
