@@ -18,8 +18,10 @@ doc_id and text are read. Sequence ids hold the number of the partition in the u
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,26 +41,73 @@ _PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+# Words of these characters alone have a simple lower case, need no normal form and are cut by one pattern.
+_ODD = re.compile("[^!-~À-ÖØ-öø-įı-ſ\n]")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|\n|[^a-z0-9ß-öø-ſ\n]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it can be seen, else the next one above U+00FF."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The tokenizer never joins characters over white space, so a text's ids are those of its words one after
-    the other, and each different word is given to the tokenizer once.
+    the other, and each different word is encoded once. Words of common characters are cut into pieces here, and
+    only pieces that are new go to the tokenizer's merges; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.merges = models.BPE(
+            vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes | None] = {"\n": None}
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        made = [token.id for token in self.merges.tokenize(shown)]
+        ids = struct.pack(f"<{len(made)}I", *made)
+        if len(piece) <= LONG:
+            self.pieces[piece] = ids
+        return ids
+
+    def _simple(self, words: list[bytes], text: str) -> dict[bytes, bytes]:
+        """Ids of words that ``text`` holds, each ended by a line feed."""
+        if len(self.pieces) > KNOWN:
+            self.pieces = {"\n": None}
+        found, own, nth, known = {}, [], 0, self.pieces
+        for piece in _PIECES.findall(text.lower()):
+            ids = known[piece] if piece in known else self._piece(piece)
+            if ids is None:
+                found[words[nth]] = b"".join(own)
+                own, nth = [], nth + 1
+            else:
+                own.append(ids)
+        return found
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         asked = list(words)
-        found = {}
-        for lo in range(0, len(asked), 4096):
-            part = asked[lo:lo + 4096]
+        text = b"\n".join([*asked, b""]).decode()
+        odd = []
+        if _ODD.search(text):
+            odd = [w for w in asked if _ODD.search(w.decode())]
+            asked = list(words.difference(odd))
+            text = b"\n".join([*asked, b""]).decode()
+        found = self._simple(asked, text) if asked else {}
+        for lo in range(0, len(odd), 4096):
+            part = odd[lo:lo + 4096]
             for word, made in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 found[word] = np.array(made.ids, "<u4").tobytes()
         return found

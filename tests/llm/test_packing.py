@@ -60,6 +60,8 @@ def test_words_give_the_ids_of_the_whole_text():
     rng = random.Random(2)
     chars = "aB'sé́ Σς  \n\t\x0b\x1c\x85日本😀1٣<|endoftext|>.,!İıﬁÅ"
     texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["<|startoftext|> x<|endoftext|>", "x" * 500 + " y" * 9]
+    letters = [chr(c) for c in range(0x21, 0x250)] + ["'s", "'LL", "'d", "<|endoftext|>", "E\u0301", "\u212b", "ẞ", "Σ"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(600)] + ["Tab\x00x", "a\xa0b", "a\u2028b", "\xad", "x\x7fy"]
     encoder = packing.Encoder(PATH)
     for text, want in zip(texts, ids_of(texts), strict=True):
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == want[:-1], repr(text)
