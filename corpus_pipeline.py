@@ -12,13 +12,23 @@ from furrow.session import scratch_path, ship
 ORACLE_SQL = None
 
 
+# Bytes of text in one Arrow batch: by rows alone, a batch of long documents takes hundreds of MB of a task.
+BATCH_BYTES = "4m"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter or with an undecided language go."""
+    _in_small_batches(spark)
     return language_id.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id."""
+    _in_small_batches(spark)
     return near_dedup.keep_first(docs)
 
 
@@ -34,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids`` of every document of the mix."""
+    _in_small_batches(spark)
     encoded = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
     return encoded.select("doc_id", "source", "n_tokens", "ids")
 
