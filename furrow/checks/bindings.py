@@ -156,6 +156,49 @@ boxes AS (
   FROM part)"""
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slanted quadrilaterals of many sizes in piles of three, a quarter of them with a triangular hole."""
+    p = F.col("p_partkey")
+    g = div(p, 3)
+    rows = table(spark, sf_dir, "part").select(
+        p.alias("id"), ((g % 40) * 40 + (p % 3) * (1 + g % 7)).cast("double").alias("cx"), (div(g, 40) * 40).cast("double").alias("cy"),
+        (4 + p % 13).cast("double").alias("s"), (p % 5 - 2).cast("double").alias("k"), (p % 4 == 0).alias("holed"))
+    cx, cy, s, k = (F.col(c) for c in ("cx", "cy", "s", "k"))
+    first = rings.point(cx - s, cy - s)
+    outer = F.array(first, rings.point(cx + s, cy - s + k), rings.point(cx + s + k, cy + s), rings.point(cx - s + 1, cy + s - k), first)
+    low = rings.point(cx - s / 2, cy - s / 2)
+    hole = F.array(low, rings.point(cx + s / 2, cy - s / 2 + k / 4), rings.point(cx, cy + s / 2), low)
+    return rows.select("id", outer.alias("exterior"), F.when(F.col("holed"), F.array(hole)).otherwise(F.slice(F.array(hole), 1, 0)).alias("interiors"))
+
+
+SHAPES_SQL = """
+sized AS (
+  SELECT p_partkey AS id, (((p_partkey // 3) % 40) * 40 + (p_partkey % 3) * (1 + (p_partkey // 3) % 7))::DOUBLE AS cx,
+         ((p_partkey // 120) * 40)::DOUBLE AS cy, (4 + p_partkey % 13)::DOUBLE AS s, (p_partkey % 5 - 2)::DOUBLE AS k, p_partkey % 4 = 0 AS holed
+  FROM part),
+ring_sides AS (
+  SELECT id, cx - s AS px, cy - s AS py, cx + s AS qx, cy - s + k AS qy FROM sized
+  UNION ALL SELECT id, cx + s, cy - s + k, cx + s + k, cy + s FROM sized
+  UNION ALL SELECT id, cx + s + k, cy + s, cx - s + 1, cy + s - k FROM sized
+  UNION ALL SELECT id, cx - s + 1, cy + s - k, cx - s, cy - s FROM sized
+  UNION ALL SELECT id, cx - s / 2, cy - s / 2, cx + s / 2, cy - s / 2 + k / 4 FROM sized WHERE holed
+  UNION ALL SELECT id, cx + s / 2, cy - s / 2 + k / 4, cx, cy + s / 2 FROM sized WHERE holed
+  UNION ALL SELECT id, cx, cy + s / 2, cx - s / 2, cy - s / 2 FROM sized WHERE holed),
+bounds AS (SELECT id, min(least(px, qx)) AS x0, max(greatest(px, qx)) AS x1, min(least(py, qy)) AS y0, max(greatest(py, qy)) AS y1 FROM ring_sides GROUP BY 1)"""
+
+
+def shape_cells_sql(step: float) -> str:
+    """Grid cells whose centres have an odd number of sides to their left."""
+    return f"""
+shape_cells AS (
+  SELECT id, r, c FROM (
+    SELECT b.id, r, c FROM bounds b, unnest(range(floor(y0 / {step})::BIGINT - 1, ceil(y1 / {step})::BIGINT + 1)) t(r), unnest(range(floor(x0 / {step})::BIGINT - 1, ceil(x1 / {step})::BIGINT + 1)) u(c)) g
+  JOIN ring_sides e USING (id)
+  WHERE least(py, qy) <= (r + 0.5::DOUBLE) * {step} AND (r + 0.5::DOUBLE) * {step} < greatest(py, qy)
+    AND px + ((r + 0.5::DOUBLE) * {step} - py) * (qx - px) / (qy - py) <= (c + 0.5::DOUBLE) * {step}
+  GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)"""
+
+
 def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     split = F.when(d % 10 < 8, "train").when(d % 10 == 8, "val").otherwise("test")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.checks import bindings as B
 from furrow.checks.registry import query, with_
-from furrow.functions import projection, raster_math, rings, text
+from furrow.functions import footprints, projection, raster_math, rings, text
 from furrow.functions.projection import ECC, E2, K0
 from furrow.constants import SCENE_PREFIX, SCENE_STORE, WGS84_A
 from furrow.operators import scenes as S
@@ -259,7 +259,88 @@ def two_scene_intersect(spark, sf_dir):
     a = B.scenes(spark, sf_dir).select("scene_id", "footprint")
     b = a.select((F.col("scene_id") - 1).alias("scene_id"), F.col("footprint").alias("other"))
     return a.join(b, "scene_id").select(
-        "scene_id", S.footprints_meet(F.col("footprint"), F.col("other")).cast("int").alias("meets"))
+        "scene_id", S.footprints_meet(footprints.single(F.col("footprint")), footprints.single(F.col("other"))).cast("int").alias("meets"))
+
+
+# Footprints in the plane: two slanted trapezoids, the first with a slanted hole; every eleventh crosses itself.
+TRAPEZOIDS_SQL = """
+trapezoids AS (
+  SELECT o_orderkey AS scene_id, (o_custkey % 30)::DOUBLE AS a, (o_custkey % 20)::DOUBLE AS c, (8 + o_orderkey % 5)::DOUBLE AS w,
+         (6 + o_orderkey % 4)::DOUBLE AS h, (1 + o_orderkey % 3)::DOUBLE AS rise, (o_custkey % 30 + o_orderkey % 17 - 8)::DOUBLE AS x0,
+         (o_custkey % 20 + o_orderkey % 13 - 6)::DOUBLE AS y0, (3 + o_orderkey % 16)::DOUBLE AS bw, (2 + o_orderkey % 9)::DOUBLE AS bh, o_orderkey % 11 = 0 AS bad
+  FROM orders),
+pieces AS (
+  SELECT scene_id, 1 AS sign, a AS xa, a + w AS xb, c AS low, c + h AS t, rise / w AS m, x0, y0, x0 + bw AS x1, y0 + bh AS y1 FROM trapezoids
+  UNION ALL SELECT scene_id, -1, a + w / 4, a + w / 2, c + 1, c + h / 2, 4 * rise / 2 / w, x0, y0, x0 + bw, y0 + bh FROM trapezoids
+  UNION ALL SELECT scene_id, 1, a + w + 2, a + 2 * w + 2, c - 1, c + h, rise / w, x0, y0, x0 + bw, y0 + bh FROM trapezoids),
+spans AS (
+  SELECT *, greatest(low, y0) AS lo, greatest(greatest(low, y0), y1) AS hi, t + m * (least(greatest(xa, x0), xb) - xa) AS ta, t + m * (greatest(least(xb, x1), xa) - xa) AS tb FROM pieces),
+sums AS (SELECT scene_id, sum(CASE WHEN greatest(xa, x0) < least(xb, x1) THEN sign * ({gb} - {ga}) / m ELSE 0 END) AS covered FROM spans GROUP BY 1)""".format(
+    **{f"g{e}": f"(CASE WHEN t{e} <= lo THEN 0 WHEN t{e} < hi THEN (t{e} - lo) * (t{e} - lo) / 2 ELSE (hi - lo) * (hi - lo) / 2 + (hi - lo) * (t{e} - hi) END)" for e in "ab"})
+
+
+def _trapezoids(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = B.table(spark, sf_dir, "orders").select(
+        k.alias("scene_id"), *[v.cast("double").alias(n) for n, v in {
+            "a": c % 30, "c": c % 20, "w": 8 + k % 5, "h": 6 + k % 4, "rise": 1 + k % 3, "x0": c % 30 + k % 17 - 8, "y0": c % 20 + k % 13 - 6,
+            "bw": 3 + k % 16, "bh": 2 + k % 9}.items()], (k % 11 == 0).alias("bad"))
+    a, low, w, h, rise = (F.col(n) for n in ("a", "c", "w", "h", "rise"))
+
+    def ring(*points):
+        made = [rings.point(x, y) for x, y in points]
+        return F.array(*made, made[0])
+
+    def part(outer, *holes):
+        inner = F.array(*holes) if holes else F.slice(F.array(outer), 1, 0)
+        return F.struct(outer.alias("exterior"), inner.alias("interiors"))
+
+    hole = ring((a + w / 4, low + 1), (a + w / 2, low + 1), (a + w / 2, low + h / 2 + rise / 2), (a + w / 4, low + h / 2))
+    first = part(ring((a, low), (a + w, low), (a + w, low + h + rise), (a, low + h)), hole)
+    bow = part(ring((a, low), (a + w, low), (a, low + h), (a + w, low + h)))
+    x = a + w + 2
+    second = part(ring((x, low - 1), (x + w, low - 1), (x + w, low + h + rise), (x, low + h)))
+    return o.select("scene_id", F.when(F.col("bad"), F.array(bow)).otherwise(F.array(first, second)).alias("parts"), "x0", "y0",
+                    (F.col("x0") + F.col("bw")).alias("x1"), (F.col("y0") + F.col("bh")).alias("y1"))
+
+
+@query("A11_S7_parts_clipped", with_(TRAPEZOIDS_SQL, body="""
+SELECT scene_id, NOT bad AS valid, CASE WHEN bad THEN 0 ELSE round(covered, 6) + 0.0 END::DOUBLE AS covered, CASE WHEN bad THEN 0 ELSE round(covered, 6) + 0.0 END::DOUBLE AS clipped
+FROM trapezoids JOIN sums USING (scene_id)"""))
+def parts_clipped(spark, sf_dir):
+    """Area of footprints of two parts with a hole inside a box: measured in place, and on the clipped rings."""
+    t = _trapezoids(spark, sf_dir).withColumn("valid", footprints.parts_valid(F.col("parts")))
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    cut = footprints.clip_parts(F.col("parts"), lambda r: footprints.clip_ring(r, *box))
+    measured = {"covered": footprints.covered_area(F.col("parts"), *box), "clipped": footprints.parts_area(cut)}
+    return t.select("scene_id", "valid", *[F.when(F.col("valid"), F.round(v, 6) + 0.0).otherwise(0.0).alias(n) for n, v in measured.items()])
+
+
+LEANING_SQL = """
+leaning AS (
+  SELECT o_orderkey AS scene_id, (o_custkey % 30)::DOUBLE AS cx, (o_custkey % 20)::DOUBLE AS cy, 1.0::DOUBLE + o_orderkey % 6 AS s,
+         (o_orderkey % 5 - 2) / 4.0::DOUBLE AS p, (o_orderkey % 3) / 4.0::DOUBLE AS q FROM orders),
+sides AS (SELECT scene_id, cx, cy, s AS ux, s * p AS uy, s * q AS vx, s AS vy FROM leaning)"""
+
+
+def _axis(n: str, a: str) -> str:
+    """The projections of both parallelograms on the normal of a side of ``a`` overlap."""
+    x, y = f"(-{a}.{n}y)", f"{a}.{n}x"
+    reach = " + ".join(f"abs({x} * {t}.{d}x + {y} * {t}.{d}y)" for t in "ab" for d in "uv")
+    return f"abs({x} * (b.cx - a.cx) + {y} * (b.cy - a.cy)) <= {reach}"
+
+
+@query("J6_slanted_intersect", with_(LEANING_SQL, body=f"""
+SELECT a.scene_id, ({" AND ".join(_axis(n, t) for t in "ab" for n in "uv")})::INT AS meets
+FROM sides a JOIN sides b ON b.scene_id = a.scene_id + 1"""))
+def slanted_intersect(spark, sf_dir):
+    """Slanted footprints that share a point."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s, p, q = 1.0 + k % 6, (k % 5 - 2) / 4.0, (k % 3) / 4.0
+    corners = [rings.point(c % 30 + s * i + s * q * j, c % 20 + s * p * i + s * j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+    a = B.table(spark, sf_dir, "orders").select(k.alias("scene_id"), footprints.single(F.array(*corners)).alias("parts"))
+    b = a.select((F.col("scene_id") - 1).alias("scene_id"), F.col("parts").alias("other"))
+    return a.join(b, "scene_id").select("scene_id", S.footprints_meet(F.col("parts"), F.col("other")).cast("int").alias("meets"))
 
 
 @query("S9_W3_landcover_first_item", """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from furrow.checks import registry
 
-MODULES = ["catalogue", "samples", "pixels", "fields", "scores", "losses", "kernels"]
+MODULES = ["catalogue", "samples", "pixels", "fields", "scores", "losses", "kernels", "shapes"]
 
 
 def _load() -> None:

@@ -223,7 +223,7 @@ corners AS (SELECT {keys},
 EULER = "((q1 - q3 + 2 * qd) // 4)"
 
 
-def _summary(polygons, keys):
+def summary(polygons, keys):
     """Parts, holes, corners and measures taken from the coordinates of the rings."""
     own = polygons.withColumns({
         "holes": F.size("interiors"),
@@ -240,7 +240,7 @@ def _merged_rings(ratio):
     def run(spark, sf_dir):
         runs = cut(fields(spark, sf_dir))
         kept = cut(labelling.running_id(labelling.size_filter(stats(runs), 500), KEY))
-        return _summary(merging.merged_field_polygons(runs, kept, KEY, STRIDE, ratio), ["raster_id", "label", "ids"])
+        return summary(merging.merged_field_polygons(runs, kept, KEY, STRIDE, ratio), ["raster_id", "label", "ids"])
 
     return run
 
@@ -275,7 +275,7 @@ def box_union_rings(spark, sf_dir):
     """Rings of the unions of boxes that overlap or touch along a side."""
     accept = spatial.merges_adjacent(F.col("inter"), F.col("shared"), F.col("min_perimeter"), 0.0)
     grouped = merging.box_components(B.boxes(spark, sf_dir), accept)
-    return _summary(merging.dissolved_polygons(grouped, None, tile=256.0), ["comp", "ids"])
+    return summary(merging.dissolved_polygons(grouped, None, tile=256.0), ["comp", "ids"])
 
 
 @query("G6_A16_duplicate_rings", _box_rings_sql("inter / (200 - inter) >= 0.2 OR inter / 100 >= 0.8", SNAPPED, 10))
@@ -283,7 +283,7 @@ def duplicate_rings(spark, sf_dir):
     """Rings of merged detections on the snap grid, part by part."""
     accept = spatial.merges_duplicates(F.col("iou"), F.col("containment"))
     grouped = merging.box_components(B.boxes(spark, sf_dir), accept)
-    return _summary(merging.dissolved_polygons(grouped, 10.0), ["comp", "ids"])
+    return summary(merging.dissolved_polygons(grouped, 10.0), ["comp", "ids"])
 
 
 @query("P11_W5_size_filter", with_(B.BOXES_SQL, body="""

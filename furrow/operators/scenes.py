@@ -1,6 +1,7 @@
 """Scene selection: the best scene per area and season window from a catalogue.
 
-Scenes: ``scene_id, dt, cloud, tile, footprint`` (closed ring) and ``x0, y0, x1, y1`` (its box).
+Scenes: ``scene_id, dt, cloud, tile``, ``footprint`` (closed ring) or ``parts`` (parts with holes), and
+``x0, y0, x1, y1`` (its box).
 Areas:  ``aoi_id, x0, y0, x1, y1, year, sday, eday`` in degrees and days of year.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions import projection, rings, text
+from furrow.functions import footprints, projection, rings, text
 from furrow.operators.skew import bucket_join
 
 AREA_LIMIT_M2 = 1e10
@@ -55,10 +56,11 @@ def candidate_scenes(
     def period(d: Column) -> Column:
         return F.floor(F.date_diff(F.to_date(d), epoch) / period_days)
 
+    parts = F.col("parts") if "parts" in scenes.columns else footprints.single(F.col("footprint"))
     s = (
         scenes.filter(F.col("cloud") < F.lit(cloud_max))
         .select(
-            "scene_id", "dt", "cloud", "tile", projected(F.col("footprint")).alias("outline"),
+            "scene_id", "dt", "cloud", "tile", projected(parts).alias("outline"),
             *[F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")],
         )
         .withColumn("per", period(F.col("dt")))
@@ -86,9 +88,9 @@ def candidate_scenes(
     )
 
 
-def projected(footprint: Column) -> Column:
-    """Footprint in equal-area metres."""
-    return rings.map_ring(footprint, projection.equal_area_point)
+def projected(parts: Column) -> Column:
+    """Parts of a footprint in equal-area metres; null for invalid and empty ones."""
+    return F.when(footprints.parts_valid(parts), footprints.map_parts(parts, projection.equal_area_point))
 
 
 def nodata_percent(outline: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -99,13 +101,13 @@ def nodata_percent(outline: Column, x0: Column, y0: Column, x1: Column, y1: Colu
 
     def share(b: Column) -> Column:
         whole = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-        covered = rings.clip_area(outline, b["x0"], b["y0"], b["x1"], b["y1"])
+        covered = footprints.covered_area(outline, b["x0"], b["y0"], b["x1"], b["y1"])
         pct = (F.lit(1.0) - covered / whole) * 100
         return F.when(whole <= 0, F.raise_error(F.lit("area box has zero area")).cast("double")).otherwise(
             F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct))
         )
 
-    return F.when(outline.isNull() | (F.size(outline) < 4), F.lit(100.0)).otherwise(
+    return F.when(outline.isNull() | (F.size(outline) < 1), F.lit(100.0)).otherwise(
         rings.let(box, share)
     )
 
@@ -185,7 +187,10 @@ def scene_selection(
 
 
 def footprints_meet(a: Column, b: Column) -> Column:
-    """Box test on two footprints (exact for box footprints)."""
+    """Two footprints of parts share a point; boxes are compared first."""
+    def bounds(parts: Column) -> Column:
+        return rings.ring_bbox(F.flatten(F.transform(parts, lambda p: p["exterior"])))
+
     def meet(p: Column) -> Column:
         l, r = p["l"], p["r"]
         return (
@@ -193,9 +198,8 @@ def footprints_meet(a: Column, b: Column) -> Column:
             & (l["ymin"] <= r["ymax"]) & (r["ymin"] <= l["ymax"])
         )
 
-    return rings.let(
-        F.struct(rings.ring_bbox(a).alias("l"), rings.ring_bbox(b).alias("r")), meet
-    )
+    near = rings.let(F.struct(bounds(a).alias("l"), bounds(b).alias("r")), meet)
+    return F.when(near, footprints.parts_meet(a, b)).otherwise(F.lit(False))
 
 
 def latest_time(*candidates: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import rings
-from furrow.operators import evaluation, labelling, merging, outlines, scoring, stencil
+from furrow.operators import evaluation, labelling, merging, outlines, scoring, stencil, unions
+from furrow.session import cut
 from furrow.sources import rasters
 
 
@@ -79,6 +80,27 @@ def postprocess_instances(
     )
 
 
+def postprocess_polygons(
+    polygons: DataFrame, simplify: float = 0, padding: int = 1, min_size: float | None = 500, max_size: float | None = 100000,
+    close_interiors: bool = True, iou_min: float = 0.2, contain_min: float = 0.8, step: float = 2.5, grid: float = 10.0,
+    hook: rings.XY | None = None,
+) -> DataFrame:
+    """Detections as polygons of any shape (``id, exterior, interiors``, in metres) -> merged fields with rings.
+
+    Holes are closed, rings thinned out, sizes checked (both bounds drop out), duplicates merged where patches overlap,
+    and the final rings measured, through ``hook`` if given. Invalid and empty polygons fall away.
+    """
+    if close_interiors:
+        polygons = polygons.withColumn("interiors", rings.drop_interiors(F.col("interiors")))
+    shapes = outlines.simplify(polygons, simplify)
+    sized = labelling.size_filter(unions.measured(outlines.valid_polygons(shapes)), min_size, max_size, keep_bounds=False)
+    if padding > 0 and (iou_min > 0 or contain_min > 0):
+        return unions.merge_duplicate_polygons(cut(sized.select("id", "exterior", "interiors")), iou_min, contain_min, step, grid, hook)
+    return unions.measured(sized, hook).select(
+        F.col("id").alias("comp"), F.col("id").cast("string").alias("ids"), F.lit(1).cast("bigint").alias("members"),
+        "exterior", "interiors", "area", "perimeter")
+
+
 def evaluate(pixels: DataFrame, keys: list[str], country: str = "country", iou_threshold: float = 0.5,
              stride: int = labelling.DEFAULT_STRIDE) -> DataFrame:
     """Predictions against labels: one metrics row for all and one per country."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.constants import CROPLAND_CLASS
-from furrow.functions import raster_math
+from furrow.functions import footprints, raster_math
 from furrow.operators.scenes import first_item
 
 TILE_SIDE = 256
@@ -14,7 +14,7 @@ TILE_SIDE = 256
 # A search result: a collection of items.
 CATALOGUE_SCHEMA = (
     "type string, features array<struct<id:string, "
-    "geometry:struct<type:string,coordinates:array<array<array<double>>>>, bbox:array<double>, "
+    "geometry:struct<type:string,coordinates:string>, bbox:array<double>, "
     "properties:struct<datetime:string,start_datetime:string,end_datetime:string,"
     "`eo:cloud_cover`:double,`grid:code`:string,`s2:mgrs_tile`:string,"
     "`processing:version`:string,`s2:processing_baseline`:string>>>"
@@ -27,12 +27,9 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_items(items: DataFrame) -> DataFrame:
-    """Nested items -> scene rows."""
+    """Nested items -> scene rows. ``parts`` holds footprints of one or several parts; ``footprint`` is the first outer ring."""
     p = F.col("properties")
-    ring = F.transform(
-        F.get("geometry.coordinates", F.lit(0)),
-        lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")),
-    )
+    items = items.withColumn("parts", footprints.from_geojson(F.col("geometry.type"), F.col("geometry.coordinates").cast("string")))
     return items.select(
         F.col("id").alias("scene_id"),
         F.coalesce(p["datetime"], p["start_datetime"], p["end_datetime"]).try_cast("timestamp").alias("dt"),
@@ -41,7 +38,7 @@ def normalise_items(items: DataFrame) -> DataFrame:
         p["eo:cloud_cover"].alias("cloud"),
         raster_math.processing_version(p["processing:version"], p["s2:processing_baseline"]).alias("version"),
         *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(["x0", "y0", "x1", "y1"])],
-        ring.alias("footprint"),
+        F.get("parts", F.lit(0))["exterior"].alias("footprint"), "parts",
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.constants import ALL_COUNTRIES, FULL_DATA_COUNTRIES
-from furrow.functions import rings, text
+from furrow.functions import footprints, rings, text
 from furrow.operators import scenes as S
 from furrow.sources import samples as C
 
@@ -17,7 +17,7 @@ def one(spark, expr):
 
 def pct(spark, foot, box):
     ring = rings.box_ring(*map(F.lit, foot)) if foot else F.lit(None).cast("array<struct<x:double,y:double>>")
-    return one(spark, S.nodata_percent(S.projected(ring), *[F.lit(float(v)) for v in box]))
+    return one(spark, S.nodata_percent(S.projected(footprints.single(ring)), *[F.lit(float(v)) for v in box]))
 
 
 def test_nodata_percent(spark):
