@@ -439,6 +439,55 @@ def field_table(spark, sf_dir):
         F.length("geometry").alias("bytes"), F.col("determination:datetime").alias("determined"))
 
 
+FILE_SQL = with_(*LAB, STATS_SQL, QUADS_SQL.format(keys="raster_id, comp", y="y", x="x", cells="lab"), body=f"""
+SELECT raster_id || '-' || comp AS id, (1 - {EULER})::BIGINT AS holes, (q1 + q3 + 2 * qd)::BIGINT AS corners, area, perimeter
+FROM stats JOIN corners USING (raster_id, comp) WHERE area >= 500""", recursive=True)
+
+
+def _outlined(spark, sf_dir):
+    """Fields of at least 500 square metres as polygons with an id."""
+    shapes = outlines.field_polygons(fields(spark, sf_dir), [*KEY, "ty", "tx"], affine=(10.0, 0.0, 0.0, 0.0, -10.0, 0.0)).withColumns({
+        "area": rings.polygon_area(F.col("exterior"), F.col("interiors")), "perimeter": rings.polygon_length(F.col("exterior"), F.col("interiors"))})
+    return labelling.size_filter(shapes, 500).withColumn("id", F.concat_ws("-", "raster_id", "comp"))
+
+
+@query("K1_T10_geoparquet_rings", FILE_SQL)
+def geoparquet_rings(spark, sf_dir):
+    """Holes, corners and measures taken from the coordinates that come back from the written parts."""
+    path = scratch_path(spark, "geoparquet")
+    writers.write_fields(writers.field_table(_outlined(spark, sf_dir)), path, srid=32633)
+    back = spark.read.parquet(path).select("id", writers.wkb_polygon("geometry").alias("g")).select("id", "g.*")
+    return summary(back, ["id"]).drop("parts")
+
+
+@query("K2_geojson_document", FILE_SQL)
+def geojson_document(spark, sf_dir):
+    """The same through one GeoJSON document."""
+    path = scratch_path(spark, "geojson")
+    writers.write_geojson(writers.field_features(_outlined(spark, sf_dir)), path)
+    schema = "features array<struct<geometry: struct<coordinates: array<array<array<double>>>>, properties: struct<id: string>>>"
+    found = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    ring = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: rings.point(p[0], p[1])))
+    parts = found.select(F.col("f.properties.id").alias("id"), ring.alias("r")).select(
+        "id", F.col("r")[0].alias("exterior"), F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))).alias("interiors"))
+    return summary(parts, ["id"]).drop("parts")
+
+
+@query("A15_K1_field_file", with_(
+    *LAB, STATS_SQL, CONTACT_SQL, merged_sql(0.0), "mc AS (SELECT l.raster_id, p.label, l.y, l.x FROM lab l JOIN lbl p USING (raster_id, comp))",
+    QUADS_SQL.format(keys="raster_id, label", y="y", x="x", cells="mc"), body=f"""
+SELECT raster_id, ids AS id, (1 - {EULER})::BIGINT AS holes, (q1 + q3 + 2 * qd)::BIGINT AS corners, area, perimeter
+FROM merged JOIN corners USING (raster_id, label)""", recursive=True))
+def field_file(spark, sf_dir):
+    """From class raster to merged polygons in files, and back."""
+    made = flows.field_polygons(B.cells(spark, sf_dir), KEY, STRIDE, merge_ratio=0.0)
+    path = scratch_path(spark, "field-file")
+    flows.write_field_polygons(made.withColumn("id", F.concat_ws("/", "raster_id", "id")), path, srid=32633)
+    back = spark.read.parquet(path).select(F.split("id", "/").alias("n"), writers.wkb_polygon("geometry").alias("g"))
+    back = back.select(F.col("n")[0].cast("bigint").alias("raster_id"), F.col("n")[1].alias("id"), "g.*")
+    return summary(back, ["raster_id", "id"]).drop("parts")
+
+
 @query("K2_ndjson_sink", with_(B.BOXES_SQL, body="""
 SELECT printf('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]},"properties":{"id":"%s"}}',
   x0::VARCHAR, y0::VARCHAR, x1::VARCHAR, y0::VARCHAR, x1::VARCHAR, y1::VARCHAR, x0::VARCHAR, y1::VARCHAR, x0::VARCHAR, y0::VARCHAR, id::VARCHAR) AS value FROM boxes"""))

@@ -9,7 +9,7 @@ from furrow.checks.registry import query, with_
 from furrow.functions import raster_math as M
 from furrow.operators import evaluation, patches, sampling, scoring, stencil
 from furrow.plans import flows
-from furrow.session import scratch_path
+from furrow.session import cut, scratch_path
 from furrow.sinks import writers
 from furrow.sources import rasters
 
@@ -208,6 +208,40 @@ def cropland(spark, sf_dir):
     return out.select("raster_id", "y", "x", "cls", "cropland_mask")
 
 
+# Grids that lie otherwise: shifted by part of a cell, turned by a right angle, turned by a slant. Land cover has cells of 20 m.
+GRIDS = {"shifted": (20.0, 0.0, 103.3, 0.0, -20.0, 897.1), "turned": (0.0, 20.0, 102.9, -20.0, 0.0, 893.7), "slanted": (16.0, 12.0, -81.7, 12.0, -16.0, 611.3)}
+
+
+def _aligned_sql() -> str:
+    parts = []
+    for name, (a, b, c, d, e, f) in GRIDS.items():
+        det = f"({a} * {e} - {b} * {d})::DOUBLE"
+        px, py = "(10.0::DOUBLE * (x + 0.5::DOUBLE) + 100.0::DOUBLE)", "(-10.0::DOUBLE * (y + 0.5::DOUBLE) + 900.0::DOUBLE)"
+        parts.append(f"""SELECT raster_id, '{name}' AS grid, y, x, cls, floor(({e}::DOUBLE * ({px} - {c}::DOUBLE) - {b}::DOUBLE * ({py} - {f}::DOUBLE)) / {det})::BIGINT AS lx,
+  floor(({a}::DOUBLE * ({py} - {f}::DOUBLE) - {d}::DOUBLE * ({px} - {c}::DOUBLE)) / {det})::BIGINT AS ly FROM cells""")
+    return with_(B.cells_sql(), LC_SQL, "placed AS (" + " UNION ALL ".join(parts) + ")", body="""
+SELECT p.raster_id, grid, p.y, p.x, coalesce(lc, -1)::BIGINT AS lc, CASE WHEN lc = 5 THEN cls ELSE 0 END::BIGINT AS cls
+FROM placed p LEFT JOIN lc ON lc.raster_id = p.raster_id AND lc.y = ly AND lc.x = lx""")
+
+
+@query("J5_landcover_by_affine", _aligned_sql())
+def landcover_by_affine(spark, sf_dir):
+    """Nearest land cover over offset, turned and slanted grids, tile against tile."""
+    c = B.cells(spark, sf_dir)
+    tiles = cut(rasters.pack_tiles(c.withColumn("cls", F.col("cls").cast("int")), ["raster_id"], "cls", 32))
+    source = cut(rasters.pack_tiles(landcover(c), ["raster_id"], "lc", 8))
+    target = [F.lit(v) for v in (10.0, 0.0, 100.0, 0.0, -10.0, 900.0)]
+    out = []
+    for name, affine in GRIDS.items():
+        grid = [F.lit(v) for v in affine]
+        lc = rasters.align_tiles(tiles, source, ["raster_id"], target, grid, side=8, name="lc")
+        kept = flows.filter_tiles_by_landcover(tiles, source, ["raster_id"], 5, target, grid, side=8)
+        flat = [rasters.unpack_tiles(t.select("raster_id", "tile_y", "tile_x", "y0", "x0", "h", "w", v.alias("values")), 32, n)
+                for t, v, n in ((lc, F.transform(F.coalesce("lc", F.transform("values", lambda v: F.lit(-1))), lambda v: F.coalesce(v, F.lit(-1))), "lc"), (kept, F.col("values"), "cls"))]
+        out.append(flat[0].join(flat[1], ["raster_id", "y", "x"]).select("raster_id", F.lit(name).alias("grid"), "y", "x", "lc", "cls"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("P14_two_classes", with_(B.cells_sql(), body="""
 SELECT raster_id, sum(CASE WHEN pred = 1 THEN 1 ELSE 0 END * (y + x))::BIGINT AS s FROM cells GROUP BY 1"""))
 def two_classes(spark, sf_dir):

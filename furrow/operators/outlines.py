@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,10 +174,13 @@ def simplify(polygons: DataFrame, tolerance: float, column: str = "exterior", ho
     def points(ring: np.ndarray) -> list[dict]:
         return [{"x": x, "y": y} for x, y in ring.tolist()]
 
-    @F.pandas_udf(T.StructType([T.StructField("outer", _RING), T.StructField("inner", T.ArrayType(_RING))]))
-    def reduced(outer: pd.Series, inner: pd.Series) -> pd.DataFrame:
-        made = [_thinned([array(o), *map(array, [] if i is None else i)], tolerance) for o, i in zip(outer, inner, strict=True)]
-        return pd.DataFrame({"outer": [points(m[0]) for m in made], "inner": [[points(r) for r in m[1:]] for m in made]})
+    ring = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    @F.arrow_udf(T.StructType([T.StructField("outer", _RING), T.StructField("inner", T.ArrayType(_RING))]))
+    def reduced(outer: pa.Array, inner: pa.Array) -> pa.Array:
+        made = [_thinned([array(o), *map(array, i or [])], tolerance) for o, i in zip(outer.to_pylist(), inner.to_pylist(), strict=True)]
+        return pa.array([{"outer": points(m[0]), "inner": [points(r) for r in m[1:]]} for m in made],
+                        pa.struct([("outer", ring), ("inner", pa.list_(ring))]))
 
     inner = F.col(holes) if holes in polygons.columns else F.array().cast(T.ArrayType(_RING))
     done = polygons.withColumn("_rings", reduced(F.col(column), inner)).withColumn(column, F.col("_rings.outer"))

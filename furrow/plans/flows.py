@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import rings
 from furrow.operators import evaluation, labelling, merging, outlines, scoring, stencil, unions
 from furrow.session import cut
+from furrow.sinks import writers
 from furrow.sources import rasters
 
 
@@ -80,6 +83,58 @@ def postprocess_instances(
     )
 
 
+def score_classes(cells: DataFrame, scores: str, threshold: float) -> DataFrame:
+    """Quantised scores (background, field, boundary) -> ``cls``: 1 field, 2 boundary, 0 neither."""
+    field, boundary = scoring.masks_from_scores(F.col(scores), threshold)
+    return cells.withColumn("cls", F.when(field == 1, 1).when(boundary == 1, 2).otherwise(0))
+
+
+def field_polygons(
+    cells: DataFrame, keys: list[str], stride: int = labelling.DEFAULT_STRIDE,
+    affine: tuple[float, ...] = (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), min_size: float | None = 500, max_size: float | None = None,
+    merge_ratio: float | None = None, tolerance: float = 0, close_interiors: bool = False, hook: rings.XY | None = None,
+    scores: str | None = None, score_threshold: float = 0.5, **mask_options,
+) -> DataFrame:
+    """Class or score raster -> field polygons: ``keys, id, exterior, interiors, area, perimeter``.
+
+    Mask (scores, thinning, morphology), labelling by tile, closing and thinning out of rings, measures, sizes and
+    ids, then merging over tile edges. ``hook`` maps coordinates for the measures (an equal-area plane where
+    the raster is in degrees). Merged fields are outlined anew from their cells, so simplification comes after it.
+    """
+    if scores is not None:
+        cells = score_classes(cells, scores, score_threshold)
+    runs = labelling.label_fields(field_mask(cells, keys, **mask_options), keys, stride)
+    if merge_ratio is not None:
+        runs = cut(runs)
+
+    def finished(shapes: DataFrame) -> DataFrame:
+        if close_interiors:
+            shapes = shapes.withColumn("interiors", rings.drop_interiors(F.col("interiors")))
+        return unions.measured(outlines.simplify(shapes, tolerance), hook)
+
+    shapes = finished(outlines.field_polygons(runs, [*keys, "ty", "tx"], affine=affine))
+    kept = labelling.running_id(labelling.size_filter(shapes, min_size, max_size), keys)
+    if merge_ratio is None:
+        return kept.select(*keys, F.col("id").cast("string").alias("id"), "exterior", "interiors", "area", "perimeter")
+    a, b, _, d, e, _ = affine
+    stats = labelling.cell_metrics(labelling.field_stats(runs, keys), math.hypot(a, d), math.hypot(b, e))
+    named = cut(stats.join(kept.select(*keys, "ty", "tx", "comp", "id"), [*keys, "ty", "tx", "comp"]))
+    merged = finished(merging.merged_field_polygons(runs, named, keys, stride, merge_ratio, affine))
+    return merged.select(*keys, F.col("ids").alias("id"), "exterior", "interiors", "area", "perimeter")
+
+
+def write_field_polygons(polygons: DataFrame, path: str, kind: str = "geoparquet", srid: int = 4326, overwrite: bool = False,
+                         time_tag: Column | None = None, to_degrees: rings.XY | None = None) -> None:
+    """Field polygons -> GeoParquet parts, one GeoJSON document or JSON lines; the latter two in degrees if a map to them is given."""
+    if kind == "geoparquet":
+        writers.write_fields(writers.field_table(polygons, time_tag), path, srid, overwrite)
+        return
+    if kind not in ("geojson", "ndjson"):
+        raise ValueError(f"unknown kind of file {kind!r}")
+    features = writers.field_features(writers.reproject(polygons, to_degrees) if to_degrees else polygons)
+    (writers.write_geojson if kind == "geojson" else writers.write_ndjson)(features, path, overwrite)
+
+
 def postprocess_polygons(
     polygons: DataFrame, simplify: float = 0, padding: int = 1, min_size: float | None = 500, max_size: float | None = 100000,
     close_interiors: bool = True, iou_min: float = 0.2, contain_min: float = 0.8, step: float = 2.5, grid: float = 10.0,
@@ -108,6 +163,15 @@ def evaluate(pixels: DataFrame, keys: list[str], country: str = "country", iou_t
     return evaluation.country_metrics(stats, country)
 
 
+def filter_tiles_by_landcover(tiles: DataFrame, landcover: DataFrame, keys: list[str], cropland: int, affine: list[Column],
+                              source_affine: list[Column], to_source: rings.XY | None = None, side: int = rasters.TILE_SIDE) -> DataFrame:
+    """Zero predictions off cropland on stored tiles; the land cover lies on a grid and in a projection of its own."""
+    aligned = rasters.align_tiles(tiles, landcover, keys, affine, source_affine, to_source, side, name="_lc")
+    crop = F.coalesce("_lc", F.transform("values", lambda v: F.lit(None).cast("int")))
+    masked = aligned.withColumn("cropland_mask", F.transform(crop, lambda v: F.coalesce((v == cropland).cast("int"), F.lit(0))))
+    return masked.withColumn("values", F.zip_with("values", "cropland_mask", lambda v, m: F.when(v.isNotNull(), v * m))).drop("_lc")
+
+
 def filter_by_landcover(cells: DataFrame, landcover: DataFrame, keys: list[str], cropland: Column,
                         scale_y: Column, scale_x: Column) -> DataFrame:
     """Zero predictions off cropland."""

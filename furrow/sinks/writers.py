@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.functions import rings
 from furrow.functions.text import normalise_time_tag
+from furrow.sinks import geo
 
 METHOD = "auto-imagery"
 
@@ -19,17 +21,17 @@ def save_mode(overwrite: bool, strict: bool = False) -> str:
     return "overwrite" if overwrite else ("errorifexists" if strict else "ignore")
 
 
-@F.pandas_udf(T.BinaryType())
-def polygon_wkb(exterior: pd.Series, interiors: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def polygon_wkb(exterior: pa.Array, interiors: pa.Array) -> pa.Array:
     """Rings -> well-known binary, little endian."""
     def one(outer, holes) -> bytes:
-        rings = [outer, *holes]
+        rings = [outer, *(holes or [])]
         body = b"".join(
             struct.pack(f"<I{2 * len(r)}d", len(r), *[v for p in r for v in (p["x"], p["y"])]) for r in rings
         )
         return struct.pack("<BII", 1, 3, len(rings)) + body
 
-    return pd.Series([one(e, i) for e, i in zip(exterior, interiors)])
+    return pa.array([one(e, i) for e, i in zip(exterior.to_pylist(), interiors.to_pylist(), strict=True)], pa.binary())
 
 
 def field_table(polygons: DataFrame, time_tag: Column | None = None) -> DataFrame:
@@ -45,17 +47,34 @@ def field_table(polygons: DataFrame, time_tag: Column | None = None) -> DataFram
     return out
 
 
-def geometry_metadata(srid: int) -> str:
-    """Geometry column description kept as table metadata."""
-    return (
-        '{"version":"1.1.0","primary_column":"geometry","columns":{"geometry":'
-        '{"encoding":"WKB","geometry_types":["Polygon"],"crs":{"id":{"authority":"EPSG","code":%d}}}}}' % srid
-    )
+_RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+
+
+@F.arrow_udf(T.StructType([T.StructField("exterior", _RING), T.StructField("interiors", T.ArrayType(_RING))]))
+def wkb_polygon(geometry: pa.Array) -> pa.Array:
+    """Well-known binary of a polygon -> rings."""
+    made = []
+    for wkb in geometry.to_pylist():
+        count, at, found = struct.unpack_from("<I", wkb, 5)[0], 9, []
+        for _ in range(count):
+            n = struct.unpack_from("<I", wkb, at)[0]
+            values = struct.unpack_from(f"<{2 * n}d", wkb, at + 4)
+            found.append([{"x": x, "y": y} for x, y in zip(values[::2], values[1::2], strict=True)])
+            at += 4 + 16 * n
+        made.append({"exterior": found[0], "interiors": found[1:]})
+    ring = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    return pa.array(made, pa.struct([("exterior", ring), ("interiors", pa.list_(ring))]))
+
+
+def reproject(polygons: DataFrame, fn: rings.XY) -> DataFrame:
+    """Rings in other coordinates (for example degrees, as GeoJSON wants them)."""
+    return polygons.withColumns({
+        "exterior": rings.map_ring(F.col("exterior"), fn), "interiors": F.transform("interiors", lambda r: rings.map_ring(r, fn))})
 
 
 def write_fields(table: DataFrame, path: str, srid: int = 4326, overwrite: bool = False) -> None:
-    meta = {"geo": geometry_metadata(srid)}
-    table.withMetadata("geometry", meta).write.mode(save_mode(overwrite)).parquet(path)
+    """Field table as GeoParquet parts, each with its ``geo`` footer."""
+    geo.save(table, geo.GeoParquet, path, overwrite, srid=str(srid))
 
 
 def geojson_feature(exterior: Column, interiors: Column, properties: Column) -> Column:
@@ -75,6 +94,18 @@ def write_ndjson(features: DataFrame, path: str, overwrite: bool = False) -> Non
     features.select("value").write.mode(save_mode(overwrite)).text(path)
 
 
+def field_features(polygons: DataFrame) -> DataFrame:
+    """Polygons -> ``value``: features with id, area and perimeter as JSON text."""
+    properties = F.struct(
+        F.col("id").cast("string").alias("id"), F.col("area").alias("metrics:area"), F.col("perimeter").alias("metrics:perimeter"))
+    return polygons.select(geojson_feature(F.col("exterior"), F.col("interiors"), properties).alias("value"))
+
+
+def write_geojson(features: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One FeatureCollection document in ``path``."""
+    geo.save(features.select("value"), geo.GeoJson, path, overwrite)
+
+
 def write_tiles(tiles: DataFrame, path: str, overwrite: bool = False, partition: str = "band") -> None:
     """Raster tiles, partitioned so a band scan prunes files (``raster_id`` would make one folder
     per raster)."""

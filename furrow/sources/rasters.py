@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.constants import CROPLAND_CLASS
-from furrow.functions import footprints, raster_math
+from furrow.functions import footprints, raster_math, rings
+from furrow.functions.rings import XY
 from furrow.operators.scenes import first_item
 
 TILE_SIDE = 256
@@ -123,6 +124,58 @@ def align_landcover(cells: DataFrame, landcover: DataFrame, keys: list[str], sca
     return placed.join(lc, [*keys, "_ly", "_lx"], "left").drop("_ly", "_lx")
 
 
+def to_grid(affine: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """Map coordinates -> fractional column and row of the grid with this affine ``(a, b, c, d, e, f)``."""
+    a, b, c, d, e, f = affine
+    det = a * e - b * d
+    return (e * (x - c) - b * (y - f)) / det, (a * (y - f) - d * (x - c)) / det
+
+
+def align_tiles(tiles: DataFrame, source: DataFrame, keys: list[str], affine: list[Column], source_affine: list[Column],
+                to_source: XY | None = None, side: int = TILE_SIDE, edge: int = 8, name: str = "aligned") -> DataFrame:
+    """Nearest value of another raster for each cell of stored tiles, by affine and projection.
+
+    ``tiles`` and ``source`` are as ``pack_tiles`` leaves them (``source`` with tiles of ``side``); the affines are
+    columns of ``tiles``; ``to_source`` maps coordinates of the target system to the source's. The bounds of a target tile
+    (``edge`` points a side, and a cell more all around) select the source tiles it can need, and cells are looked up inside
+    each pair, so what is exchanged are tiles. Cells off the source are null. Adds the array ``name``.
+    """
+    a, b, c, d, e, f = affine
+
+    def placed(x: Column, y: Column) -> Column:
+        px, py = a * x + b * y + c, d * x + e * y + f
+        sx, sy = to_grid(source_affine, *(to_source(px, py) if to_source else (px, py)))
+        return F.struct(sx.alias("x"), sy.alias("y"))
+
+    steps = F.sequence(F.lit(0), F.lit(edge))
+    x0, y0 = F.col("x0").cast("double"), F.col("y0").cast("double")
+    outline = F.flatten(F.transform(steps, lambda i: F.array(
+        placed(x0 + F.col("w") * i / edge, y0), placed(x0 + F.col("w") * i / edge, y0 + F.col("h")),
+        placed(x0, y0 + F.col("h") * i / edge), placed(x0 + F.col("w"), y0 + F.col("h") * i / edge))))
+    own = tiles.withColumn("_b", outline)
+
+    def span(axis: str) -> Column:
+        seen = F.transform("_b", lambda p: p[axis])
+        return F.sequence(F.floor((F.array_min(seen) - 1) / side), F.floor((F.array_max(seen) + 1) / side))
+
+    asked = own.withColumn("_sy", F.explode(span("y"))).withColumn("_sx", F.explode(span("x"))).drop("_b")
+    held = source.select(*keys, F.col("tile_y").alias("_sy"), F.col("tile_x").alias("_sx"), F.struct("y0", "x0", "h", "w", "values").alias("_s"))
+    s = F.col("_s")
+
+    def looked_up(i: Column) -> Column:
+        at = placed(x0 + i % F.col("w") + 0.5, y0 + F.floor(i / F.col("w")) + 0.5)
+        return rings.let(at, lambda p: rings.let(
+            F.struct((F.floor(p["y"]) - s["y0"]).alias("r"), (F.floor(p["x"]) - s["x0"]).alias("q")),
+            lambda k: F.when((k["r"] >= 0) & (k["r"] < s["h"]) & (k["q"] >= 0) & (k["q"] < s["w"]), F.get(s["values"], (k["r"] * s["w"] + k["q"]).cast("int")))))
+
+    cells = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), looked_up)
+    found = asked.join(held, [*keys, "_sy", "_sx"]).select(*keys, "tile_y", "tile_x", cells.alias("_found"))
+    # a target tile meets the few source tiles under it
+    merged = found.groupBy(*keys, "tile_y", "tile_x").agg(F.collect_list("_found").alias("_all"))
+    joined = F.aggregate(F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), lambda acc, v: F.zip_with(acc, v, lambda x, y: F.coalesce(x, y)))
+    return tiles.join(merged.select(*keys, "tile_y", "tile_x", joined.alias(name)), [*keys, "tile_y", "tile_x"], "left")
+
+
 def mask_cropland(aligned: DataFrame, cropland: Column, value: str = "cls") -> DataFrame:
     """Zero what is not cropland; ``cropland_mask`` keeps the predicate for its own sink."""
     is_crop = F.coalesce(F.col("lc") == cropland, F.lit(False))
