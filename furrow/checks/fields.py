@@ -11,6 +11,7 @@ from furrow.operators import graph, labelling, merging, outlines, scoring, spati
 from furrow.plans import flows
 from furrow.session import cut, scratch_path
 from furrow.sinks import writers
+from furrow.sources import features
 
 KEY = ["raster_id"]
 STRIDE = 32
@@ -313,7 +314,7 @@ def union_frames(spark, sf_dir):
     b = B.boxes(spark, sf_dir)
     some = b.filter(F.col("patch_id") < 8).select("id", "patch_id", "conf")
     rest = b.filter(F.col("patch_id") >= 8).select("id", "patch_id")
-    return some.unionByName(rest, allowMissingColumns=True).na.fill({"conf": -1.0})
+    return scoring.union_frames([some, rest], {"conf": -1.0})
 
 
 def _segments(spark, sf_dir):
@@ -346,10 +347,8 @@ def feature_flatten(spark, sf_dir):
     b = B.boxes(spark, sf_dir)
     props = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, 100.0).alias("metrics:area"))
     doc = F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties")))
-    v = b.select(F.parse_json(doc).alias("f"))
-    return v.select(
-        F.variant_get("f", "$.properties.id", "string").alias("id"),
-        *[F.coalesce(F.try_variant_get("f", f'$.properties["metrics:{m}"]', "double"), F.lit(-1.0)).alias(m) for m in ("area", "perimeter")])
+    flat = features.feature_columns(b.select(doc.alias("value")), {"id": "string", "metrics:area": "double", "metrics:perimeter": "double"})
+    return flat.select("id", *[F.coalesce(f"metrics:{m}", F.lit(-1.0)).alias(m) for m in ("area", "perimeter")])
 
 
 @query("G3_ring_assembly", with_(*LAB, STATS_SQL, body="SELECT raster_id, comp, area, perimeter FROM stats", recursive=True))

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from furrow.checks import bindings as B
 from furrow.checks.registry import query, with_
 from furrow.functions import raster_math as M
 from furrow.functions import rings
-from furrow.operators import sampling, scoring, stencil
+from furrow.operators import components, sampling, scoring, stencil
 
 
 def _toy_model():
@@ -90,9 +88,17 @@ def augmentation(spark, sf_dir):
 @query("U9_principal_components")
 def principal_components(spark, sf_dir):
     """Two principal components of the embeddings, centred first."""
-    v = B.vectors(spark, sf_dir).select("vec_id", array_to_vector("v").alias("raw"))
-    centred = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=False).fit(v).transform(v)
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(centred)
-    share = float(sum(model.explainedVariance.values))
-    pc = vector_to_array("pc")
-    return model.transform(centred).select("vec_id", F.get(pc, F.lit(0)).alias("pc0"), F.get(pc, F.lit(1)).alias("pc1"), F.lit(share).alias("explained"))
+    made, shares = components.principal_components(B.vectors(spark, sf_dir), "v", 2)
+    return made.select("vec_id", F.get("pc", F.lit(0)).alias("pc0"), F.get("pc", F.lit(1)).alias("pc1"), F.lit(float(shares.sum())).alias("explained"))
+
+
+@query("U9_component_variances", with_(B.VECTORS_SQL, """
+flat AS (SELECT vec_id, i, v[i + 1] - avg(v[i + 1]) OVER (PARTITION BY i) AS x FROM vectors, range(64) t(i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM flat a JOIN flat b USING (vec_id) GROUP BY 1, 2)""", body="""
+SELECT round(sum(c) FILTER (i = j), 6) AS trace, round(sum(c * c), 6) AS squares, (SELECT count(*) FROM vectors)::BIGINT AS n FROM cov"""))
+def component_variances(spark, sf_dir):
+    """The variances of all components: their sum is the trace of the covariance, their squares sum to its squared entries."""
+    mean, matrix, n = components.covariance(B.vectors(spark, sf_dir), "v")
+    values, _ = components.directions(matrix, len(mean))
+    own = B.vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return own.select(F.lit(float(values.sum())).alias("trace"), F.lit(float((values ** 2).sum())).alias("squares"), "n").filter(F.col("n") == n)

@@ -95,7 +95,7 @@ def argmax(spark, sf_dir):
 
 
 @query("M9_two_date_median", with_(V, body="""
-SELECT a.vec_id, a.i, trunc((a.q + b.q) / 2.0::DOUBLE)::BIGINT AS v FROM qcells a JOIN qcells b ON b.vec_id = a.vec_id AND b.i = a.i + 32"""))
+SELECT vec_id, i, trunc((q[i + 1] + q[i + 33]) / 2.0::DOUBLE)::BIGINT AS v FROM vectors, range(32) t(i)"""))
 def median(spark, sf_dir):
     return exploded(B.vectors(spark, sf_dir), "vec_id", M.median_of_two(F.slice("q", 1, 32), F.slice("q", 33, 32)))
 
@@ -165,8 +165,7 @@ def brightness(spark, sf_dir):
 
 
 @query("M21_window_shuffle", with_(V, body=f"""
-SELECT a.vec_id, a.i, CASE WHEN {unit('a.vec_id')} < 0.5 THEN a.q ELSE b.q END AS v
-FROM qcells a JOIN qcells b ON b.vec_id = a.vec_id AND b.i = (a.i + 32) % 64"""))
+SELECT vec_id, i, (CASE WHEN {unit('vec_id')} < 0.5 THEN q[i + 1] ELSE q[(i + 32) % 64 + 1] END)::BIGINT AS v FROM vectors, range(64) t(i)"""))
 def shuffle(spark, sf_dir):
     return exploded(B.vectors(spark, sf_dir), "vec_id", M.shuffle_windows(F.col("q"), sampling.coin(F.col("vec_id"), seed=42), 32))
 
@@ -583,4 +582,4 @@ def consensus_sink(spark, sf_dir):
 
 @query("A13_mean_pooling", with_(V, body="SELECT vec_id, i // 8 AS channel, round(avg(v), 6) + 0.0::DOUBLE AS v FROM qcells GROUP BY 1, 2"))
 def mean_pooling(spark, sf_dir):
-    return B.vector_cells(spark, sf_dir).groupBy("vec_id", F.col("y").alias("channel")).agg(F.avg("v").alias("v"))
+    return B.vectors(spark, sf_dir).select("vec_id", F.posexplode(M.mean_pool(F.col("v"), 8)).alias("channel", "v"))

@@ -93,6 +93,14 @@ def manifest_parse(spark, sf_dir):
     return C.parse_manifest(B.table(spark, sf_dir, "pages").select(line.alias("value")))
 
 
+@query("S10_country_manifest", """
+SELECT lower(lang) AS country, md5(text) AS md5 FROM documents WHERE doc_id % 3 <> 0""")
+def country_manifest(spark, sf_dir):
+    """Country and checksum in one line; lines with a part too many are left out."""
+    line = F.concat_ws(",", F.concat(F.lit(" "), F.upper("lang")), F.md5("text"), F.when(F.col("doc_id") % 3 == 0, "more"))
+    return C.parse_country_manifest(B.table(spark, sf_dir, "documents").select(line.alias("value")))
+
+
 @query("S11_content_hash", "SELECT url AS path, md5(html) AS md5 FROM pages")
 def content_hash(spark, sf_dir):
     return B.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.md5("html").alias("md5"))
@@ -129,12 +137,8 @@ SELECT c.country, c.split, count(*) AS existing, count_if(m.aoi_id IS NOT NULL A
 LEFT JOIN (SELECT aoi_id FROM files WHERE kind = 'semantic_2class') m USING (aoi_id)
 LEFT JOIN skips s ON s.aoi_id = c.aoi_id AND s.country = c.country GROUP BY 1, 2"""))
 def counts(spark, sf_dir):
-    has = B.sample_files(spark, sf_dir).filter(F.col("kind") == "semantic_2class").select("country", "aoi_id", F.lit(True).alias("has"))
-    bad = B.skip_list(spark, sf_dir).withColumn("bad", F.lit(True))
-    both = B.chips(spark, sf_dir).join(has, ["country", "aoi_id"], "left").join(bad, ["country", "aoi_id"], "left")
-    return both.groupBy("country", "split").agg(
-        F.count(F.lit(1)).alias("existing"), F.count_if(F.col("has") & F.col("bad").isNull()).alias("selected"),
-        F.count_if("bad").alias("filtered"))
+    has = B.sample_files(spark, sf_dir).filter(F.col("kind") == "semantic_2class").select("country", "aoi_id")
+    return C.counts_report(B.chips(spark, sf_dir), has, B.skip_list(spark, sf_dir), ["country", "aoi_id"], ["country", "split"])
 
 
 @query("E4_K5_country_label", """
@@ -162,6 +166,7 @@ def edge_path(spark, sf_dir):
 @query("S12_done_set", "SELECT DISTINCT lang || '_' || source AS key FROM documents")
 def done_set(spark, sf_dir):
     """Finished results recognised by path: one result folder per key."""
-    d = B.table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("out"), F.concat(
-        F.lit("consensus_results_"), "lang", F.lit("_"), "source", F.lit(".csv"))).alias("path"))
-    return d.select(F.regexp_extract("path", r"consensus_results_(.+)\.csv", 1).alias("key")).distinct()
+    path = scratch_path(spark, "results")
+    keyed = B.table(spark, sf_dir, "documents").select(F.concat_ws("_", "lang", "source").alias("key"), "doc_id")
+    keyed.write.partitionBy("key").parquet(path)
+    return C.done_set(spark, path, r"/key=([^/]+)/")

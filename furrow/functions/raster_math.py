@@ -185,3 +185,12 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
     half = size // 2
     raw = [math.exp(-((i - half) ** 2) / (2 * sigma * sigma)) for i in range(size)]
     return [r / sum(raw) for r in raw]
+
+
+def mean_pool(values: Column, size: int) -> Column:
+    """Mean of each ``size`` consecutive values (of a channel's cells); a shorter rest is pooled too."""
+    def pooled(start: Column) -> Column:
+        part = F.slice(values, start + 1, F.lit(size))
+        return F.aggregate(part, F.lit(0.0), lambda acc, v: acc + v) / F.size(part)
+
+    return F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(size)), pooled)).otherwise(F.slice(values, 1, 0))

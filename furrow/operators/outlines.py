@@ -137,7 +137,8 @@ _RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructFi
 def _thinned(rings: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
     """All rings of a polygon with fewer vertices; a ring that would collapse stays as it is.
 
-    The tolerance is halved until no ring crosses itself or another one; at last all stay.
+    The tolerance is halved until no ring crosses itself or another one and every hole lies inside the outer ring
+    and outside the other holes; at last all stay.
     """
     while tolerance > 1e-9:
         out = []
@@ -147,12 +148,28 @@ def _thinned(rings: list[np.ndarray], tolerance: float) -> list[np.ndarray]:
         if all(len(a) == len(b) for a, b in zip(out, rings, strict=True)):
             break
         alone = all(_ring_is_simple(r[:, 0], r[:, 1]) for r in out)
-        if alone and not any(_rings_cross(out[i], out[j]) for i in range(len(out)) for j in range(i)):
+        apart = alone and not any(_rings_cross(out[i], out[j]) for i in range(len(out)) for j in range(i))
+        # rings that do not cross lie inside or outside each other as a whole
+        if apart and all(_has_inside(out[0], h) for h in out[1:]) and not any(
+                _has_inside(g, h) for i, g in enumerate(out[1:]) for j, h in enumerate(out[1:]) if i != j):
             return out
         tolerance /= 2
     return rings
 
 
+def _has_inside(ring: np.ndarray, other: np.ndarray) -> bool:
+    """True if most vertices of ``other`` lie inside a ring that it does not cross; those on the ring itself say nothing."""
+    a, b, p = ring[:-1, None], ring[1:, None], other[None, :-1]
+    spans = (np.minimum(a[..., 1], b[..., 1]) <= p[..., 1]) & (p[..., 1] < np.maximum(a[..., 1], b[..., 1]))
+    rise = np.where(b[..., 1] == a[..., 1], 1.0, b[..., 1] - a[..., 1])
+    left = a[..., 0] + (p[..., 1] - a[..., 1]) * (b[..., 0] - a[..., 0]) / rise <= p[..., 0]
+    odd = (spans & left).sum(0) % 2 == 1
+    cross = (b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0])
+    box = (np.minimum(a, b) <= p).all(-1) & (p <= np.maximum(a, b)).all(-1)
+    clear = ~((cross == 0) & box).any(0)
+    return bool(2 * odd[clear].sum() > clear.sum()) if clear.any() else True
+
+
 def _rings_cross(a: np.ndarray, b: np.ndarray) -> bool:
     """True if a side of one ring properly crosses a side of the other."""
     p, q, r, s = a[:-1, None], a[1:, None], b[None, :-1], b[None, 1:]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -109,3 +111,9 @@ def edge_agreement(label: Column, edge: Column) -> Column:
 
 def to_two_classes(label: Column) -> Column:
     return F.when(label == 1, 1).otherwise(0)
+
+
+def union_frames(frames: list[DataFrame], fill: dict | None = None) -> DataFrame:
+    """Frames of patches put together by name; a column that some lack is null there, or filled."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return whole.na.fill(fill) if fill else whole

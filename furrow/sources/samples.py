@@ -158,3 +158,11 @@ def done_set(spark: SparkSession, root: str, pattern: str = r"consensus_results_
     """Keys of finished results from their file names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select(F.regexp_extract("path", pattern, 1).alias("key")).filter(F.col("key") != "").distinct()
+
+
+def counts_report(samples: DataFrame, labelled: DataFrame, bad: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Per group: samples there are, those selected (labelled and not bad) and those filtered out as bad."""
+    marked = samples.join(labelled.select(*keys).distinct().withColumn("_has", F.lit(True)), keys, "left").join(
+        bad.select(*keys).distinct().withColumn("_bad", F.lit(True)), keys, "left")
+    return marked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("existing"), F.count_if(F.col("_has") & F.col("_bad").isNull()).alias("selected"), F.count_if("_bad").alias("filtered"))
