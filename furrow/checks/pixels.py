@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from furrow.checks import bindings as B
 from furrow.checks.registry import query, with_
 from furrow.functions import raster_math as M
-from furrow.operators import evaluation, patches, sampling, scoring, stencil
+from furrow.operators import evaluation, halo, patches, sampling, scoring, stencil
 from furrow.plans import flows
 from furrow.session import cut, scratch_path
 from furrow.sinks import writers
@@ -583,3 +583,24 @@ def consensus_sink(spark, sf_dir):
 @query("A13_mean_pooling", with_(V, body="SELECT vec_id, i // 8 AS channel, round(avg(v), 6) + 0.0::DOUBLE AS v FROM qcells GROUP BY 1, 2"))
 def mean_pooling(spark, sf_dir):
     return B.vectors(spark, sf_dir).select("vec_id", F.posexplode(M.mean_pool(F.col("v"), 8)).alias("channel", "v"))
+
+
+def _flag_tiles(spark, sf_dir, side):
+    return cut(rasters.pack_tiles(field_flags(spark, sf_dir), ["raster_id"], "v", side))
+
+
+@query("W9_U4_halo_closing", with_(B.cells_sql(), MASK_SQL, _morph_cte("m1", "m0", "max"), _morph_cte("m2", "m1", "max"),
+       _morph_cte("m3", "m2", "min"), _morph_cte("m4", "m3", "min"), body="SELECT raster_id, y, x, v::BIGINT AS v FROM m4"))
+def halo_closing(spark, sf_dir):
+    """Closing by two steps on stored tiles; only edge strips travel."""
+    out = halo.open_close_tiles(_flag_tiles(spark, sf_dir, 24), ["raster_id"], closing=2)
+    return rasters.unpack_tiles(out, 24, "v")
+
+
+@query("G1_W14_stored_tile_runs", with_(B.cells_sql(), MASK_SQL, body="""
+SELECT raster_id, y, min(x) AS x0, max(x) AS x1 FROM (
+  SELECT raster_id, y, x, x - row_number() OVER (PARTITION BY raster_id, y, x // 16 ORDER BY x) AS g FROM m0 WHERE v = 1)
+GROUP BY raster_id, y, x // 16, g"""))
+def stored_tile_runs(spark, sf_dir):
+    """Runs of the fields of stored tiles."""
+    return halo.tile_runs(_flag_tiles(spark, sf_dir, 16), ["raster_id"]).select("raster_id", "y", "x0", "x1")
