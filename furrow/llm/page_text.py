@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.llm.arrays import unused
+
 # Where a block stands: in an element for other things than text, outside the page's article, on a page
 # without one, in the article, in a part of one of the last two whose name may mean other things.
 PLACES = OTHER, OUTSIDE, PLAIN, ARTICLE, DOUBT = range(5)
@@ -55,7 +57,8 @@ SIGNS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "alert popup modal overlay newsletter subscribe subscription signup login sidebar side widget menu nav navbar navigation "
     "breadcrumb breadcrumbs toolbar pagination pager footer masthead topbar comment comments commentlist respond reply replies "
-    "disqus discussion social share sharing related recommended recommendations search tags toc complementary contentinfo".split()
+    "disqus discussion social share sharing related recommended recommendations search tags toc complementary contentinfo "
+    "adslot adbox adunit cookiebar cookiebanner sharebar sharebox relatedposts relatedarticles usercomments commentbox sidebox".split()
 )
 # Of these, words that an article's own parts have too.
 MAYBE = frozenset(
@@ -92,8 +95,8 @@ LABELLED = [
     (4, 0.0, 2, 1.0, 30, 0.0, 1, ARTICLE, 1), (3, 0.0, 3, 1.0, 12, 0.0, 1, ARTICLE, 1), (5, 0.0, 2, 1.0, 6, 0.0, 0, ARTICLE, 1),
     (2, 0.0, 4, 1.0, 9, 0.0, 1, ARTICLE, 1), (40, 0.0, 2, 1.0, 1, 1.0, 0, ARTICLE, 1), (6, 0.0, 1, 1.0, 1, 1.0, 1, ARTICLE, 1),
     (15, 0.0, 3, 1.0, 4, 1.0, 0, ARTICLE, 1), (3, 0.0, 2, 1.0, 2, 1.0, 0, ARTICLE, 1), (80, 0.2, 1, 1.0, 2, 1.0, 0, ARTICLE, 1),
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, ARTICLE, 0), (4, 1.0, 5, 1.0, 4, 1.0, 0, ARTICLE, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, ARTICLE, 0),
-    (6, 1.0, 6, 1.0, 7, 1.0, 0, ARTICLE, 0), (3, 1.0, 2, 1.0, 5, 1.0, 0, ARTICLE, 0),
+    (2, 1.0, 3, 1.0, 2, 1.0, 0, ARTICLE, 1), (4, 1.0, 5, 1.0, 4, 1.0, 0, ARTICLE, 1), (1, 1.0, 1, 1.0, 1, 1.0, 0, ARTICLE, 1),
+    (6, 1.0, 6, 1.0, 7, 1.0, 0, ARTICLE, 1), (3, 1.0, 2, 1.0, 5, 1.0, 0, ARTICLE, 1),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, PLAIN, 0), (2, 1.0, 2, 1.0, 1, 1.0, 0, PLAIN, 0), (1, 1.0, 1, 1.0, 7, 0.0, 0, PLAIN, 0),
     (4, 1.0, 80, 0.0, 5, 1.0, 0, PLAIN, 0), (9, 0.8, 3, 1.0, 30, 0.0, 0, PLAIN, 0), (6, 0.0, 1, 1.0, 2, 1.0, 0, PLAIN, 0),
     (5, 0.0, 2, 1.0, 0, 0.0, 0, PLAIN, 0), (8, 0.2, 4, 1.0, 1, 1.0, 0, PLAIN, 0), (7, 0.0, 90, 0.0, 0, 0.0, 0, PLAIN, 1),
@@ -221,6 +224,7 @@ def blocks_of(page: str) -> list[Block]:
     texts: list[tuple[str, bool]] = []
     # open elements: name, number in ``elements``, heading
     around: list[tuple[str, int, bool]] = []
+    closed: set[str] = set()  # names of which no element is open
     elements = [Element("", 0, set())]
     links = 0
 
@@ -269,7 +273,9 @@ def blocks_of(page: str) -> list[Block]:
             elif name in INLINE:
                 continue
             else:
-                i = next((i for i in range(len(around) - 1, -1, -1) if around[i][0] == name), -1)
+                i = -1 if name in closed else next((i for i in range(len(around) - 1, -1, -1) if around[i][0] == name), -1)
+                if i < 0:
+                    closed.add(name)
                 unread = around[i][1] == SKIPPED if i >= 0 else skipping()
                 if not unread or i >= 0 and name not in WITHIN and not (i and around[i - 1][1] == SKIPPED):
                     close_block()
@@ -292,6 +298,7 @@ def blocks_of(page: str) -> list[Block]:
                 read_on(frozenset(["svg", "select"]))
         if skipping():
             if name not in VOID and name not in INLINE and not tag[3].endswith("/"):
+                closed.discard(name)
                 around.append((name, SKIPPED, False))
             continue
         if name == "br":
@@ -302,6 +309,7 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if name not in WITHIN:
                 close_block()
+            closed.discard(name)
             around.append((name, SKIPPED, False))
             continue
         signs = _tells(tag[3]) if tag[3] else set()
@@ -316,6 +324,7 @@ def blocks_of(page: str) -> list[Block]:
             while around and (around[-1][0] == "p" or around[-1][0] in HEADINGS):
                 around.pop()
         elements.append(Element(name, around[-1][1] if around else 0, signs))
+        closed.discard(name)
         around.append((name, len(elements) - 1, name in HEADINGS or (bool(around) and around[-1][2])))
     close_block()
     places = _places(elements, found)
@@ -382,13 +391,14 @@ def extract(pages: DataFrame, labelled: list[tuple] = LABELLED) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                texts = [main_text(page or "", tree) for page in part.column("_html").to_pylist()]
-                rest = part.drop_columns(["_html"])
+                texts = [main_text(page or "", tree) for page in part.column(hidden).to_pylist()]
+                rest = part.drop_columns([hidden])
                 yield pa.RecordBatch.from_arrays(
                     [*rest.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=[*rest.schema.names, "text", "n_chars"],
                 )
 
     kept = pages.drop("text", "n_chars")
+    hidden = unused(kept, "_html")
     schema = T.StructType([*kept.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return kept.withColumn("_html", F.col("html").cast("string")).mapInArrow(run, schema)
+    return kept.withColumn(hidden, F.col("html").cast("string")).mapInArrow(run, schema)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from furrow.llm import page_text
@@ -54,3 +56,20 @@ def test_other_things_stay_out():
 def test_short_paragraphs_of_a_plain_page():
     page = "<h1>A title of it</h1>" + "".join(f"<p>{x}</p>" for x in [f"{WORDS} {WORDS} {WORDS}", "That was all.", WORDS * 5, "It ends here with only seven words."])
     assert page_text.main_text(page, TREE).split("\n")[2:] == ["That was all.", WORDS * 5, "It ends here with only seven words."]
+
+
+def test_linked_parts_of_an_article_stay():
+    page = "<article><h2>References</h2><ol><li><a>The first book of all</a></li><li><a>Second</a></li></ol><p><a>Read the full report</a></p></article>"
+    assert page_text.main_text(page, TREE) == "References\nThe first book of all\nSecond\nRead the full report"
+
+
+def test_names_in_one_word_mark_their_element():
+    body = "<p>" + "words of the article itself " * 8 + "</p>"
+    for name in ("adslot", "cookiebar", "sharebar", "relatedposts", "usercomments"):
+        assert "junk" not in page_text.main_text(f"<article>{body}<div class='{name}'><p>junk of some kind</p></div></article>", TREE)
+
+
+def test_many_end_tags_of_elements_that_are_not_open():
+    start = time.time()
+    assert page_text.main_text("<div>" * 20000 + "</nope>" * 20000 + "text", TREE) == "text"
+    assert time.time() - start < 20
