@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.llm.arrays import unused
+
 RANKS = "byte_bpe_50k.tiktoken"
 REMEMBERED, SHORT = 200_000, 64
 # Texts of more characters are split and hashed this many matches at a time.
@@ -224,6 +226,7 @@ def _run(docs: DataFrame, path: str, pattern: str, added: T.StructType, rows_of)
     """Add columns computed by ``rows_of(codec, texts)`` to each document, in one pass."""
     names = added.fieldNames()
     kept = docs.drop(*names)
+    hidden = unused(kept, "_text")
     kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.binary() if isinstance(f.dataType, T.BinaryType)
              else pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else pa.string() for f in added]
 
@@ -232,14 +235,14 @@ def _run(docs: DataFrame, path: str, pattern: str, added: T.StructType, rows_of)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                made = rows_of(codec, [text or "" for text in part.column("_text").to_pylist()])
-                rest = part.drop_columns(["_text"])
+                made = rows_of(codec, [text or "" for text in part.column(hidden).to_pylist()])
+                rest = part.drop_columns([hidden])
                 yield pa.RecordBatch.from_arrays(
                     [*rest.columns, *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=[*rest.schema.names, *names]
                 )
 
     schema = T.StructType([*kept.schema.fields, *added.fields])
-    return kept.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return kept.withColumn(hidden, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.llm.arrays import unused
+
 LEAST = 0.8
 
 # Notices and opening passages of public licences, by their public short names.
@@ -226,14 +228,15 @@ def scan(
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                found = [[{"score": s, "name": n} for s, n in found_in(t or "", known)] for t in part.column("_text_").to_pylist()]
-                rest = part.drop_columns(["_text_"])
+                found = [[{"score": s, "name": n} for s, n in found_in(t or "", known)] for t in part.column(hidden).to_pylist()]
+                rest = part.drop_columns([hidden])
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, kind)], names=[*rest.schema.names, "found"])
 
     kept = docs.drop("found")
+    hidden = unused(kept, "_text_")
     item = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType())])
     schema = T.StructType([*kept.schema.fields, T.StructField("found", T.ArrayType(item))])
-    return kept.withColumn("_text_", F.col("text").cast("string")).mapInArrow(run, schema)
+    return kept.withColumn(hidden, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
