@@ -56,12 +56,17 @@ def fingerprint(text: Column) -> Column:
     return F.transform(anchors(text), lambda a: F.shiftleft(a["position"].cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(a["hash"], 32)))
 
 
-def links(found: Column) -> Column:
-    """Distinct hashes of neighbouring anchors with their distance."""
+def chain(found: Column) -> Column:
+    """Hash of each anchor but the last with the next one and their distance; moving all anchors changes none."""
     pairs = F.transform(F.slice(found, 2, F.size(found) - 1), lambda x, i: F.xxhash64(
         found[i].bitwiseAND(LOW), x - F.shiftleft(F.shiftright(found[i], 32), 32)
     ))
-    return F.array_distinct(F.when(F.size(found) > 1, pairs).otherwise(F.transform(found, lambda x: F.xxhash64(x))))
+    return F.when(F.size(found) > 1, pairs).otherwise(F.slice(found, 1, 0))
+
+
+def links(found: Column, chained: Column) -> Column:
+    """Distinct links of a fingerprint with its chain; a text of one anchor has that as its only link."""
+    return F.array_distinct(F.when(F.size(found) > 1, chained).otherwise(F.transform(found, lambda x: F.xxhash64(x))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,22 +107,42 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def edited_fingerprint(own: Column, following: Column) -> Column:
-    """Fingerprint of ``edited`` (``kept`` characters of a text, then ``taken`` of the next one) without hashing it.
+def first_until(found: Column, last: Column) -> Column:
+    """Number of anchors up to a position, by halving: they come in order."""
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (step <= F.size(found) - n) & (F.shiftright(F.get(found, n + step - 1), 32) <= last), n + step).otherwise(n))
+
+
+def moved(found: Column, by: Column) -> Column:
+    return F.transform(found, lambda x: x + F.shiftleft(by.cast("bigint"), 32))
+
+
+def edited(rows: DataFrame) -> DataFrame:
+    """Add ``changed`` and ``changed_chain``, the fingerprint of the edited text and its chain, without hashing it.
 
     A syncmer depends on its own characters alone, so those of the kept part are the text's own, those of the
-    taken part the next text's, moved; only the stretches over the seam are new.
+    taken part the next text's, moved; only the stretches over the seam are new. Likewise for chains.
     """
-    def until(found: Column, last: Column) -> Column:
-        return F.filter(found, lambda x: F.shiftright(x, 32) <= last)
+    none = F.slice(F.col("own"), 1, 0)
+    rows = rows.withColumns({
+        "n_own": F.greatest(first_until(F.col("own"), F.col("kept") - K), F.lit(0)),
+        "n_next": F.greatest(first_until(F.col("following"), F.col("taken") - K), F.lit(0)),
+        "over": F.when(F.length("seam") >= K, moved(fingerprint(F.col("seam")), F.greatest(F.lit(0), F.col("kept") - (K - 1)))).otherwise(none),
+    })
+    # such characters count twice in positions, and a short text has its own rule
+    whole = F.col("wide") | (F.length("edited") < K)
+    rows = rows.withColumn("left", F.slice("own", F.lit(1), F.col("n_own"))).withColumn("right", moved(F.slice("following", F.lit(1), F.col("n_next")), F.col("kept")))
+    rows = rows.withColumn("alone", F.when(whole, fingerprint(F.col("edited"))))
+    middle = F.concat(F.slice("left", F.greatest(F.col("n_own"), F.lit(1)), F.lit(1)), F.col("over"), F.slice("right", 1, 1))
 
-    def moved(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda x: x + F.shiftleft(by.cast("bigint"), 32))
+    def inner(chained: str, n: str) -> Column:
+        return F.slice(chained, F.lit(1), F.greatest(F.col(n) - 1, F.lit(0)))
 
-    seam = F.when(F.length("seam") >= K, moved(fingerprint(F.col("seam")), F.greatest(F.lit(0), F.col("kept") - (K - 1)))).otherwise(F.slice(own, 1, 0))
-    parts = F.concat(until(own, F.col("kept") - K), seam, moved(until(following, F.col("taken") - K), F.col("kept")))
-    # such characters count twice in positions, and a short text has its own rule
-    return F.when(F.col("wide") | (F.length("edited") < K), fingerprint(F.col("edited"))).otherwise(parts)
+    return rows.withColumn("middle", middle).withColumns({
+        "changed": F.when(whole, F.col("alone")).otherwise(F.concat("left", "over", "right")),
+        "changed_chain": F.when(whole, chain(F.col("alone"))).otherwise(F.concat(inner("chain", "n_own"), chain(F.col("middle")), inner("next_chain", "n_next"))),
+    })
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -135,12 +160,17 @@ def report(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.when(whole, F.col("edited")).otherwise(F.repeat(F.lit("x"), F.lit(K))).alias("edited"),
         fingerprint(F.col("text")).alias("own"), F.when(F.col("last"), fingerprint(F.col("next_text"))).alias("beyond"),
     )
+    made = made.withColumns({"chain": chain(F.col("own")), "beyond_chain": F.when(F.col("last"), chain(F.col("beyond")))})
+    made = made.withColumns({"links": links(F.col("own"), F.col("chain")), "beyond_links": F.when(F.col("last"), links(F.col("beyond"), F.col("beyond_chain")))})
     order = Window.partitionBy("bucket").orderBy("doc_id", "text_hash")
-    ahead = made.withColumn("following", F.when(F.col("last"), F.col("beyond")).otherwise(F.lead("own").over(order)))
-    ahead = ahead.withColumn("changed", edited_fingerprint(F.col("own"), F.col("following"))).withColumn("links", links(F.col("own")))
-    ahead = ahead.withColumn("beyond_links", F.when(F.col("last"), links(F.col("following")))).withColumn(
-        "next_links", F.when(F.col("last"), F.col("beyond_links")).otherwise(F.lead("links").over(order)))
+
+    def after(own: str, beyond: str) -> Column:
+        return F.when(F.col("last"), F.col(beyond)).otherwise(F.lead(own).over(order))
+
+    ahead = edited(made.withColumns({
+        "following": after("own", "beyond"), "next_chain": after("chain", "beyond_chain"), "next_links": after("links", "beyond_links")}))
     return ahead.select(
         "doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("changed").alias("edited_fingerprint"),
-        likeness(F.col("links"), links(F.col("changed"))).alias("near_edited"), likeness(F.col("links"), F.col("next_links")).alias("near_next"),
+        likeness(F.col("links"), links(F.col("changed"), F.col("changed_chain"))).alias("near_edited"),
+        likeness(F.col("links"), F.col("next_links")).alias("near_next"),
     )
