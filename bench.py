@@ -23,6 +23,10 @@ HEADLINE = [
     "W9_U4_U8_closing_tiles",
     "W6_stitch_last_wins",
     "L12_local_tversky_focal",
+    "G5_A15_merged_rings",
+    "G6_A16_U2_merged_polygons",
+    "A15_K1_field_file",
+    "W9_U4_halo_closing",
 ]
 
 
