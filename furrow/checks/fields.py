@@ -258,7 +258,9 @@ FROM merged JOIN corners USING (raster_id, label)""", recursive=True))(_merged_r
 # Parts of a union: cells of one component joined over their sides.
 PARTS_SQL = """
 steps AS (SELECT a.comp, a.cx, a.cy, b.cx AS nx, b.cy AS ny FROM ucells a JOIN ucells b ON b.comp = a.comp AND abs(b.cx - a.cx) + abs(b.cy - a.cy) = 1),
-reach AS (SELECT comp, cx, cy, cy * 1000000 + cx AS root FROM ucells
+reach AS (SELECT u.comp, u.cx, u.cy, u.cy * 1000000 + u.cx AS root FROM ucells u
+  LEFT JOIN ucells l ON l.comp = u.comp AND l.cy = u.cy AND l.cx = u.cx - 1 LEFT JOIN ucells t ON t.comp = u.comp AND t.cx = u.cx AND t.cy = u.cy - 1
+  WHERE l.comp IS NULL AND t.comp IS NULL
   UNION SELECT s.comp, s.nx, s.ny, r.root FROM reach r JOIN steps s USING (comp, cx, cy)),
 pieces AS (SELECT comp, count(DISTINCT root) AS parts FROM (SELECT comp, cx, cy, min(root) AS root FROM reach GROUP BY 1, 2, 3) GROUP BY 1)"""
 RINGS_BODY = f"""
