@@ -14,7 +14,7 @@ quantiles. Only the last row of a bucket takes its successor from a table of the
 Defined results: null counts as the empty text; a text shorter than ``K`` has one anchor, its own hash; a
 text of one anchor has that as its only link; an empty text has none and an empty fingerprint; two empty fingerprints are alike (1.0), an empty and another
 one are not (0.0); rows of one doc_id follow each other by text hash, a null doc_id comes first; a table of
-one row follows itself. Characters beyond U+FFFF count as two positions in anchors only.
+one row follows itself.
 """
 
 from __future__ import annotations
@@ -29,31 +29,33 @@ LOW = (1 << 32) - 1
 BUCKETS, PER_BUCKET = 4096, 2048
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Syncmers of a text: an array of ``(position, hash)`` from left to right, positions from 0."""
+def inner_hashes(text: Column, s: int = S) -> Column:
+    """Hash of the ``s`` characters from each position on; four bytes a character make every cut a copy of fixed place."""
+    return let(F.encode(text, "UTF-32"), lambda b: F.when(
+        F.octet_length(b) >= 4 * s,
+        F.transform(F.sequence(F.lit(0), F.octet_length(b) - 4 * s, F.lit(4)), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(4 * s))))
+    ).otherwise(F.array().cast("array<bigint>")))
+
+
+def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
+    """All syncmers of a text from left to right, each as position and 32 bits of its hash in one number."""
     inner = k - s
 
-    def at_edge(h: Column, i: Column) -> Column:
-        between = h[i + 1] if inner == 2 else F.least(*[h[i + j] for j in range(1, inner)])
-        return F.least(h[i], h[i + inner]) <= between
+    def packed(position: Column, found: Column) -> Column:
+        return F.shiftleft(position.cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(found, 32))
 
     def chosen(h: Column) -> Column:
-        return F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(h) - 1 - inner), lambda i: at_edge(h, i)),
-            lambda i: F.struct(i.alias("position"), F.xxhash64(h[i], h[i + inner]).alias("hash")),
-        )
-
-    parts = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1))
-    whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(text).alias("hash")))
-    none = F.slice(whole, 1, 0)
-    return F.when(text == "", none).otherwise(let(
-        F.transform(parts, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) > inner, chosen(h)).otherwise(whole)
-    ))
+        def one(x: Column, i: Column) -> Column:
+            last = h[i + inner]
+            between = h[i + 1] if inner == 2 else F.least(*[h[i + j] for j in range(1, inner)])
+            # past the end the left side of "and" is false, so nothing is looked up there
+            return F.when((i < F.size(h) - inner) & (F.least(x, last) <= between), packed(i, F.xxhash64(x, last)))
 
+        return F.array_compact(F.transform(h, one))
 
-def fingerprint(text: Column) -> Column:
-    """All anchors of a text, each as position and 32 bits of its hash in one number."""
-    return F.transform(anchors(text), lambda a: F.shiftleft(a["position"].cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(a["hash"], 32)))
+    whole = F.array(packed(F.lit(0), F.xxhash64(text)))
+    return F.when(text == "", F.slice(whole, 1, 0)).otherwise(let(
+        inner_hashes(text, s), lambda h: F.when(F.size(h) > inner, chosen(h)).otherwise(whole)))
 
 
 def chain(found: Column) -> Column:
@@ -130,8 +132,8 @@ def edited(rows: DataFrame) -> DataFrame:
         "n_next": F.greatest(first_until(F.col("following"), F.col("taken") - K), F.lit(0)),
         "over": F.when(F.length("seam") >= K, moved(fingerprint(F.col("seam")), F.greatest(F.lit(0), F.col("kept") - (K - 1)))).otherwise(none),
     })
-    # such characters count twice in positions, and a short text has its own rule
-    whole = F.col("wide") | (F.length("edited") < K)
+    # a short text has its own rule
+    whole = F.length("edited") < K
     rows = rows.withColumn("left", F.slice("own", F.lit(1), F.col("n_own"))).withColumn("right", moved(F.slice("following", F.lit(1), F.col("n_next")), F.col("kept")))
     rows = rows.withColumn("alone", F.when(whole, fingerprint(F.col("edited"))))
     middle = F.concat(F.slice("left", F.greatest(F.col("n_own"), F.lit(1)), F.lit(1)), F.col("over"), F.slice("right", 1, 1))
@@ -148,15 +150,14 @@ def edited(rows: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness."""
     half = (F.length("text") / 2).cast("int")
-    wide = F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]") | F.col("next_text").rlike(r"[\x{10000}-\x{10FFFF}]")
-    made = with_next(docs).withColumns({"kept": F.length("text") - half, "taken": F.least(half, F.length("next_text")), "wide": wide})
+    made = with_next(docs).withColumns({"kept": F.length("text") - half, "taken": F.least(half, F.length("next_text"))})
     made = made.withColumns({
         "edited": F.concat(F.left("text", F.col("kept")), F.left("next_text", half)),
         "seam": F.concat(F.right(F.left("text", F.col("kept")), F.lit(K - 1)), F.left("next_text", F.least(F.col("taken"), F.lit(K - 1)))),
     })
-    whole = F.col("wide") | (F.length("edited") < K)
+    whole = F.length("edited") < K
     made = made.select(
-        "doc_id", "bucket", "text_hash", "last", "kept", "taken", "wide", "seam", F.length("text").cast("bigint").alias("n_chars"),
+        "doc_id", "bucket", "text_hash", "last", "kept", "taken", "seam", F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.when(whole, F.col("edited")).otherwise(F.repeat(F.lit("x"), F.lit(K))).alias("edited"),
         fingerprint(F.col("text")).alias("own"), F.when(F.col("last"), fingerprint(F.col("next_text"))).alias("beyond"),
     )

@@ -34,8 +34,7 @@ def test_one_edited_word_of_a_long_text_shows(spark):
 def test_likeness_against_sets_of_links(spark):
     docs = helpers.documents(spark).select("doc_id", "text").limit(60)
     got = sorted(syncmers.report(docs).collect(), key=lambda r: r["doc_id"])
-    want = {r["doc_id"]: [(a["position"] << 32) | ((a["hash"] >> 32) & syncmers.LOW) for a in r["a"]]
-            for r in docs.select("doc_id", syncmers.anchors(F.coalesce("text", F.lit(""))).alias("a")).collect()}
+    want = {r["doc_id"]: r["a"] for r in docs.select("doc_id", syncmers.fingerprint(F.coalesce("text", F.lit(""))).alias("a")).collect()}
     for n, r in enumerate(got):
         assert r["fingerprint"] == want[r["doc_id"]]
         for other, near in ((r["edited_fingerprint"], r["near_edited"]), (got[(n + 1) % len(got)]["fingerprint"], r["near_next"])):

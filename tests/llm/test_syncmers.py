@@ -28,22 +28,27 @@ def test_edited_texts_and_likeness(spark, monkeypatch):
     assert sum(r["near_edited"] for r in long) / len(long) > 0.25 > 0.05 > sum(r["near_next"] for r in long) / len(long)
 
 
+def anchors_of(found):
+    return {(x >> 32, x & syncmers.LOW) for x in found}
+
+
 def test_anchors_do_not_depend_on_context(spark):
-    inner = "the quick brown fox jumps over the lazy dog and runs away"
+    inner = "the quick brown fox jumps over the lazy dog \U0001F600 and runs away"
     rows = spark.createDataFrame([(1, inner), (2, "something before " + inner + " and behind")], "i int, t string")
-    found = {r["i"]: {(a["position"], a["hash"]) for a in r["a"]} for r in rows.select("i", syncmers.anchors(F.col("t")).alias("a")).collect()}
+    found = {r["i"]: anchors_of(r["a"]) for r in rows.select("i", syncmers.fingerprint(F.col("t")).alias("a")).collect()}
     assert found[1] and {(p + 17, h) for p, h in found[1]} <= found[2]
 
 
 def test_anchors_have_their_least_part_at_an_edge(spark):
-    text = "some words of a text that is not so short"
+    text = "some words of a text that is not so short, é and \U0001F600 in it"
     row = spark.createDataFrame([(text,)], "t string").select(
-        syncmers.anchors(F.col("t")).alias("a"),
-        F.transform(F.sequence(F.lit(1), F.lit(len(text) - syncmers.S + 1)), lambda i: F.xxhash64(F.substr(F.col("t"), i, F.lit(syncmers.S)))).alias("h"),
+        syncmers.fingerprint(F.col("t")).alias("a"),
+        F.transform(F.sequence(F.lit(1), F.lit(len(text) - syncmers.S + 1)), lambda i: F.xxhash64(
+            F.encode(F.substr(F.col("t"), i, F.lit(syncmers.S)), "UTF-32"))).alias("h"),
     ).first()
     width = syncmers.K - syncmers.S
     want = [i for i in range(len(text) - syncmers.K + 1) if min(row["h"][i:i + width + 1]) in (row["h"][i], row["h"][i + width])]
-    assert [a["position"] for a in row["a"]] == want
+    assert [x >> 32 for x in row["a"]] == want
 
 
 def test_small_tables_and_plan(spark):
