@@ -23,7 +23,8 @@ def cells(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
     """Class rasters of side x side cells from line items; their number grows with the table.
 
     Raster = block of orders, row = order, column = part. Cells no line item falls on are
-    filled: a field on alternate 8 x 8 blocks, else background.
+    filled: a field on alternate 8 x 8 blocks, else background. The grid is exploded from a few rows,
+    so its size is underestimated and must not decide the join.
     """
     per = side * side // 4
     li = table(spark, sf_dir, "lineitem")
@@ -45,7 +46,7 @@ def cells(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
     flip = (F.col("y") * 7 + F.col("x") * 13 + F.col("raster_id")) % 11 == 0
     pred = F.when(flip, (F.col("cls") + 1) % 3).when(F.col("cls") == 3, 0).otherwise(F.col("cls"))
     return (
-        grid.join(hits, ["raster_id", "y", "x"], "left")
+        grid.hint("merge").join(hits, ["raster_id", "y", "x"], "left")
         .withColumn("cls", cls)
         .withColumn("pred", pred)
         .withColumn("edge", F.coalesce(F.col("n") % 2, F.lit(0)))

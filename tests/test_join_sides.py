@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from furrow.checks import shapes
+from furrow.checks import bindings, shapes
 from furrow.operators.skew import bucket_join
 
 SF = "/root/testdata/sf0.001"
@@ -31,5 +31,9 @@ def test_bucket_join_broadcasts_no_side(spark):
     parted = bucket_join(left, right, ["k"], hot_rows=3)
     assert sorted(parted.collect()) == sorted(met.collect())
 
+def test_cells_broadcast_no_grid(spark):
+    inner = bindings.cells(spark, SF).filter("cls = 2 AND x > 0")  # makes the outer join an inner one
+    assert _broadcasts(inner) == []
+
 def test_polygon_pairs_broadcast_no_side(spark):
     assert all("_salt" not in b for b in _broadcasts(shapes.polygon_overlap(spark, SF)))
