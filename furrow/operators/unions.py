@@ -36,7 +36,8 @@ def union_components(polygons: DataFrame, components: DataFrame, grid: float, ho
 
     ``tile`` is the side in cells of the squares whose sides are linked in one task.
     """
-    runs = scanline.polygon_runs(polygons, grid).join(components.select("id", "comp"), "id")
+    # runs are exploded from few rows, so their size is underestimated: both sides are shuffled
+    runs = scanline.polygon_runs(polygons, grid).hint("merge").join(components.select("id", "comp"), "id")
     boxes = boundary.run_boxes(scanline.merged_runs(runs, "comp"), [], "comp")
     shapes = boundary.outlines_of(boxes, [], "comp", float(tile), (grid, 0, 0, 0, grid, 0))
     names = components.groupBy("comp").agg(merged_id(F.col("id"), F.col("id")).alias("ids"), F.count(F.lit(1)).alias("members"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from furrow.checks import bindings, shapes
+from furrow.operators import unions
 from furrow.operators.skew import bucket_join
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,9 @@ def test_cells_broadcast_no_grid(spark):
 
 def test_polygon_pairs_broadcast_no_side(spark):
     assert all("_salt" not in b for b in _broadcasts(shapes.polygon_overlap(spark, SF)))
+
+def test_union_broadcasts_no_runs(spark):
+    polygons = bindings.shapes(spark, SF)
+    many = spark.range(10_000_000).select("id", F.col("id").alias("comp"))  # the side that looks larger
+    made = unions.union_components(polygons, many, 2.0)
+    assert all("nth" not in b for b in _broadcasts(made))
