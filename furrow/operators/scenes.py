@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import footprints, projection, rings, text
 from furrow.operators.skew import bucket_join
+from furrow.session import cut
 
 AREA_LIMIT_M2 = 1e10
 
@@ -40,13 +41,21 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def candidate_scenes(
-    windows: DataFrame, scenes: DataFrame, cloud_max: float = 20, cell: float = 1.0,
-    period_days: int = 32,
-) -> DataFrame:
-    """Area x scene join: boxes meet, date inside the window, cloud strictly below the limit.
+# What decides which scenes a window meets, and what its best one is.
+PLACE = ["x0", "y0", "x1", "y1", "from_ts", "to_ts"]
+SCENE_BOX = ["sx0", "sy0", "sx1", "sy1"]
+
+
+def _clear(scenes: DataFrame, cloud_max: float) -> DataFrame:
+    """Scenes below the cloud limit with their footprint as parts."""
+    parts = F.col("parts") if "parts" in scenes.columns else footprints.single(F.col("footprint"))
+    return scenes.filter(F.col("cloud") < F.lit(cloud_max)).select(
+        "scene_id", "dt", "cloud", "tile", parts.alias("parts"), *[F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _meetings(windows: DataFrame, scenes: DataFrame, cell: float, period_days: int) -> DataFrame:
+    """Pairs of a window and a scene whose boxes meet, with the date inside the window.
 
-    Footprints are projected here, once per scene rather than once per pair (``outline``).
     The range join becomes an equi-join on (lon cell, lat cell, period). A pair is kept only in
     the cell that holds the lower-left corner of the overlap, so no pair appears twice. The
     period splits places that hold very many scenes, and hot buckets are salted.
@@ -56,14 +65,8 @@ def candidate_scenes(
     def period(d: Column) -> Column:
         return F.floor(F.date_diff(F.to_date(d), epoch) / period_days)
 
-    parts = F.col("parts") if "parts" in scenes.columns else footprints.single(F.col("footprint"))
     s = (
-        scenes.filter(F.col("cloud") < F.lit(cloud_max))
-        .select(
-            "scene_id", "dt", "cloud", "tile", projected(parts).alias("outline"),
-            *[F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")],
-        )
-        .withColumn("per", period(F.col("dt")))
+        scenes.withColumn("per", period(F.col("dt")))
         .withColumn("cx", F.explode(_cells(F.col("sx0"), F.col("sx1"), cell)))
         .withColumn("cy", F.explode(_cells(F.col("sy0"), F.col("sy1"), cell)))
     )
@@ -88,6 +91,30 @@ def candidate_scenes(
     )
 
 
+def candidate_scenes(
+    windows: DataFrame, scenes: DataFrame, cloud_max: float = 20, cell: float = 1.0,
+    period_days: int = 32, measure: bool = False,
+) -> DataFrame:
+    """Area x scene join: boxes meet, date inside the window, cloud strictly below the limit.
+
+    Windows of one box and time, and scenes of one footprint and time, meet once for all that are alike; their
+    members are joined on afterwards. Footprints are projected (``outline``), and with ``measure`` the share of
+    the box they leave open (``nodata``) is taken, before that, so only the rows of the result grow with copies.
+    """
+    clear = _clear(scenes, cloud_max)
+    kind = ["dt", "parts", *SCENE_BOX]
+    kinds = cut(clear.select(*kind).distinct().withColumn("_alike", F.monotonically_increasing_id()))
+    same = [clear[c].eqNullSafe(kinds[c]) for c in kind]  # a scene without a footprint is a candidate too
+    outlined = kinds.select("_alike", "dt", projected(F.col("parts")).alias("outline"), *SCENE_BOX)
+    met = _meetings(windows.select(*PLACE).distinct(), outlined, cell, period_days)
+    if measure:
+        met = met.withColumn("nodata", nodata_percent(F.col("outline"), *[F.col(c) for c in PLACE[:4]]))
+    members = clear.hint("merge").join(kinds, same).select("_alike", "scene_id", "cloud", "tile")
+    # few rows of either side share a key, and estimates of both are too low for a broadcast
+    return met.hint("merge").join(windows, PLACE).hint("merge").join(members, "_alike").select(
+        *windows.columns, "scene_id", "dt", "cloud", "tile", "outline", *SCENE_BOX, *(["nodata"] if measure else []))
+
+
 def projected(parts: Column) -> Column:
     """Parts of a footprint in equal-area metres; null for invalid and empty ones."""
     return F.when(footprints.parts_valid(parts), footprints.map_parts(parts, projection.equal_area_point))
@@ -118,35 +145,19 @@ def box_area_m2(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return (ax1 - ax0) * (ay1 - ay0)
 
 
-def best_scene(
-    windows: DataFrame, candidates: DataFrame, nodata_max: float | None = 50,
-    today: Column | None = None,
-) -> DataFrame:
-    """Least cloudy scene per area and window with a status instead of an error.
+KEYS = ["aoi_id", "win"]
+FRAME = ["center", "to_ts", "x0", "y0", "x1", "y1"]
 
-    One aggregation, combined map-side: the best scene is a minimum over
-    (cloud, scene order), so no group is ever sorted or held whole.
-    """
+
+def _with_status(rows: DataFrame, today: Column | None) -> DataFrame:
+    """Counts and best scenes of windows, in one or more rows each -> one row with the status."""
     today = F.current_date() if today is None else today
-    cand = candidates.withColumn(
-        "nodata", nodata_percent(F.col("outline"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    )
-    keep = F.lit(True) if nodata_max is None else F.col("nodata") <= F.lit(nodata_max)
-    cand = cand.withColumn("kept", keep)
-    keys = ["aoi_id", "win"]
-    frame = windows.select(*keys, "center", "to_ts", "x0", "y0", "x1", "y1").unionByName(
-        cand.select(*keys, "scene_id", "cloud", "tile", "nodata", "kept"), allowMissingColumns=True
-    )
-    known_tile = F.when(F.col("kept") & (F.col("tile") != "Unknown"), F.col("tile"))
-    pick = F.when(F.col("kept"), F.struct("cloud", "scene_id", "tile", "nodata"))
-    grouped = frame.groupBy(*keys).agg(
-        F.max("center").alias("center"),
-        F.max("to_ts").alias("to_ts"),
-        *[F.max(c).alias(c) for c in ("x0", "y0", "x1", "y1")],
-        F.count("scene_id").alias("n_found"),
-        F.count_if("kept").alias("n_kept"),
-        (F.min(known_tile) != F.max(known_tile)).alias("many_tiles"),
-        F.min(pick).alias("best"),
+    grouped = rows.groupBy(*KEYS).agg(
+        *[F.max(c).alias(c) for c in FRAME],
+        F.coalesce(F.sum("n_found"), F.lit(0)).cast("bigint").alias("n_found"),
+        F.coalesce(F.sum("n_kept"), F.lit(0)).cast("bigint").alias("n_kept"),
+        (F.min("low_tile") != F.max("high_tile")).alias("many_tiles"),
+        F.min("best").alias("best"),
     )
     wide = box_area_m2(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) > AREA_LIMIT_M2
     status = (
@@ -160,12 +171,65 @@ def best_scene(
     return (
         grouped.withColumn("status", status)
         .select(
-            *keys, "center", "n_found", "n_kept", "status",
+            *KEYS, "center", "n_found", "n_kept", "status",
             *[F.when(ok, F.col(f"best.{c}")).alias(c) for c in ("scene_id", "cloud", "tile", "nodata")],
         )
     )
 
 
+def _kept(nodata_max: float | None) -> Column:
+    return F.lit(True) if nodata_max is None else F.col("nodata") <= F.lit(nodata_max)
+
+
+def _known_tile() -> Column:
+    return F.when(F.col("tile") != "Unknown", F.col("tile"))
+
+
+def best_scene(
+    windows: DataFrame, candidates: DataFrame, nodata_max: float | None = 50,
+    today: Column | None = None,
+) -> DataFrame:
+    """Least cloudy scene per area and window with a status instead of an error.
+
+    One aggregation, combined map-side: the best scene is a minimum over
+    (cloud, scene order), so no group is ever sorted or held whole.
+    """
+    cand = candidates
+    if "nodata" not in cand.columns:
+        cand = cand.withColumn(
+            "nodata", nodata_percent(F.col("outline"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    kept = _kept(nodata_max)
+    known = F.when(kept, _known_tile())
+    found = cand.select(
+        *KEYS, F.col("scene_id").isNotNull().cast("int").alias("n_found"), F.coalesce(kept.cast("int"), F.lit(0)).alias("n_kept"),
+        known.alias("low_tile"), known.alias("high_tile"), F.when(kept, F.struct("cloud", "scene_id", "tile", "nodata")).alias("best"))
+    return _with_status(windows.select(*KEYS, *FRAME).unionByName(found, allowMissingColumns=True), today)
+
+
+def best_scenes(
+    windows: DataFrame, scenes: DataFrame, cloud_max: float = 20, nodata_max: float | None = 50,
+    today: Column | None = None, cell: float = 1.0, period_days: int = 32,
+) -> DataFrame:
+    """``best_scene`` of all candidates without a row for each of them.
+
+    Scenes of one footprint and time are counted first and keep their best one; windows of one box and time
+    share their answer. So copies on either side cost one row each instead of one for each pair.
+    """
+    alike = _clear(scenes, cloud_max).groupBy("dt", "parts", *SCENE_BOX).agg(
+        F.count("scene_id").alias("found"), F.count(F.lit(1)).alias("rows"),
+        F.min(_known_tile()).alias("low"), F.max(_known_tile()).alias("high"),
+        F.min(F.struct("cloud", "scene_id", "tile")).alias("first"),
+    ).withColumn("outline", projected(F.col("parts"))).drop("parts")
+    met = _meetings(windows.select(*PLACE).distinct(), alike, cell, period_days).withColumn(
+        "nodata", nodata_percent(F.col("outline"), *[F.col(c) for c in PLACE[:4]]))
+    kept = _kept(nodata_max)
+    answers = met.groupBy(*PLACE).agg(
+        F.sum("found").alias("n_found"), F.sum(F.when(kept, F.col("rows")).otherwise(0)).alias("n_kept"),
+        F.min(F.when(kept, F.col("low"))).alias("low_tile"), F.max(F.when(kept, F.col("high"))).alias("high_tile"),
+        F.min(F.when(kept, F.struct("first.cloud", "first.scene_id", "first.tile", "nodata"))).alias("best"))
+    return _with_status(windows.select(*KEYS, *FRAME, "from_ts").join(answers, PLACE, "left"), today)
+
+
 def two_windows(best: DataFrame) -> DataFrame:
     """Windows a and b of each area side by side."""
     def side(win: str, col: str) -> Column:
@@ -182,8 +246,7 @@ def scene_selection(
     nodata_max: float | None = 50, today: Column | None = None,
 ) -> DataFrame:
     windows = season_windows(aois, buffer_days)
-    found = candidate_scenes(windows, scenes, cloud_max)
-    return two_windows(best_scene(windows, found, nodata_max, today))
+    return two_windows(best_scenes(windows, scenes, cloud_max, nodata_max, today))
 
 
 def footprints_meet(a: Column, b: Column) -> Column:
