@@ -211,7 +211,7 @@ FROM windows w LEFT JOIN found f USING (aoi_id, win)
 LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (aoi_id, win)"""))
 def best_scene(spark, sf_dir):
     w = S.season_windows(B.areas(spark, sf_dir))
-    best = S.best_scene(w, S.candidate_scenes(w, B.scenes(spark, sf_dir)))
+    best = S.best_scenes(w, B.scenes(spark, sf_dir))
     return best.select("aoi_id", "win", "n_found", "n_kept", "status", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("scene_id", "cloud")])
 
 
