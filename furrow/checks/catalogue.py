@@ -240,7 +240,7 @@ FROM wide w LEFT JOIN met m USING (aoi_id, win)"""))
 def multi_tile(spark, sf_dir):
     a = B.areas(spark, sf_dir).withColumns({"x1": F.col("x0") + 3.0, "y1": F.col("y0") + 3.0})
     w = S.season_windows(a)
-    return S.best_scene(w, S.candidate_scenes(w, B.scenes(spark, sf_dir)), None).select("aoi_id", "win", "status")
+    return S.best_scenes(w, B.scenes(spark, sf_dir), nodata_max=None).select("aoi_id", "win", "status")
 
 
 @query("A17_distinct_tiles", with_(B.SCENES_SQL, B.AREAS_SQL, body="""
