@@ -178,7 +178,7 @@ def bbox_parse(spark, sf_dir):
 SELECT aoi_id, win, CASE WHEN center + 14 > DATE '{TODAY}' THEN 1 ELSE 0 END AS future FROM windows"""))
 def future_guard(spark, sf_dir):
     w = S.season_windows(B.areas(spark, sf_dir))
-    best = S.best_scene(w, S.candidate_scenes(w, B.scenes(spark, sf_dir)), None, F.lit(TODAY).cast("date"))
+    best = S.best_scenes(w, B.scenes(spark, sf_dir), nodata_max=None, today=F.lit(TODAY).cast("date"))
     return best.select("aoi_id", "win", (F.col("status") == "future").cast("int").alias("future"))
 
 
