@@ -192,9 +192,7 @@ def area_scene_join(spark, sf_dir):
 SELECT aoi_id, win, scene_id, round(nodata, 4) + 0.0::DOUBLE AS nodata FROM measured"""), digits=4)
 def nodata(spark, sf_dir):
     w = S.season_windows(B.areas(spark, sf_dir))
-    cand = S.candidate_scenes(w, B.scenes(spark, sf_dir))
-    return cand.select("aoi_id", "win", "scene_id", S.nodata_percent(
-        F.col("outline"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("nodata"))
+    return S.candidate_scenes(w, B.scenes(spark, sf_dir), measure=True).select("aoi_id", "win", "scene_id", "nodata")
 
 
 BEST_SQL = """
