@@ -101,15 +101,19 @@ def file_hashes(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.md5("content").alias("md5"))
 
 
-def check_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Status per path: ok, mismatch, missing (listed, no file) or no_checksum."""
-    e = expected.select("path", F.col("md5").alias("expected"))
-    a = actual.select("path", F.col("md5").alias("actual"))
+def check_manifest(expected: DataFrame, actual: DataFrame, version: list[str] | None = None) -> DataFrame:
+    """Status per path: ok, mismatch, missing (listed, no file) or no_checksum.
+
+    Where several files were stored under one path, ``version`` names the columns that tell them apart on both sides.
+    """
+    keys = ["path", *(version or [])]
+    e = expected.select(*keys, F.col("md5").alias("expected"))
+    a = actual.select(*keys, F.col("md5").alias("actual"))
     status = (
         F.when(F.col("expected").isNull(), "no_checksum").when(F.col("actual").isNull(), "missing")
         .when(F.col("expected") == F.col("actual"), "ok").otherwise("mismatch")
     )
-    return e.join(a, "path", "full_outer").withColumn("status", status)
+    return e.join(a, keys, "full_outer").withColumn("status", status)
 
 
 def expand_countries(countries: list[str]) -> list[str]:
