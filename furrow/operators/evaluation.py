@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,51 @@ def macro_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _overlap_tile(runs: pa.Table) -> pa.Table:
+    """Cells that truth and predicted runs of a tile share, and those that only one of them has."""
+    layer, comp = runs["layer"].to_numpy(zero_copy_only=False), runs["comp"].to_numpy()
+    start = runs["y"].to_numpy().astype(np.int64) * labelling.ROW_STEP + runs["x0"].to_numpy()
+    end = start + (runs["x1"].to_numpy() - runs["x0"].to_numpy())
+
+    def side(name: str) -> tuple[np.ndarray, ...]:
+        at = np.flatnonzero(layer == name)
+        at = at[np.argsort(start[at])]
+        return comp[at], start[at], end[at]
+
+    (t, t_start, t_end), (p, p_start, p_end) = side("t"), side("p")
+    # the truth runs that one predicted run meets follow each other
+    first = np.searchsorted(t_end, p_start, side="left")
+    n = np.maximum(np.searchsorted(t_start, p_end, side="right") - first, 0)
+    of_p = np.repeat(np.arange(len(p)), n)
+    of_t = np.repeat(first, n) + np.arange(len(of_p)) - np.repeat(np.cumsum(n) - n, n)
+    both = np.minimum(t_end[of_t], p_end[of_p]) - np.maximum(t_start[of_t], p_start[of_p]) + 1
+    t_rest = t_end - t_start + 1 - np.bincount(of_t, weights=both, minlength=len(t)).astype(np.int64)
+    p_rest = p_end - p_start + 1 - np.bincount(of_p, weights=both, minlength=len(p)).astype(np.int64)
+    none = np.int64(-1)  # codes of cells are not negative
+    pairs = np.stack([np.concatenate([t[of_t], t, np.full(len(p), none)]), np.concatenate([p[of_p], np.full(len(t), none), p])], axis=1)
+    cells = np.concatenate([both, t_rest, p_rest]).astype(np.int64)
+    found, which = np.unique(pairs[cells > 0], axis=0, return_inverse=True)
+    total = np.bincount(which.ravel(), weights=cells[cells > 0], minlength=len(found)).astype(np.int64)
+    columns = [pa.array(found[:, k], pa.int64(), mask=found[:, k] == none) for k in (0, 1)]
+    return pa.table([*columns, pa.array(total, pa.int64())], names=["t", "p", "both"])
+
+
+def tile_overlaps(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, t, p, both``: shared cells of runs of the layers ``t`` and ``p``, tile by tile, without a row per cell.
+
+    Null stands for no object. A pair has one row for each tile it meets in.
+    """
+    types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+
+    def run(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
+        found = _overlap_tile(tile)
+        held = [pa.repeat(k, len(found)) for k in key[:len(keys)]]
+        return pa.table([*held, *found.columns], names=[*keys, *found.column_names])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", t bigint, p bigint, both bigint"
+    return runs.select(*keys, "ty", "tx", "layer", "comp", "y", "x0", "x1").groupBy(*keys, "ty", "tx").applyInArrow(run, schema)
+
+
 def object_overlaps(
     pixels: DataFrame, keys: list[str], iou_threshold: float = 0.5,
     stride: int = labelling.DEFAULT_STRIDE, label: str = "cls", pred: str = "pred",
@@ -90,13 +136,7 @@ def object_overlaps(
         runs = cut(runs)
         runs = labelling.stitched(runs, [*keys, "layer"], stride).drop("comp").withColumnRenamed("label", "comp")
 
-    def comp_of(layer: str) -> Column:
-        return F.max(F.when(F.col("layer") == layer, F.col("comp"))).alias(layer)
-
-    met = (
-        labelling.run_cells(runs).groupBy(*keys, "y", "x").agg(comp_of("t"), comp_of("p"))
-        .groupBy(*keys, "t", "p").agg(F.count(F.lit(1)).alias("both"))
-    )
+    met = tile_overlaps(runs, keys).groupBy(*keys, "t", "p").agg(F.sum("both").alias("both"))
     # rows without the object stay apart, so they never form one large group
     by_t = Window.partitionBy(*keys, "t", F.when(F.col("t").isNull(), F.col("p")))
     by_p = Window.partitionBy(*keys, "p", F.when(F.col("p").isNull(), F.col("t")))
