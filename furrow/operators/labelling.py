@@ -31,19 +31,20 @@ def tile_keys(stride: int) -> dict[str, Column]:
 def field_runs(cells: DataFrame, keys: list[str], stride: int = DEFAULT_STRIDE) -> DataFrame:
     """Cells of one class -> maximal runs inside each tile (gaps and islands).
 
-    Rows are hashed once on (keys, tile); the window, the aggregation and the labelling that
-    follows all use that partitioning.
+    Rows are hashed once on (keys, tile) and sorted once; the windows and the labelling that
+    follows all use that partitioning. First and last cells are told by their neighbours, so no table of runs is held.
     """
     tile = [*keys, "ty", "tx"]
     placed = cells.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     placed = placed.withColumns(tile_keys(stride)).repartition(*tile)
     row = Window.partitionBy(*tile, "y").orderBy("x")
-    return (
-        placed.withColumn("island", F.col("x") - F.row_number().over(row))
-        .groupBy(*tile, "y", "island")
-        .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-        .drop("island")
-    )
+    x = F.col("x")
+    ends = placed.withColumns({
+        "_first": F.coalesce(F.lag("x").over(row) < x - 1, F.lit(True)), "_last": F.coalesce(F.lead("x").over(row) > x + 1, F.lit(True)),
+    }).filter("_first OR _last")
+    # the row after a first cell is its last one
+    return ends.withColumn("x1", F.when(F.col("_last"), x).otherwise(F.lead("x").over(row))).filter("_first").select(
+        *tile, "y", x.alias("x0"), "x1")
 
 
 def _label_tile(runs: pa.Table) -> pa.Table:
