@@ -220,18 +220,18 @@ def _intervals(replicates: DataFrame, confidence: float) -> DataFrame:
 
 
 def bootstrap_by_draws(stats: DataFrame, key: str, n_bootstrap: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """Bootstrap over chips with draws hashed from (replicate, draw): repeatable anywhere."""
+    """Bootstrap over chips with draws hashed from (replicate, draw): repeatable anywhere.
+
+    Draws meet their chip one by one; only the sums per replicate are held.
+    """
     placed = dense_index(stats.select(key, *COUNTS), [F.col(key)])
     total = placed.select(F.count(F.lit(1))).scalar()
     draws = (
         placed.select(F.col("idx").alias("draw"), total.alias("total"))
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
         .select("rep", F.floor(hash_unit(F.col("rep"), F.col("draw"), seed=seed) * F.col("total")).alias("idx"))
-        .groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("times"))
-    )
-    sums = draws.join(placed, "idx").groupBy("rep").agg(
-        *[F.sum(F.col(k) * F.col("times")).alias(k) for k in COUNTS]
     )
+    sums = draws.hint("merge").join(placed, "idx").groupBy("rep").agg(*sum_counts())
     return _intervals(metrics_from_counts(sums), confidence)
 
 
