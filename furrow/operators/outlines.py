@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,40 +209,67 @@ def simplify(polygons: DataFrame, tolerance: float, column: str = "exterior", ho
 
 def _ring_is_simple(xs: np.ndarray, ys: np.ndarray) -> bool:
     """No two sides of the closed ring cross or overlap."""
-    if len(xs) < 4 or xs[0] != xs[-1] or ys[0] != ys[-1]:
-        return False
-    ax, ay, bx, by = xs[:-1], ys[:-1], xs[1:], ys[1:]
-    n = len(ax)
+    return bool(_rings_are_simple(xs[None], ys[None])[0])
+
+
+def _rings_are_simple(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The same for rings of equally many points, one a row."""
+    if xs.shape[1] < 4:
+        return np.zeros(len(xs), bool)
+    ax, ay, bx, by = xs[:, :-1], ys[:, :-1], xs[:, 1:], ys[:, 1:]
+    n = ax.shape[1]
+    simple = (xs[:, 0] == xs[:, -1]) & (ys[:, 0] == ys[:, -1])
     for i in range(n - 1):
+        at = np.flatnonzero(simple)
         j = np.arange(i + 1, n)
+        ax1, ay1, bx1, by1 = (v[at, i, None] for v in (ax, ay, bx, by))
+        ax2, ay2, bx2, by2 = (v[at, i + 1:] for v in (ax, ay, bx, by))
 
         def turn(px, py, qx, qy, rx, ry):
             return np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
 
-        o1, o2 = turn(ax[i], ay[i], bx[i], by[i], ax[j], ay[j]), turn(ax[i], ay[i], bx[i], by[i], bx[j], by[j])
-        o3, o4 = turn(ax[j], ay[j], bx[j], by[j], ax[i], ay[i]), turn(ax[j], ay[j], bx[j], by[j], bx[i], by[i])
+        o1, o2 = turn(ax1, ay1, bx1, by1, ax2, ay2), turn(ax1, ay1, bx1, by1, bx2, by2)
+        o3, o4 = turn(ax2, ay2, bx2, by2, ax1, ay1), turn(ax2, ay2, bx2, by2, bx1, by1)
         apart = (
-            (np.maximum(ax[i], bx[i]) < np.minimum(ax[j], bx[j])) | (np.maximum(ax[j], bx[j]) < np.minimum(ax[i], bx[i]))
-            | (np.maximum(ay[i], by[i]) < np.minimum(ay[j], by[j])) | (np.maximum(ay[j], by[j]) < np.minimum(ay[i], by[i]))
+            (np.maximum(ax1, bx1) < np.minimum(ax2, bx2)) | (np.maximum(ax2, bx2) < np.minimum(ax1, bx1))
+            | (np.maximum(ay1, by1) < np.minimum(ay2, by2)) | (np.maximum(ay2, by2) < np.minimum(ay1, by1))
         )
         meet = (o1 * o2 <= 0) & (o3 * o4 <= 0) & ~apart
         neighbour = (j == i + 1) | ((i == 0) & (j == n - 1))
         flat = (o1 == 0) & (o2 == 0)
-        back = flat & ((bx[i] - ax[i]) * (bx[j] - ax[j]) + (by[i] - ay[i]) * (by[j] - ay[j]) < 0)
-        if (meet & ~neighbour).any() or (meet & neighbour & back).any():
-            return False
-    return True
+        back = flat & ((bx1 - ax1) * (bx2 - ax2) + (by1 - ay1) * (by2 - ay2) < 0)
+        simple[at] = ~((meet & ~neighbour) | (meet & neighbour & back)).any(1)
+    return simple
+
+
+# Points of rings that are judged together.
+RING_POINTS = 1 << 17
+
+
+def _simple_rings(rings: pa.Array) -> pa.Array:
+    """Rings with the same number of points are judged together; a null is no ring."""
+    sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    points = rings.flatten()
+    x, y = (pc.struct_field(points, c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    first = np.cumsum(sizes) - sizes
+    simple = np.zeros(len(sizes), bool)
+    for size in np.unique(sizes[sizes > 0]):
+        like = np.flatnonzero(sizes == size)
+        for some in np.array_split(like, len(like) * int(size) // RING_POINTS + 1):
+            at = first[some, None] + np.arange(size)
+            simple[some] = _rings_are_simple(x[at].astype(float), y[at].astype(float))
+    return pa.array(simple)
 
 
 def valid_polygons(polygons: DataFrame, column: str = "exterior") -> DataFrame:
-    """Keep polygons whose outer ring is closed, does not cross itself and has area."""
-    from furrow.functions.rings import ring_area
+    """Keep polygons whose outer ring is closed, does not cross itself and has area.
 
-    @F.pandas_udf(T.BooleanType())
-    def simple(ring: pd.Series) -> pd.Series:
-        return ring.map(lambda r: _ring_is_simple(
-            np.array([p["x"] for p in r], float), np.array([p["y"] for p in r], float)))
+    The test of the rings is the dear one. It is marked so that Spark does not move it below an exchange, to
+    the few tasks that read a small file.
+    """
+    from furrow.functions.rings import ring_area
 
+    simple = F.arrow_udf(_simple_rings, T.BooleanType()).asNondeterministic()
     solid = polygons.filter(F.col(column).isNotNull() & (ring_area(F.col(column)) > 0))
     return solid.filter(simple(F.col(column)))
 
