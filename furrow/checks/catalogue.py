@@ -309,7 +309,7 @@ def parts_clipped(spark, sf_dir):
     """Area of footprints of two parts with a hole inside a box: measured in place, and on the clipped rings."""
     t = _trapezoids(spark, sf_dir).withColumn("valid", footprints.parts_valid(F.col("parts")))
     box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    cut = footprints.clip_parts(F.col("parts"), lambda r: footprints.clip_ring(r, *box))
+    cut = footprints.clip_parts_to_box(F.col("parts"), *box)
     measured = {"covered": footprints.covered_area(F.col("parts"), *box), "clipped": footprints.parts_area(cut)}
     return t.select("scene_id", "valid", *[F.when(F.col("valid"), F.round(v, 6) + 0.0).otherwise(0.0).alias(n) for n, v in measured.items()])
 
