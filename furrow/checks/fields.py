@@ -466,8 +466,7 @@ def geojson_document(spark, sf_dir):
     """The same through one GeoJSON document."""
     path = scratch_path(spark, "geojson")
     writers.write_geojson(writers.field_features(_outlined(spark, sf_dir)), path)
-    schema = "features array<struct<geometry: struct<coordinates: array<array<array<double>>>>, properties: struct<id: string>>>"
-    found = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    found = features.read_document(spark, path, "struct<geometry: struct<coordinates: array<array<array<double>>>>, properties: struct<id: string>>")
     ring = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: rings.point(p[0], p[1])))
     parts = found.select(F.col("f.properties.id").alias("id"), ring.alias("r")).select(
         "id", F.col("r")[0].alias("exterior"), F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))).alias("interiors"))
