@@ -62,7 +62,7 @@ def boundary_sides(boxes: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
 
 
-def _followers(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def followers(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each side from ``a`` to ``b`` the one that goes on there, -1 if it is in another tile."""
     n = len(label)
     names = np.concatenate((label, label))
@@ -85,17 +85,13 @@ def _followers(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(count == 0, -1, np.where((count > 1) & (turn(two) > turn(one)), two, one))
 
 
-def _chains(sides: pa.Table, keys: list[str], label: str) -> pa.Table:
-    """Sides of one tile -> chains in the order of their sides; rings that close in the tile are done."""
-    a = np.stack((sides["ax"].to_numpy(), sides["ay"].to_numpy()), 1)
-    b = np.stack((sides["bx"].to_numpy(), sides["by"].to_numpy()), 1)
-    codes = sides[label].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
-    follower = _followers(codes, a, b)
-    led = np.zeros(len(a), bool)
+def walked(follower: np.ndarray) -> tuple[list[int], list[int], list[bool]]:
+    """Sides in the order of their chains, the bounds of these, and which of them close. Rings begin at their first side."""
+    led = np.zeros(len(follower), bool)
     led[follower[follower >= 0]] = True
-    after, seen = follower.tolist(), bytearray(len(a))
+    after, seen = follower.tolist(), bytearray(len(follower))
     placed, bounds, closed = [], [0], []
-    for start in [*np.flatnonzero(~led).tolist(), *range(len(a))]:
+    for start in [*np.flatnonzero(~led).tolist(), *range(len(follower))]:
         if seen[start]:
             continue
         i = start
@@ -105,6 +101,15 @@ def _chains(sides: pa.Table, keys: list[str], label: str) -> pa.Table:
             i = after[i]
         bounds.append(len(placed))
         closed.append(i == start)
+    return placed, bounds, closed
+
+
+def _chains(sides: pa.Table, keys: list[str], label: str) -> pa.Table:
+    """Sides of one tile -> chains in the order of their sides; rings that close in the tile are done."""
+    a = np.stack((sides["ax"].to_numpy(), sides["ay"].to_numpy()), 1)
+    b = np.stack((sides["bx"].to_numpy(), sides["by"].to_numpy()), 1)
+    codes = sides[label].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    placed, bounds, closed = walked(followers(codes, a, b))
     order, heads = np.array(placed, np.int64), np.array(bounds[:-1], np.int64)
     first, last = order[heads], order[np.array(bounds[1:], np.int64) - 1]
     p, q = a[order], b[order]

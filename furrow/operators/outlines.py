@@ -3,64 +3,50 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RING = "array<struct<x:double,y:double>>"
+from furrow.operators import boundary
 
+RING = "array<struct<x:double,y:double>>"
 
-def _trace(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Directed outline of a set of runs, field on the left; corners only, each ring closed."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def edge(a: tuple[int, int], b: tuple[int, int]) -> None:
-        out.setdefault(a, []).append(b)
-
-    ends: dict[int, list[tuple[int, int]]] = {}
-    for r, a, b in zip(y.tolist(), x0.tolist(), (x1 + 1).tolist()):
-        edge((a, r + 1), (a, r))
-        edge((b, r), (b, r + 1))
-        for line, sign in ((r, 1), (r + 1, -1)):
-            ends.setdefault(line, []).extend([(a, sign), (b, -sign)])
-    for line, marks in ends.items():
-        level, last = 0, None
-        for x, sign in sorted(marks):
-            if level and x != last:
-                edge(*(((last, line), (x, line)) if level > 0 else ((x, line), (last, line))))
-            level, last = level + sign, x
-    found = []
-    for start in sorted(out):  # the leftmost open vertex is never a corner touch
-        if start not in out:
-            continue
-        ring, here, came = [start], start, (0, 0)
-        while len(ring) == 1 or here != start:
-            options = out[here]
-            # at a corner touch keep to the same cell: turn left
-            turns = [came[0] * (p[1] - here[1]) - came[1] * (p[0] - here[0]) for p in options]
-            there = options.pop(turns.index(max(turns)))
-            if not options:
-                del out[here]
-            came = (there[0] - here[0], there[1] - here[1])
-            here = there
-            ring.append(here)
-        found.append(_corners(ring))
-    return found
 
+def _line_sides(name: np.ndarray, line: np.ndarray, pos: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is left of opposite sides on each line of a field: its name, the line, from and to."""
+    order = np.lexsort((pos, line, name))
+    name, line, pos, sign = (v[order] for v in (name, line, pos, sign))
+    new = np.concatenate(([True], (np.diff(name) != 0) | (np.diff(line) != 0) | (np.diff(pos) != 0)))
+    left = np.add.reduceat(sign, np.flatnonzero(new))
+    name, line, pos = (v[new][left != 0] for v in (name, line, pos))
+    level = np.cumsum(left[left != 0])  # back at 0 at the end of each line
+    at = np.flatnonzero(level)
+    ahead = level[at] > 0
+    return name[at], line[at], np.where(ahead, pos[at], pos[at + 1]), np.where(ahead, pos[at + 1], pos[at])
 
-def _corners(ring: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Drop points in the middle of a straight side."""
-    pts = ring[:-1]
-    kept = [p for a, p, b in zip(pts[-1:] + pts[:-1], pts, pts[1:] + pts[:1])
-            if not (a[0] == p[0] == b[0] or a[1] == p[1] == b[1])]
-    return kept + kept[:1]
 
+def _trace(name: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directed outlines of the fields of a tile, field on the left: corners of all rings, ring sizes, field of each ring.
 
-def _twice_area(ring: list[tuple[int, int]]) -> int:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+    Rings are in order of their field and first corner, the leftmost one. Each is closed.
+    """
+    n, one = np.concatenate([name] * 4), np.ones(len(name), np.int64)
+    y, x0, x1 = (v.astype(np.int64) for v in (y, x0, x1))
+    right, below = x1 + 1, y + 1
+    flat = _line_sides(n, np.concatenate((y, y, below, below)), np.concatenate((x0, right, x0, right)), np.concatenate((one, -one, -one, one)))
+    steep = _line_sides(n, np.concatenate((x0, x0, right, right)), np.concatenate((y, below, y, below)), np.concatenate((-one, one, one, -one)))
+    of = np.concatenate((flat[0], steep[0]))
+    a = np.stack((np.concatenate((flat[2], steep[1])), np.concatenate((flat[1], steep[2]))), 1)
+    b = np.stack((np.concatenate((flat[3], steep[1])), np.concatenate((flat[1], steep[3]))), 1)
+    # the leftmost corner of a ring is never a corner touch
+    order = np.lexsort((a[:, 1], a[:, 0], of))
+    of, a, b = of[order], a[order], b[order]
+    placed, bounds, _ = boundary.walked(boundary.followers(of, a, b))
+    placed, bounds = np.array(placed, np.int64), np.array(bounds, np.int64)
+    first = placed[bounds[:-1]]
+    return np.insert(a[placed], bounds[1:], a[first], axis=0), np.diff(bounds) + 1, of[first]
 
 
 def field_polygons(runs: DataFrame, group: list[str], field: str = "comp",
@@ -73,27 +59,26 @@ def field_polygons(runs: DataFrame, group: list[str], field: str = "comp",
     a, b, c, d, e, f = affine
     types = ", ".join(f"`{s.name}` {s.dataType.simpleString()}" for s in runs.select(*group, field).schema.fields)
 
-    def to_map(ring):
-        return [{"x": float(a * x + b * y + c), "y": float(d * x + e * y + f)} for x, y in ring]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(field, kind="stable")
-        names, first = np.unique(pdf[field].to_numpy(), return_index=True)
-        columns = [pdf[n].to_numpy() for n in ("y", "x0", "x1")]
-        exteriors, interiors = [], []
-        for low, high in zip(first, [*first[1:], len(pdf)]):
-            traced = _trace(*[col[low:high] for col in columns])
-            outer = [to_map(r) for r in traced if _twice_area(r) > 0]
-            if len(outer) != 1:
-                raise ValueError(f"a field of {key} is not one connected region")
-            exteriors += outer
-            interiors.append([to_map(r) for r in traced if _twice_area(r) < 0])
-        out = pd.DataFrame({k: [v] * len(names) for k, v in zip(group, key)})
-        out[field] = names
-        out["exterior"], out["interiors"] = exteriors, interiors
-        return out
-
-    return runs.select(*group, field, "y", "x0", "x1").groupBy(*group).applyInPandas(
+    def run(tile: pa.Table) -> pa.Table:
+        names, row, code = np.unique(tile[field].to_numpy(), return_index=True, return_inverse=True)
+        points, sizes, of = _trace(code, *[tile[n].to_numpy() for n in ("y", "x0", "x1")])
+        start = np.cumsum(sizes) - sizes
+        p, q = points[:-1], points[1:]
+        across = np.append(p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1], 0)
+        across[start[1:] - 1] = 0
+        outer = np.add.reduceat(across, start) > 0
+        if not np.array_equal(of[outer], np.arange(len(names))):
+            raise ValueError(f"a field of {[tile[k][0].as_py() for k in group]} is not one connected region")
+        x, y = points[:, 0], points[:, 1]
+        moved = pa.StructArray.from_arrays([pa.array(a * x + b * y + c, pa.float64()), pa.array(d * x + e * y + f, pa.float64())], ["x", "y"])
+        traced = pa.ListArray.from_arrays(pa.array(np.append(start, len(points)), pa.int32()), moved)
+        holes = np.bincount(of[~outer], minlength=len(names))
+        inner = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(holes))), pa.int32()), traced.take(pa.array(np.flatnonzero(~outer))))
+        held = tile.select([*group, field]).take(pa.array(row)).combine_chunks()
+        return held.append_column("exterior", traced.take(pa.array(np.flatnonzero(outer)))).append_column("interiors", inner)
+
+    return runs.select(*group, field, "y", "x0", "x1").groupBy(*group).applyInArrow(
         run, f"{types}, exterior {RING}, interiors array<{RING}>"
     )
 

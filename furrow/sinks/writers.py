@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +26,22 @@ def save_mode(overwrite: bool, strict: bool = False) -> str:
 @F.arrow_udf(T.BinaryType())
 def polygon_wkb(exterior: pa.Array, interiors: pa.Array) -> pa.Array:
     """Rings -> well-known binary, little endian."""
-    def one(outer, holes) -> bytes:
-        rings = [outer, *(holes or [])]
-        body = b"".join(
-            struct.pack(f"<I{2 * len(r)}d", len(r), *[v for p in r for v in (p["x"], p["y"])]) for r in rings
-        )
-        return struct.pack("<BII", 1, 3, len(rings)) + body
-
-    return pa.array([one(e, i) for e, i in zip(exterior.to_pylist(), interiors.to_pylist(), strict=True)], pa.binary())
+    def flat(rings_: pa.Array) -> tuple[bytes, list[int]]:
+        points = rings_.flatten()
+        pairs = np.stack([pc.struct_field(points, c).to_numpy(zero_copy_only=False).astype("<f8") for c in ("x", "y")], 1)
+        return pairs.tobytes(), rings_.value_lengths().fill_null(0).to_pylist()
+
+    outer, inner = flat(exterior), flat(interiors.flatten())
+    made, at, ring, hole = [], 0, 0, 0
+    for n, holes in zip(outer[1], interiors.value_lengths().fill_null(0).to_pylist(), strict=True):
+        body = [struct.pack("<BIII", 1, 3, 1 + holes, n), outer[0][at:at + 16 * n]]
+        at += 16 * n
+        for k in inner[1][ring:ring + holes]:
+            body += [struct.pack("<I", k), inner[0][hole:hole + 16 * k]]
+            hole += 16 * k
+        ring += holes
+        made.append(b"".join(body))
+    return pa.array(made, pa.binary())
 
 
 def field_table(polygons: DataFrame, time_tag: Column | None = None) -> DataFrame:
@@ -53,17 +63,23 @@ _RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructFi
 @F.arrow_udf(T.StructType([T.StructField("exterior", _RING), T.StructField("interiors", T.ArrayType(_RING))]))
 def wkb_polygon(geometry: pa.Array) -> pa.Array:
     """Well-known binary of a polygon -> rings."""
-    made = []
+    sizes, holes, data = [], [], []
     for wkb in geometry.to_pylist():
-        count, at, found = struct.unpack_from("<I", wkb, 5)[0], 9, []
+        count, at = struct.unpack_from("<I", wkb, 5)[0], 9
+        holes.append(count - 1)
         for _ in range(count):
             n = struct.unpack_from("<I", wkb, at)[0]
-            values = struct.unpack_from(f"<{2 * n}d", wkb, at + 4)
-            found.append([{"x": x, "y": y} for x, y in zip(values[::2], values[1::2], strict=True)])
+            sizes.append(n)
+            data.append(wkb[at + 4:at + 4 + 16 * n])
             at += 4 + 16 * n
-        made.append({"exterior": found[0], "interiors": found[1:]})
-    ring = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-    return pa.array(made, pa.struct([("exterior", ring), ("interiors", pa.list_(ring))]))
+    pairs = np.frombuffer(b"".join(data), "<f8").reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+    each = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), points)
+    bounds = np.concatenate(([0], np.cumsum(holes))).astype(np.int64)
+    first = bounds[:-1] + np.arange(len(holes))
+    rest = np.setdiff1d(np.arange(len(sizes)), first)
+    inner = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each.take(pa.array(rest, pa.int64())))
+    return pa.StructArray.from_arrays([each.take(pa.array(first, pa.int64())), inner], ["exterior", "interiors"])
 
 
 def reproject(polygons: DataFrame, fn: rings.XY) -> DataFrame:
@@ -102,7 +118,7 @@ def field_features(polygons: DataFrame) -> DataFrame:
 
 
 def write_geojson(features: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One FeatureCollection document in ``path``."""
+    """One FeatureCollection document in ``path``, a feature a line, so that ``sources.features.read_document`` can split it."""
     geo.save(features.select("value"), geo.GeoJson, path, overwrite)
 
 
