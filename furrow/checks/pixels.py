@@ -233,11 +233,11 @@ def landcover_by_affine(spark, sf_dir):
     out = []
     for name, affine in GRIDS.items():
         grid = [F.lit(v) for v in affine]
-        lc = rasters.align_tiles(tiles, source, ["raster_id"], target, grid, side=8, name="lc")
-        kept = flows.filter_tiles_by_landcover(tiles, source, ["raster_id"], 5, target, grid, side=8)
-        flat = [rasters.unpack_tiles(t.select("raster_id", "tile_y", "tile_x", "y0", "x0", "h", "w", v.alias("values")), 32, n)
-                for t, v, n in ((lc, F.transform(F.coalesce("lc", F.transform("values", lambda v: F.lit(-1))), lambda v: F.coalesce(v, F.lit(-1))), "lc"), (kept, F.col("values"), "cls"))]
-        out.append(flat[0].join(flat[1], ["raster_id", "y", "x"]).select("raster_id", F.lit(name).alias("grid"), "y", "x", "lc", "cls"))
+        kept = flows.filter_tiles_by_landcover(tiles, source, ["raster_id"], 5, target, grid, side=8, keep="lc")
+        lc = F.coalesce("lc", F.transform("values", lambda v: F.lit(None).cast("int")))
+        both = F.zip_with("values", lc, lambda v, n: F.when(v.isNotNull(), F.struct(F.coalesce(n, F.lit(-1)).alias("lc"), v.alias("cls"))))
+        flat = rasters.unpack_tiles(kept.select("raster_id", "tile_y", "tile_x", "y0", "x0", "h", "w", both.alias("values")), 32, "v")
+        out.append(flat.select("raster_id", F.lit(name).alias("grid"), "y", "x", "v.lc", "v.cls"))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

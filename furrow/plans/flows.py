@@ -164,12 +164,16 @@ def evaluate(pixels: DataFrame, keys: list[str], country: str = "country", iou_t
 
 
 def filter_tiles_by_landcover(tiles: DataFrame, landcover: DataFrame, keys: list[str], cropland: int, affine: list[Column],
-                              source_affine: list[Column], to_source: rings.XY | None = None, side: int = rasters.TILE_SIDE) -> DataFrame:
-    """Zero predictions off cropland on stored tiles; the land cover lies on a grid and in a projection of its own."""
+                              source_affine: list[Column], to_source: rings.XY | None = None, side: int = rasters.TILE_SIDE, keep: str | None = None) -> DataFrame:
+    """Zero predictions off cropland on stored tiles; the land cover lies on a grid and in a projection of its own.
+
+    ``keep`` names a column for the land cover that was looked up.
+    """
     aligned = rasters.align_tiles(tiles, landcover, keys, affine, source_affine, to_source, side, name="_lc")
     crop = F.coalesce("_lc", F.transform("values", lambda v: F.lit(None).cast("int")))
     masked = aligned.withColumn("cropland_mask", F.transform(crop, lambda v: F.coalesce((v == cropland).cast("int"), F.lit(0))))
-    return masked.withColumn("values", F.zip_with("values", "cropland_mask", lambda v, m: F.when(v.isNotNull(), v * m))).drop("_lc")
+    masked = masked.withColumn("values", F.zip_with("values", "cropland_mask", lambda v, m: F.when(v.isNotNull(), v * m)))
+    return masked.withColumnRenamed("_lc", keep) if keep else masked.drop("_lc")
 
 
 def filter_by_landcover(cells: DataFrame, landcover: DataFrame, keys: list[str], cropland: Column,

@@ -137,8 +137,8 @@ def align_tiles(tiles: DataFrame, source: DataFrame, keys: list[str], affine: li
 
     ``tiles`` and ``source`` are as ``pack_tiles`` leaves them (``source`` with tiles of ``side``); the affines are
     columns of ``tiles``; ``to_source`` maps coordinates of the target system to the source's. The bounds of a target tile
-    (``edge`` points a side, and a cell more all around) select the source tiles it can need, and cells are looked up inside
-    each pair, so what is exchanged are tiles. Cells off the source are null. Adds the array ``name``.
+    (``edge`` points a side, and a cell more all around) select the source tiles it can need; each cell is placed once and
+    looked up in the one tile it falls in, so what is exchanged are tiles. Cells off the source are null. Adds the array ``name``.
     """
     a, b, c, d, e, f = affine
 
@@ -158,22 +158,28 @@ def align_tiles(tiles: DataFrame, source: DataFrame, keys: list[str], affine: li
         seen = F.transform("_b", lambda p: p[axis])
         return F.sequence(F.floor((F.array_min(seen) - 1) / side), F.floor((F.array_max(seen) + 1) / side))
 
-    asked = own.withColumn("_sy", F.explode(span("y"))).withColumn("_sx", F.explode(span("x"))).drop("_b")
+    def code(row: Column, column: Column) -> Column:
+        return row.cast("bigint") * F.lit(1 << 32) + column
+
+    asked = own.withColumn("_sy", F.explode(span("y"))).withColumn("_sx", F.explode(span("x"))).select(*keys, "tile_y", "tile_x", "_sy", "_sx")
     held = source.select(*keys, F.col("tile_y").alias("_sy"), F.col("tile_x").alias("_sx"), F.struct("y0", "x0", "h", "w", "values").alias("_s"))
-    s = F.col("_s")
+    # a target tile meets the few source tiles under it
+    under = asked.join(held, [*keys, "_sy", "_sx"]).groupBy(*keys, "tile_y", "tile_x").agg(
+        F.map_from_entries(F.collect_list(F.struct(code(F.col("_sy"), F.col("_sx")), "_s"))).alias("_under"))
+
+    def inside(s: Column, row: Column, column: Column) -> Column:
+        r, q = row - s["y0"], column - s["x0"]
+        return F.when((r >= 0) & (r < s["h"]) & (q >= 0) & (q < s["w"]), F.get(s["values"], (r * s["w"] + q).cast("int")))
 
     def looked_up(i: Column) -> Column:
         at = placed(x0 + i % F.col("w") + 0.5, y0 + F.floor(i / F.col("w")) + 0.5)
-        return rings.let(at, lambda p: rings.let(
-            F.struct((F.floor(p["y"]) - s["y0"]).alias("r"), (F.floor(p["x"]) - s["x0"]).alias("q")),
-            lambda k: F.when((k["r"] >= 0) & (k["r"] < s["h"]) & (k["q"] >= 0) & (k["q"] < s["w"]), F.get(s["values"], (k["r"] * s["w"] + k["q"]).cast("int")))))
+        cell = rings.let(at, lambda p: F.struct(F.floor(p["y"]).alias("r"), F.floor(p["x"]).alias("q")))
+        return rings.let(cell, lambda k: rings.let(
+            F.try_element_at("_under", code(F.floor(k["r"] / side), F.floor(k["q"] / side))), lambda s: inside(s, k["r"], k["q"])))
 
     cells = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), looked_up)
-    found = asked.join(held, [*keys, "_sy", "_sx"]).select(*keys, "tile_y", "tile_x", cells.alias("_found"))
-    # a target tile meets the few source tiles under it
-    merged = found.groupBy(*keys, "tile_y", "tile_x").agg(F.collect_list("_found").alias("_all"))
-    joined = F.aggregate(F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), lambda acc, v: F.zip_with(acc, v, lambda x, y: F.coalesce(x, y)))
-    return tiles.join(merged.select(*keys, "tile_y", "tile_x", joined.alias(name)), [*keys, "tile_y", "tile_x"], "left")
+    joined = tiles.join(under, [*keys, "tile_y", "tile_x"], "left")
+    return joined.withColumn(name, F.when(F.col("_under").isNotNull(), cells)).drop("_under")
 
 
 def mask_cropland(aligned: DataFrame, cropland: Column, value: str = "cls") -> DataFrame:

@@ -82,3 +82,16 @@ def test_holes_closed_and_sizes_before_merging(spark):
     assert [(r["id"], r["area"], len(r["interiors"])) for r in made] == [("1", 15.0, 0)]
     open_ = flows.field_polygons(raster(spark, image), ["r"], 8, (1, 0, 0, 0, -1, 0), min_size=1).orderBy("id").collect()
     assert [(r["id"], r["area"], len(r["interiors"])) for r in open_] == [("1", 12.0, 1), ("2", 1.0, 0)]
+
+
+def test_each_cell_is_placed_once(spark):
+    """Four source tiles lie under the target tile; a cell is looked up in one of them and not in each."""
+    target = spark.range(64).select(F.lit(1).alias("r"), (F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), F.lit(1).alias("v"))
+    tiles = rasters.pack_tiles(target, ["r"], "v", 8)
+    source = rasters.pack_tiles(target.withColumn("v", F.col("y") * 8 + F.col("x")), ["r"], "v", 4)
+    one = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    plan = rasters.align_tiles(tiles, source, ["r"], one, one, side=4, name="lc")
+    got = plan.first()
+    assert got["lc"] == list(range(64))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(_found" not in text and "map_from_entries" in text
