@@ -67,7 +67,7 @@ def macro_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _overlap_tile(runs: pa.Table) -> pa.Table:
-    """Cells that truth and predicted runs of a tile share, and those that only one of them has."""
+    """Cells that truth and predicted runs of a block of tiles share, and those that only one of them has."""
     layer, comp = runs["layer"].to_numpy(zero_copy_only=False), runs["comp"].to_numpy()
     start = runs["y"].to_numpy().astype(np.int64) * labelling.ROW_STEP + runs["x0"].to_numpy()
     end = start + (runs["x1"].to_numpy() - runs["x0"].to_numpy())
@@ -95,20 +95,24 @@ def _overlap_tile(runs: pa.Table) -> pa.Table:
     return pa.table([*columns, pa.array(total, pa.int64())], names=["t", "p", "both"])
 
 
-def tile_overlaps(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, t, p, both``: shared cells of runs of the layers ``t`` and ``p``, tile by tile, without a row per cell.
+def tile_overlaps(runs: DataFrame, keys: list[str], stride: int = labelling.DEFAULT_STRIDE) -> DataFrame:
+    """``keys, t, p, both``: shared cells of runs of the layers ``t`` and ``p``, without a row per cell.
 
-    Null stands for no object. A pair has one row for each tile it meets in.
+    Runs are compared block by block of whole tiles of side ``stride``. Null stands for no object. A pair has one
+    row for each block it meets in.
     """
     types = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
 
-    def run(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
-        found = _overlap_tile(tile)
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        found = _overlap_tile(block)
         held = [pa.repeat(k, len(found)) for k in key[:len(keys)]]
         return pa.table([*held, *found.columns], names=[*keys, *found.column_names])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", t bigint, p bigint, both bigint"
-    return runs.select(*keys, "ty", "tx", "layer", "comp", "y", "x0", "x1").groupBy(*keys, "ty", "tx").applyInArrow(run, schema)
+    side = labelling.block_side(stride) // stride
+    block = {"_by": F.floor(F.col("ty") / side), "_bx": F.floor(F.col("tx") / side)}
+    placed = runs.select(*keys, "layer", "comp", "y", "x0", "x1", *[c.alias(n) for n, c in block.items()])
+    return placed.groupBy(*keys, *block).applyInArrow(run, schema)
 
 
 def object_overlaps(
@@ -136,7 +140,7 @@ def object_overlaps(
         runs = cut(runs)
         runs = labelling.stitched(runs, [*keys, "layer"], stride).drop("comp").withColumnRenamed("label", "comp")
 
-    met = tile_overlaps(runs, keys).groupBy(*keys, "t", "p").agg(F.sum("both").alias("both"))
+    met = tile_overlaps(runs, keys, stride).groupBy(*keys, "t", "p").agg(F.sum("both").alias("both"))
     # rows without the object stay apart, so they never form one large group
     by_t = Window.partitionBy(*keys, "t", F.when(F.col("t").isNull(), F.col("p")))
     by_p = Window.partitionBy(*keys, "p", F.when(F.col("p").isNull(), F.col("t")))
