@@ -45,12 +45,14 @@ def boundary_sides(boxes: DataFrame, keys: list[str], label: str) -> DataFrame:
         event("h", "y0", "x0", 1), event("h", "y0", "x1", -1), event("h", "y1", "x0", -1), event("h", "y1", "x1", 1),
         event("v", "x0", "y0", -1), event("v", "x0", "y1", 1), event("v", "x1", "y0", 1), event("v", "x1", "y1", -1),
     )
+    solid = boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    return _left_over(solid.select(*keys, label, F.explode(events).alias("e")).select(*keys, label, "e.*"), keys, label)
+
+
+def _left_over(events: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Ends of intervals ``axis, line, pos, sign`` -> the sides that are left."""
     line = [*keys, label, "axis", "line"]
-    left = (
-        boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
-        .select(*keys, label, F.explode(events).alias("e")).select(*keys, label, "e.*")
-        .groupBy(*line, "pos").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
-    )
+    left = events.groupBy(*line, "pos").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
     along = Window.partitionBy(*line).orderBy("pos")
     sides = left.withColumns({"level": F.sum("sign").over(along), "end": F.lead("pos").over(along)}).filter("level <> 0")
     low, high = F.struct(F.col("pos").alias("p")), F.struct(F.col("end").alias("p"))
@@ -62,6 +64,56 @@ def boundary_sides(boxes: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
 
 
+def line_sides(name: np.ndarray, line: np.ndarray, pos: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is left of opposite sides on each line of a field: its name, the line, from and to."""
+    order = np.lexsort((pos, line, name))
+    name, line, pos, sign = (v[order] for v in (name, line, pos, sign))
+    new = np.concatenate(([True], (np.diff(name) != 0) | (np.diff(line) != 0) | (np.diff(pos) != 0)))
+    left = np.add.reduceat(sign, np.flatnonzero(new))
+    name, line, pos = (v[new][left != 0] for v in (name, line, pos))
+    level = np.cumsum(left[left != 0])  # back at 0 at the end of each line
+    at = np.flatnonzero(level)
+    ahead = level[at] > 0
+    return name[at], line[at], np.where(ahead, pos[at], pos[at + 1]), np.where(ahead, pos[at + 1], pos[at])
+
+
+def _block_sides(boxes: pa.Table, label: str, tile: float) -> pa.Table:
+    """Sides of the boxes of one block; those that end on its edge or lie in it are open: a neighbour may go on there."""
+    _, row, code = np.unique(boxes[label].to_numpy(), return_index=True, return_inverse=True)
+    x0, y0, x1, y1 = (boxes[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    n, one = np.concatenate([code] * 4), np.ones(len(code), np.int64)
+    flat = line_sides(n, np.concatenate((y0, y0, y1, y1)), np.concatenate((x0, x1, x0, x1)), np.concatenate((one, -one, -one, one)))
+    steep = line_sides(n, np.concatenate((x0, x0, x1, x1)), np.concatenate((y0, y1, y0, y1)), np.concatenate((-one, one, one, -one)))
+    of, line, a, b = (np.concatenate(pair) for pair in zip(flat, steep, strict=True))
+    level = np.arange(len(of)) < len(flat[0])
+    edge = (line % tile == 0) | (a % tile == 0) | (b % tile == 0)
+    held = boxes.drop_columns(["x0", "y0", "x1", "y1"]).take(pa.array(row[of]))
+    for name, c in {"flat": level, "line": line, "a": a, "b": b, "open": edge}.items():
+        held = held.append_column(name, pa.array(c))
+    return held
+
+
+def boundary_sides_in_blocks(boxes: DataFrame, keys: list[str], label: str, tile: float) -> DataFrame:
+    """``boundary_sides`` of boxes that each lie in one square of side ``tile``.
+
+    Opposite sides cancel square by square, and only what meets the edge of a square is summed up over the table.
+    """
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.select(*keys, label).schema.fields)
+    block = {"_by": F.floor(F.col("y0") / tile), "_bx": F.floor(F.col("x0") / tile)}
+    held = [*keys, label, "x0", "y0", "x1", "y1"]
+    solid = boxes.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select(*held, *[c.alias(n) for n, c in block.items()])
+    found = cut(solid.groupBy(*keys, *block).applyInArrow(
+        lambda t: _block_sides(t.select(held), label, tile), f"{types}, flat boolean, line double, a double, b double, open boolean"))
+    axis = F.when(F.col("flat"), F.lit("h")).otherwise(F.lit("v")).alias("axis")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("b").alias("pos"), F.lit(-1).alias("sign")))).alias("e")
+    events = found.filter("open").select(*keys, label, axis, "line", ends).select(*keys, label, "axis", "line", "e.*")
+    flat = F.col("flat")
+    done = found.filter("NOT open").select(
+        *keys, label, F.when(flat, F.col("a")).otherwise(F.col("line")).alias("ax"), F.when(flat, F.col("line")).otherwise(F.col("a")).alias("ay"),
+        F.when(flat, F.col("b")).otherwise(F.col("line")).alias("bx"), F.when(flat, F.col("line")).otherwise(F.col("b")).alias("by"))
+    return done.unionByName(_left_over(events, keys, label))
+
+
 def followers(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each side from ``a`` to ``b`` the one that goes on there, -1 if it is in another tile."""
     n = len(label)
@@ -152,13 +204,14 @@ def ring_places(links: DataFrame) -> DataFrame:
         width *= 2
 
 
-def outline_rings(boxes: DataFrame, keys: list[str], label: str, tile: float) -> DataFrame:
+def outline_rings(boxes: DataFrame, keys: list[str], label: str, tile: float, inside: bool = False) -> DataFrame:
     """Rings of each region: ``keys, label, ring, points, twice, across, down``.
 
     ``points`` is closed and holds corners only; ``twice`` is twice the signed area, ``across`` and ``down`` the
-    lengths of the level and the upright sides. ``tile`` is the side of the squares that are linked in one task.
+    lengths of the level and the upright sides. ``tile`` is the side of the squares that are linked in one task;
+    ``inside`` says that each box lies in one of them.
     """
-    sides = boundary_sides(boxes, keys, label)
+    sides = boundary_sides_in_blocks(boxes, keys, label, tile) if inside else boundary_sides(boxes, keys, label)
     placed = sides.withColumns({"sx": F.floor(F.col("ax") / tile), "sy": F.floor(F.col("ay") / tile)})
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sides.select(*keys, label).schema.fields)
     chains = placed.groupBy(*keys, "sx", "sy").applyInArrow(lambda t: _chains(t, keys, label), f"{types}, {_CHAIN}")
@@ -243,9 +296,9 @@ def region_polygons(found: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def outlines_of(boxes: DataFrame, keys: list[str], label: str, tile: float,
-                affine: tuple[float, ...] = (1, 0, 0, 0, 1, 0)) -> DataFrame:
+                affine: tuple[float, ...] = (1, 0, 0, 0, 1, 0), inside: bool = False) -> DataFrame:
     """Regions -> polygons in map coordinates with ``area`` and ``perimeter``, one row per part."""
-    made = region_polygons(outline_rings(boxes, keys, label, tile), keys, label)
+    made = region_polygons(outline_rings(boxes, keys, label, tile, inside), keys, label)
     a, b, c, d, e, f = affine
     moved = made.withColumns({
         "exterior": rings.affine_ring(F.col("exterior"), a, b, c, d, e, f),

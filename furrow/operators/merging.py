@@ -73,13 +73,14 @@ def merged_field_polygons(
 ) -> DataFrame:
     """Merged fields as polygons: ``keys, label, ids, fields, exterior, interiors, area, perimeter``.
 
-    The rings are those of the union, so common sides of merged fields are gone from them.
+    The rings are those of the union, so common sides of merged fields are gone from them. Sides are linked in blocks of
+    small tiles, so only rings that leave a block are joined piece by piece.
     """
     a, b, _, d, e, _ = affine
     _, labels = adjacent_labels(runs, stats, keys, stride, ratio, math.hypot(a, d), math.hypot(b, e))
     labels = cut(labels)
     shapes = boundary.outlines_of(
-        boundary.run_boxes(runs.join(labels, [*keys, "comp"]), keys, "label"), keys, "label", stride, affine)
+        boundary.run_boxes(runs.join(labels, [*keys, "comp"]), keys, "label"), keys, "label", labelling.block_side(stride), affine, inside=True)
     members = stats.join(labels, [*keys, "comp"]).groupBy(*keys, "label").agg(
         merged_id(F.col("id"), F.col("id")).alias("ids"), F.count(F.lit(1)).alias("fields"))
     return shapes.join(members, [*keys, "label"]).drop("ring")

@@ -14,19 +14,6 @@ from furrow.operators import boundary
 RING = "array<struct<x:double,y:double>>"
 
 
-def _line_sides(name: np.ndarray, line: np.ndarray, pos: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What is left of opposite sides on each line of a field: its name, the line, from and to."""
-    order = np.lexsort((pos, line, name))
-    name, line, pos, sign = (v[order] for v in (name, line, pos, sign))
-    new = np.concatenate(([True], (np.diff(name) != 0) | (np.diff(line) != 0) | (np.diff(pos) != 0)))
-    left = np.add.reduceat(sign, np.flatnonzero(new))
-    name, line, pos = (v[new][left != 0] for v in (name, line, pos))
-    level = np.cumsum(left[left != 0])  # back at 0 at the end of each line
-    at = np.flatnonzero(level)
-    ahead = level[at] > 0
-    return name[at], line[at], np.where(ahead, pos[at], pos[at + 1]), np.where(ahead, pos[at + 1], pos[at])
-
-
 def _trace(name: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Directed outlines of the fields of a tile, field on the left: corners of all rings, ring sizes, field of each ring.
 
@@ -35,8 +22,8 @@ def _trace(name: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> t
     n, one = np.concatenate([name] * 4), np.ones(len(name), np.int64)
     y, x0, x1 = (v.astype(np.int64) for v in (y, x0, x1))
     right, below = x1 + 1, y + 1
-    flat = _line_sides(n, np.concatenate((y, y, below, below)), np.concatenate((x0, right, x0, right)), np.concatenate((one, -one, -one, one)))
-    steep = _line_sides(n, np.concatenate((x0, x0, right, right)), np.concatenate((y, below, y, below)), np.concatenate((-one, one, one, -one)))
+    flat = boundary.line_sides(n, np.concatenate((y, y, below, below)), np.concatenate((x0, right, x0, right)), np.concatenate((one, -one, -one, one)))
+    steep = boundary.line_sides(n, np.concatenate((x0, x0, right, right)), np.concatenate((y, below, y, below)), np.concatenate((-one, one, one, -one)))
     of = np.concatenate((flat[0], steep[0]))
     a = np.stack((np.concatenate((flat[2], steep[1])), np.concatenate((flat[1], steep[2]))), 1)
     b = np.stack((np.concatenate((flat[3], steep[1])), np.concatenate((flat[1], steep[3]))), 1)

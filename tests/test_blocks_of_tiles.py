@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from furrow.operators import evaluation, labelling
+from furrow.operators import boundary, evaluation, labelling
+from furrow.plans import flows
 
 
 def _want(cells, stride):
@@ -103,3 +104,44 @@ def test_small_rasters_take_no_rounds_on_the_whole_graph(spark, monkeypatch):
     cells = spark.range(3 * 40 * 40).select(F.floor(F.col("id") / 1600).alias("raster_id"), F.floor(F.col("id") % 1600 / 40).alias("y"), (F.col("id") % 40).alias("x"))
     runs = labelling.label_fields(cells, ["raster_id"], 8).cache()
     assert {tuple(r) for r in labelling.stitched(runs, ["raster_id"], 8).select("raster_id", "label").distinct().collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def _grown(spark):
+    """A ragged field over many tiles of side 5 in a raster of 24 cells."""
+    rng = np.random.default_rng(5)
+    rows = [(0, int(y), int(x), int(v)) for (y, x), v in np.ndenumerate((rng.random((24, 24)) < 0.7).astype(int))]
+    return spark.createDataFrame(rows, "r long, y int, x int, cls int")
+
+
+def test_merged_rings_of_a_small_raster_are_not_joined_piece_by_piece(spark, monkeypatch):
+    cells = _grown(spark)
+    pixel = (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
+
+    def made():
+        found = flows.field_polygons(cells, ["r"], 5, pixel, min_size=3, merge_ratio=0.0).collect()
+        return sorted((r["id"], r["area"], r["perimeter"], len(r["exterior"]), sorted(map(len, r["interiors"]))) for r in found)
+
+    with monkeypatch.context() as m:
+        m.setattr(labelling, "BLOCK", 1)
+        want = made()
+
+    def refused(*_):
+        raise AssertionError("rings joined piece by piece")
+
+    monkeypatch.setattr(boundary, "_joined", refused)
+    assert made() == want and sum(a for _, a, *_ in want) > 200
+
+
+def test_sides_that_cancel_in_their_block_are_not_summed_over_the_table(spark, monkeypatch):
+    cells = _grown(spark).filter("cls = 1").select("r", "y", "x")
+    runs = labelling.stitched(labelling.label_fields(cells, ["r"], 4), ["r"], 4)
+    boxes = boundary.run_boxes(runs, ["r"], "label").cache()
+    want = sorted(map(tuple, boundary.boundary_sides(boxes, ["r"], "label").collect()))
+    for tile in (4.0, 12.0, 64.0):
+        assert sorted(map(tuple, boundary.boundary_sides_in_blocks(boxes, ["r"], "label", tile).collect())) == want
+    summed = []
+    whole = boundary._left_over
+    monkeypatch.setattr(boundary, "_left_over", lambda e, *a: summed.append(e.count()) or whole(e, *a))
+    boundary.boundary_sides_in_blocks(boxes, ["r"], "label", 64.0).collect()
+    boundary.boundary_sides(boxes, ["r"], "label").collect()
+    assert 5 * summed[0] < summed[1]
