@@ -99,7 +99,8 @@ def field_polygons(
 
     Mask (scores, thinning, morphology), labelling by tile, closing and thinning out of rings, measures, sizes and
     ids, then merging over tile edges. ``hook`` maps coordinates for the measures (an equal-area plane where
-    the raster is in degrees). Merged fields are outlined anew from their cells, so simplification comes after it.
+    the raster is in degrees). Merged fields are outlined anew from their cells, so simplification comes after it; where
+    parts are neither closed, thinned out nor measured elsewhere, their cells give their size and they are not outlined.
     """
     if scores is not None:
         cells = score_classes(cells, scores, score_threshold)
@@ -112,14 +113,25 @@ def field_polygons(
             shapes = shapes.withColumn("interiors", rings.drop_interiors(F.col("interiors")))
         return unions.measured(outlines.simplify(shapes, tolerance), hook)
 
-    shapes = finished(outlines.field_polygons(runs, [*keys, "ty", "tx"], affine=affine))
-    kept = labelling.running_id(labelling.size_filter(shapes, min_size, max_size), keys)
+    as_traced = not close_interiors and tolerance <= 0 and hook is None
+
+    def shapes() -> DataFrame:
+        return finished(outlines.field_polygons(runs, [*keys, "ty", "tx"], affine=affine))
+
     if merge_ratio is None:
+        kept = labelling.running_id(labelling.size_filter(shapes(), min_size, max_size), keys)
         return kept.select(*keys, F.col("id").cast("string").alias("id"), "exterior", "interiors", "area", "perimeter")
     a, b, _, d, e, _ = affine
     stats = labelling.cell_metrics(labelling.field_stats(runs, keys), math.hypot(a, d), math.hypot(b, e))
-    named = cut(stats.join(kept.select(*keys, "ty", "tx", "comp", "id"), [*keys, "ty", "tx", "comp"]))
-    merged = finished(merging.merged_field_polygons(runs, named, keys, stride, merge_ratio, affine))
+    if not as_traced:
+        ref = [*keys, "ty", "tx", "comp"]
+        sized = cut(labelling.size_filter(shapes(), min_size, max_size).select(*ref))
+        named = cut(stats.join(labelling.running_id(sized, keys), ref))
+    else:
+        sized = stats.withColumn("area", F.col("cells") * abs(a * e - b * d))
+        named = cut(labelling.running_id(labelling.size_filter(sized, min_size, max_size), keys))
+    merged = merging.merged_field_polygons(runs, named, keys, stride, merge_ratio, affine)
+    merged = merged if as_traced else finished(merged)
     return merged.select(*keys, F.col("ids").alias("id"), "exterior", "interiors", "area", "perimeter")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from furrow.operators import boundary, evaluation, labelling
+from furrow.operators import boundary, evaluation, labelling, outlines
 from furrow.plans import flows
 
 
@@ -132,6 +132,19 @@ def test_merged_rings_of_a_small_raster_are_not_joined_piece_by_piece(spark, mon
     assert made() == want and sum(a for _, a, *_ in want) > 200
 
 
+def test_parts_are_outlined_for_their_size_only_where_that_differs(spark, monkeypatch):
+    calls = []
+    traced = outlines.field_polygons
+    monkeypatch.setattr(outlines, "field_polygons", lambda *a, **k: calls.append(1) or traced(*a, **k))
+    cells = _grown(spark)
+    pixel = (2.0, 0.0, 0.0, 0.0, -3.0, 0.0)
+    plain = flows.field_polygons(cells, ["r"], 5, pixel, min_size=18, merge_ratio=0.0).collect()
+    assert not calls
+    moved = flows.field_polygons(cells, ["r"], 5, pixel, min_size=18, merge_ratio=0.0, hook=lambda x, y: (x + 0.0, y + 0.0)).collect()
+    assert calls
+    assert sorted((r["id"], r["area"]) for r in plain) == sorted((r["id"], r["area"]) for r in moved)
+
+
 def test_sides_that_cancel_in_their_block_are_not_summed_over_the_table(spark, monkeypatch):
     cells = _grown(spark).filter("cls = 1").select("r", "y", "x")
     runs = labelling.stitched(labelling.label_fields(cells, ["r"], 4), ["r"], 4)
