@@ -182,8 +182,9 @@ def future_guard(spark, sf_dir):
     return best.select("aoi_id", "win", (F.col("status") == "future").cast("int").alias("future"))
 
 
-@query("J4_area_scene_join", with_(B.SCENES_SQL, B.AREAS_SQL, body="SELECT aoi_id, win, scene_id, cloud FROM candidates"))
+@query("J4_area_scene_join", with_(B.SCENES_SQL, B.AREAS_SQL, body="SELECT aoi_id, win, scene_id, cloud FROM candidates"), digits=None)
 def area_scene_join(spark, sf_dir):
+    """A row for each pair; clouds are whole hundredths already, so nothing is rounded pair by pair."""
     w = S.season_windows(B.areas(spark, sf_dir))
     return S.candidate_scenes(w, B.scenes(spark, sf_dir)).select("aoi_id", "win", "scene_id", "cloud")
 

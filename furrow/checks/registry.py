@@ -12,8 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int = 6):
-    """Register ``fn(spark, sf_dir)`` under ``name``."""
+def query(name: str, sql: str | None = None, digits: int | None = 6):
+    """Register ``fn(spark, sf_dir)`` under ``name``; without ``digits`` its fractions are left as they are."""
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return tidy(fn(spark, sf_dir), digits)

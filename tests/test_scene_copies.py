@@ -38,3 +38,16 @@ def test_selection_sink(spark, copies, met):
     oracle.compare(spark, con, folder, name, query, contract.oracle_sql()[name])
     query(spark, SF)
     assert met[0].count() == met[1].count() > 0
+
+
+def test_area_scene_join(spark, copies, met):
+    name, (folder, con) = "J4_area_scene_join", copies
+    query = contract.queries()[name]
+    assert oracle.compare(spark, con, folder, name, query, contract.oracle_sql()[name]) == TIMES ** 2 * query(spark, SF).count()
+    assert met[0].count() == met[1].count() > 0
+
+
+def test_pairs_are_not_rounded(spark, copies):
+    """Whatever is rounded is rounded before the joins, once a scene and not once a pair."""
+    plan = contract.queries()["J4_area_scene_join"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan[:plan.index("Join ")]
