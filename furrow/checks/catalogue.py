@@ -190,10 +190,11 @@ def area_scene_join(spark, sf_dir):
 
 
 @query("A11_nodata_percent", with_(B.SCENES_SQL, B.AREAS_SQL, NODATA_SQL, body="""
-SELECT aoi_id, win, scene_id, round(nodata, 4) + 0.0::DOUBLE AS nodata FROM measured"""), digits=4)
+SELECT aoi_id, win, scene_id, round(nodata, 4) + 0.0::DOUBLE AS nodata FROM measured"""), digits=None)
 def nodata(spark, sf_dir):
+    """A row for each pair; shares are rounded before copies are joined on, so nothing is rounded pair by pair."""
     w = S.season_windows(B.areas(spark, sf_dir))
-    return S.candidate_scenes(w, B.scenes(spark, sf_dir), measure=True).select("aoi_id", "win", "scene_id", "nodata")
+    return S.candidate_scenes(w, B.scenes(spark, sf_dir), measure=True, digits=4).select("aoi_id", "win", "scene_id", "nodata")
 
 
 BEST_SQL = """

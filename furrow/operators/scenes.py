@@ -93,13 +93,14 @@ def _meetings(windows: DataFrame, scenes: DataFrame, cell: float, period_days: i
 
 def candidate_scenes(
     windows: DataFrame, scenes: DataFrame, cloud_max: float = 20, cell: float = 1.0,
-    period_days: int = 32, measure: bool = False,
+    period_days: int = 32, measure: bool = False, digits: int | None = None,
 ) -> DataFrame:
     """Area x scene join: boxes meet, date inside the window, cloud strictly below the limit.
 
     Windows of one box and time, and scenes of one footprint and time, meet once for all that are alike; their
     members are joined on afterwards. Footprints are projected (``outline``), and with ``measure`` the share of
-    the box they leave open (``nodata``) is taken, before that, so only the rows of the result grow with copies.
+    the box they leave open (``nodata``) is taken, and rounded to ``digits``, before that, so only the rows of the
+    result grow with copies.
     """
     clear = _clear(scenes, cloud_max)
     kind = ["dt", "parts", *SCENE_BOX]
@@ -108,7 +109,8 @@ def candidate_scenes(
     outlined = kinds.select("_alike", "dt", projected(F.col("parts")).alias("outline"), *SCENE_BOX)
     met = _meetings(windows.select(*PLACE).distinct(), outlined, cell, period_days)
     if measure:
-        met = met.withColumn("nodata", nodata_percent(F.col("outline"), *[F.col(c) for c in PLACE[:4]]))
+        share = nodata_percent(F.col("outline"), *[F.col(c) for c in PLACE[:4]])
+        met = met.withColumn("nodata", share if digits is None else F.round(share, digits) + F.lit(0.0))
     members = clear.hint("merge").join(kinds, same).select("_alike", "scene_id", "cloud", "tile")
     # few rows of either side share a key, and estimates of both are too low for a broadcast
     return met.hint("merge").join(windows, PLACE).hint("merge").join(members, "_alike").select(
@@ -124,18 +126,19 @@ def nodata_percent(outline: Column, x0: Column, y0: Column, x1: Column, y1: Colu
     """Share of an area's box (degrees) outside a projected footprint, in percent."""
     ax0, ay0 = projection.equal_area(x0, y0)
     ax1, ay1 = projection.equal_area(x1, y1)
-    box = F.struct(ax0.alias("x0"), ay0.alias("y0"), ax1.alias("x1"), ay1.alias("y1"))
+    # the outline is bound too: a lambda may not hold the Python function that judges it
+    bound = F.struct(ax0.alias("x0"), ay0.alias("y0"), ax1.alias("x1"), ay1.alias("y1"), outline.alias("outline"))
 
     def share(b: Column) -> Column:
         whole = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-        covered = footprints.covered_area(outline, b["x0"], b["y0"], b["x1"], b["y1"])
+        covered = footprints.covered_area(b["outline"], b["x0"], b["y0"], b["x1"], b["y1"])
         pct = (F.lit(1.0) - covered / whole) * 100
         return F.when(whole <= 0, F.raise_error(F.lit("area box has zero area")).cast("double")).otherwise(
             F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct))
         )
 
     return F.when(outline.isNull() | (F.size(outline) < 1), F.lit(100.0)).otherwise(
-        rings.let(box, share)
+        rings.let(bound, share)
     )
 
 

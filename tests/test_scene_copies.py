@@ -51,3 +51,14 @@ def test_pairs_are_not_rounded(spark, copies):
     """Whatever is rounded is rounded before the joins, once a scene and not once a pair."""
     plan = contract.queries()["J4_area_scene_join"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan[:plan.index("Join ")]
+
+
+def test_nodata_of_copies(spark, copies):
+    name, (folder, con) = "A11_nodata_percent", copies
+    query = contract.queries()[name]
+    assert oracle.compare(spark, con, folder, name, query, contract.oracle_sql()[name]) == TIMES ** 2 * query(spark, SF).count()
+
+
+def test_shares_are_rounded_before_copies_are_joined_on(spark, copies):
+    plan = contract.queries()["A11_nodata_percent"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and "round(" not in plan[:plan.index("Join ")]
