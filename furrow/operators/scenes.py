@@ -91,6 +91,16 @@ def _meetings(windows: DataFrame, scenes: DataFrame, cell: float, period_days: i
     )
 
 
+# Tasks a core that make the pairs: the last ones to end leave cores idle for a part of that only.
+TASKS = 8
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key over many tasks, whatever their bytes: a row makes a pair with each member, so few bytes make many rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism), key)
+
+
 def candidate_scenes(
     windows: DataFrame, scenes: DataFrame, cloud_max: float = 20, cell: float = 1.0,
     period_days: int = 32, measure: bool = False, digits: int | None = None,
@@ -113,7 +123,8 @@ def candidate_scenes(
         met = met.withColumn("nodata", share if digits is None else F.round(share, digits) + F.lit(0.0))
     members = clear.hint("merge").join(kinds, same).select("_alike", "scene_id", "cloud", "tile")
     # few rows of either side share a key, and estimates of both are too low for a broadcast
-    return met.hint("merge").join(windows, PLACE).hint("merge").join(members, "_alike").select(
+    placed = _dealt(met.hint("merge").join(windows, PLACE), "_alike")
+    return placed.hint("merge").join(_dealt(members, "_alike"), "_alike").select(
         *windows.columns, "scene_id", "dt", "cloud", "tile", "outline", *SCENE_BOX, *(["nodata"] if measure else []))
 
 

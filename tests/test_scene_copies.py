@@ -62,3 +62,9 @@ def test_nodata_of_copies(spark, copies):
 def test_shares_are_rounded_before_copies_are_joined_on(spark, copies):
     plan = contract.queries()["A11_nodata_percent"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" in plan and "round(" not in plan[:plan.index("Join ")]
+
+
+def test_pairs_are_made_by_many_tasks(spark, copies):
+    """Few bytes make many pairs, so tasks of the last join are not merged by their bytes."""
+    made = contract.queries()["A11_nodata_percent"](spark, copies[0]).rdd.getNumPartitions()
+    assert made >= 8 * spark.sparkContext.defaultParallelism
